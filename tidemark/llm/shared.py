@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def texts(df: DataFrame, *keep: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about `most` bytes of text."""
     column = batch.column(batch.schema.get_field_index(column))
-    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(size):
         base = size[at - 1] if at else 0
@@ -65,7 +66,7 @@ class Words:
     """Words (runs outside space and \\t..\\r) of an Arrow string column: bytes data[start:end], first[d]:first[d+1] of document d."""
 
     def __init__(self, column: pa.Array, lower: bool = False):
-        column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+        column = pc.fill_null(column.cast(pa.large_string()), "")
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         raw = column.buffers()[2]
         data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
