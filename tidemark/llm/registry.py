@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, pack
+from tidemark.llm import bpe, matroska, pack, urls
 
-MODULES = (bpe, pack)
+MODULES = (pack, bpe, urls, matroska)
 
 
 def queries() -> dict:
