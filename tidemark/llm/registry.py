@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, matroska, pack, urls
+from tidemark.llm import bpe, matroska, pack, quality, toxicity, urls
 
-MODULES = (pack, bpe, urls, matroska)
+MODULES = (toxicity, quality, urls, pack, bpe, matroska)
 
 
 def queries() -> dict:
