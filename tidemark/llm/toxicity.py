@@ -1,6 +1,6 @@
 """Operator 3, toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-The lexicon is learnt from labelled rows: words and five-letter beginnings of words that mark label 1 and stand in many
+The lexicon is learnt from labelled rows: words and beginnings of words that mark label 1 and stand in many
 different contexts (so copies of one text can't fill it). Features are its densities, hits near a second-person word,
 capitals, punctuation and obfuscation rates. Trees (Spark ML) learn from three quarters of a bounded sample
 (MOST_ROWS labelled rows, in hash order), the isotonic step from the rest; every whole text is scored.
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.labelled import held_out, sample
 from tidemark.llm.shared import texts, written
 
-MOST_ROWS = 20_000
+MOST_ROWS = 10_000
 MOST_TERMS = 2_000
 MIN_SUPPORT, SUPPORT_SHARE, MIN_ODDS = 4, 0.02, 3.0
+STARTS = (3, 8)  # letters of the beginnings learnt
 SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
 FEATURES = ["word_density", "start_density", "odds_density", "strongest", "distinct_hits", "near_second_person", "second_person", "capitals", "shouting", "punctuation", "exclamation", "obfuscated", "obfuscated_hits", "log_words"]
 _EDGE = re.compile(r"^[^\w@$*]+|[^\w@$*]+$")
@@ -41,23 +42,31 @@ class Lexicon:
     words: dict[str, float]
     starts: dict[str, float]
 
+    def __post_init__(self):
+        self.heads = {s[: STARTS[0]] for s in self.starts}
+
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
     """Terms with high log-odds of label 1 that follow many different words. At most MOST_TERMS reach the driver."""
-    word = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'@$*]+"), lambda w: F.length(w) > 2)
-    at = train.select("doc_id", "label", word.alias("w")).select("doc_id", "label", "w", F.posexplode("w").alias("i", "word"))
-    before = F.when(F.col("i") > 0, F.col("w")[F.col("i") - 1]).otherwise("")
-    terms = at.select("doc_id", "label", before.alias("before"), F.explode(F.array(F.col("word"), F.concat(F.lit("^"), F.substring("word", 1, 5)))).alias("term"))
-    terms = terms.where((F.substring("term", 1, 1) != "^") | (F.length("term") == 6))
-    per_doc = terms.groupBy("term", "doc_id").agg(F.first("label").alias("label"), F.first("before").alias("before"))
-    total = per_doc.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"), F.approx_count_distinct(F.when(F.col("label") == 1, F.col("before"))).alias("contexts"))
     n = train.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).first()
     na, nb = n["a"] or 0, n["b"] or 0
-    odds = F.log((F.col("a") + 0.5) / (na + 1.0)) - F.log((F.col("b") + 0.5) / (nb + 1.0))
     least = max(MIN_SUPPORT, SUPPORT_SHARE * na)
-    found = total.where((F.least("contexts", "a") >= least)).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-    rows = found.orderBy(F.desc("a"), "term").limit(MOST_TERMS).collect()
-    return Lexicon({r.term: r.odds for r in rows if r.term[0] != "^"}, {r.term[1:]: r.odds for r in rows if r.term[0] == "^"})
+    word = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'@$*]+"), lambda w: F.length(w) > 2)
+    split = train.select("doc_id", "label", word.alias("w"))
+    starts = lambda w: F.transform(F.sequence(F.lit(STARTS[0]), F.least(F.lit(STARTS[1]), F.length(w) - 1)), lambda k: F.concat(F.lit("^"), F.substring(w, F.lit(1), k)))
+    terms = lambda w: F.concat(F.array(w), F.when(F.length(w) > STARTS[0], starts(w)).otherwise(F.array().cast("array<string>")))
+    per_doc = split.select("label", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct("w"), terms)))).alias("term"))
+    odds = F.log((F.col("a") + 0.5) / (na + 1.0)) - F.log((F.col("b") + 0.5) / (nb + 1.0))
+    counted = per_doc.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") >= least).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
+    found = {r.term: r.odds for r in counted.orderBy(F.desc("a"), "term").limit(2 * MOST_TERMS).collect()}
+    if not found:
+        return Lexicon({}, {})
+    at = split.where("label = 1").select("w", F.posexplode("w").alias("i", "word"))
+    before = F.when(F.col("i") > 0, F.col("w")[F.col("i") - 1]).otherwise("")
+    uses = at.select(before.alias("before"), F.explode(terms(F.col("word"))).alias("term")).where(F.col("term").isin(list(found)))
+    contexts = uses.groupBy("term").agg(F.approx_count_distinct("before").alias("contexts")).where(F.col("contexts") >= least)
+    kept = sorted((r.term for r in contexts.collect()), key=lambda t: (-found[t], t))[:MOST_TERMS]
+    return Lexicon({t: found[t] for t in kept if t[0] != "^"}, {t[1:]: found[t] for t in kept if t[0] == "^"})
 
 
 def describe(text: str, lexicon: Lexicon) -> list[float]:
@@ -66,7 +75,7 @@ def describe(text: str, lexicon: Lexicon) -> list[float]:
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    by_word, by_start = lexicon.words, lexicon.starts
+    by_word, by_start, heads = lexicon.words, lexicon.starts, lexicon.heads
     low = [w.lower() for w in words]
     exact = starts = obfuscated = hidden = near = 0
     total = strongest = 0.0
@@ -86,7 +95,9 @@ def describe(text: str, lexicon: Lexicon) -> list[float]:
         odds = by_word.get(w)
         if odds is not None:
             exact += 1
-        odds = max(odds or 0.0, by_start.get(w[:5], 0.0))
+        odds = odds or 0.0
+        if w[: STARTS[0]] in heads:
+            odds = max(odds, *(by_start.get(w[:k], 0.0) for k in range(STARTS[0], min(STARTS[1], len(w) - 1) + 1)), 0.0)
         if odds:
             starts += 1
             total += odds
