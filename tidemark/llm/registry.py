@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, matroska, pack, quality, toxicity, urls
+from tidemark.llm import bpe, matroska, pack, quality, rules, secrets, toxicity, urls
 
-MODULES = (toxicity, quality, urls, pack, bpe, matroska)
+MODULES = (secrets, toxicity, quality, urls, pack, bpe, rules, matroska)
 
 
 def queries() -> dict:
