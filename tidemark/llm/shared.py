@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it again: lineage ends, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # Spark's cleaner frees the shuffle files of plans that are done only after this
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -133,3 +134,69 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
+
+
+def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Which of each document's 64-bit keys are also keys of another document: doc_id, keys array<binary> (uint64).
+
+    keys_of gives (place of the document in the column, key) pairs, documents ascending. A key that several documents of
+    one slice hold is a hit for each of them at once and sent on only once, so a key of a third of all documents costs a
+    task one entry a slice. Entries meet by key; hits are dealt out by document.
+    """
+    parts = width(docs.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            doc, key = keys_of(part.column(1))
+            ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            doc, key = doc[order], key[order]
+            new_key = np.ones(len(key), dtype=bool)
+            new_key[1:] = key[1:] != key[:-1]
+            new = new_key.copy()
+            new[1:] |= doc[1:] != doc[:-1]
+            doc, key, new_key = doc[new], key[new], new_key[new]
+            at = np.flatnonzero(new_key)
+            held = np.diff(np.append(at, len(key)))
+            many = np.repeat(held > 1, held)
+            yield from dealt((key[at] % np.uint64(parts)).astype(np.int64), ids[doc[at]], key[at], False)
+            hit_doc = ids[doc[many]]
+            yield from dealt((mixed(hit_doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), hit_doc, key[many], True)
+
+    def dealt(to: np.ndarray, ids: np.ndarray, key: np.ndarray, hit: bool) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(to, kind="stable")
+        to, ids, key = to[order], ids[order], key[order]
+        cut = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to)) if len(to) else np.zeros(1, np.int64)
+        rows = [(int(to[a]), ids[a:b].tobytes(), key[a:b].tobytes(), hit) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["part", "ids", "keys", "hit"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ids, all_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for batch in batches:
+            for ids, key, hit in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                ids, key = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(key.as_py(), np.uint64)
+                if hit.as_py():
+                    yield from told(ids, key)
+                else:
+                    all_ids.append(ids)
+                    all_keys.append(key)
+        ids, key = np.concatenate(all_ids), np.concatenate(all_keys)
+        order = np.argsort(key, kind="stable")
+        ids, key = ids[order], key[order]
+        same = np.zeros(len(key) + 1, dtype=bool)
+        same[1:-1] = (key[1:] == key[:-1])
+        found = same[1:] | same[:-1]
+        yield from told(ids[found], key[found])
+
+    def told(ids: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(ids, kind="stable")
+        ids, key = ids[order], key[order]
+        cut = np.append(np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)), len(ids)) if len(ids) else np.zeros(1, np.int64)
+        for at in range(0, len(cut) - 1, 5000):
+            some = cut[at : at + 5001]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some[:-1]]), pa.array([key[a:b].tobytes() for a, b in zip(some[:-1].tolist(), some[1:].tolist())], pa.binary())], names=["doc_id", "keys"])
+
+    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(send, "part int, ids binary, keys binary, hit boolean")
+    met = sent.repartition(parts, "part").mapInArrow(meet, "doc_id long, keys binary")
+    return met.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
