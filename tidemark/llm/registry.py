@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, matroska, pack, quality, rules, secrets, substrings, toxicity, urls
+from tidemark.llm import bpe, jaccard, matroska, pack, quality, rules, secrets, substrings, toxicity, urls
 
-MODULES = (secrets, toxicity, quality, urls, pack, bpe, rules, matroska, substrings)
+MODULES = (jaccard, secrets, toxicity, quality, urls, pack, bpe, rules, matroska, substrings)
 
 
 def queries() -> dict:

@@ -133,13 +133,28 @@ class Model:
     curve: tuple[list[float], list[float]]  # boundaries and predictions of the isotonic step
     prior: float
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
+    def score(self, docs: DataFrame) -> DataFrame:
         """doc_id and score of every text."""
         if self.trees is None:
             return docs.select("doc_id", F.lit(self.prior).alias("score"))
-        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured(texts(docs), self.lexicon))
-        raw = self.trees.transform(rows).select("doc_id", vector_to_array("probability")[1].alias("raw"))
-        return raw.select("doc_id", (0.98 * interpolated(F.col("raw"), *self.curve) + 0.02 * F.col("raw")).alias("score"))
+        return self.calibrated(featured(texts(docs), self.lexicon), "doc_id")
+
+    def kept(self, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """The documents that score below threshold. The text travels along with its features, so nothing is joined."""
+        if self.trees is None:
+            return docs if self.prior < threshold else docs.limit(0)
+
+        @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
+        def described(text: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([describe(t, self.lexicon) for t in text], columns=FEATURES, dtype=float)
+
+        rows = docs.select(F.struct("*").alias("_doc"), described(F.coalesce("text", F.lit(""))).alias("_f")).select("_doc", "_f.*")
+        return self.calibrated(rows, "_doc").where(F.col("score") < threshold).select("_doc.*")
+
+    def calibrated(self, rows: DataFrame, keep: str) -> DataFrame:
+        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+        raw = self.trees.transform(rows).select(keep, vector_to_array("probability")[1].alias("raw"))
+        return raw.select(keep, (0.98 * interpolated(F.col("raw"), *self.curve) + 0.02 * F.col("raw")).alias("score"))
 
 
 def interpolated(x: Column, xs: list[float], ys: list[float]) -> Column:
