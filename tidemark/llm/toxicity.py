@@ -143,10 +143,11 @@ class Model:
         """The documents that score below threshold. The text travels along with its features, so nothing is joined."""
         if self.trees is None:
             return docs if self.prior < threshold else docs.limit(0)
+        lexicon = self.lexicon
 
         @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
         def described(text: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([describe(t, self.lexicon) for t in text], columns=FEATURES, dtype=float)
+            return pd.DataFrame([describe(t, lexicon) for t in text], columns=FEATURES, dtype=float)
 
         rows = docs.select(F.struct("*").alias("_doc"), described(F.coalesce("text", F.lit(""))).alias("_f")).select("_doc", "_f.*")
         return self.calibrated(rows, "_doc").where(F.col("score") < threshold).select("_doc.*")
