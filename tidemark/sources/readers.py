@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OBSERVATION = T.StructType.fromDDL("variable string, value double, unit string, lat double, lon double, depth_m double, valid_time timestamp_ntz, issued_time timestamp_ntz, source string, dataset_id string, quality string, kind string, license string, archive_uri string")
-DOCUMENT = T.StructType.fromDDL("document_id string, kind string, title string, source string, url string, issued_time timestamp_ntz, valid_until timestamp_ntz, authority_rank int, license string, language string, region_codes array<string>, content_sha256 string")
-CHUNK = T.StructType.fromDDL("chunk_id string, document_id string, ordinal int, text string, embedding array<float>, token_count long")
-PROVENANCE_NODE = T.StructType.fromDDL("run_id string, node_id string, kind string, label string, occurred_at timestamp_ntz, attributes string")
-PROVENANCE_EDGE = T.StructType.fromDDL("run_id string, source_id string, target_id string, relation string")
+OBSERVATION = "variable string, value double, unit string, lat double, lon double, depth_m double, valid_time timestamp_ntz, issued_time timestamp_ntz, source string, dataset_id string, quality string, kind string, license string, archive_uri string"
+DOCUMENT = "document_id string, kind string, title string, source string, url string, issued_time timestamp_ntz, valid_until timestamp_ntz, authority_rank int, license string, language string, region_codes array<string>, content_sha256 string"
+CHUNK = "chunk_id string, document_id string, ordinal int, text string, embedding array<float>, token_count long"
+PROVENANCE_NODE = "run_id string, node_id string, kind string, label string, occurred_at timestamp_ntz, attributes string"
+PROVENANCE_EDGE = "run_id string, source_id string, target_id string, relation string"
 SCHEMAS = {"observations": OBSERVATION, "documents": DOCUMENT, "document_chunks": CHUNK, "provenance_nodes": PROVENANCE_NODE, "provenance_edges": PROVENANCE_EDGE}
 
 
 def schema_export() -> dict[str, str]:
     """JSON of every table's schema."""
-    return {name: schema.json() for name, schema in SCHEMAS.items()}
+    return {name: T.StructType.fromDDL(schema).json() for name, schema in SCHEMAS.items()}
 
 
 def ensure_tables(spark: SparkSession, root: str) -> None:
