@@ -71,7 +71,7 @@ def prefix_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def candidate_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n of every document; set (and its two hashes) of those that may have a partner."""
-    hits = written(repeated_keys(docs, prefix_keys), "prefixes").select("doc_id", F.expr("aggregate(keys, 0L, (n, x) -> n + octet_length(x) div 8)").alias("hits"))
+    hits = written(repeated_keys(docs, prefix_keys), "prefixes").select("doc_id", F.expr("octet_length(keys) div 8").alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,12 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it again: lineage ends, lost executors cost nothing."""
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write df as Parquet below the shared folder and read it again: lineage ends, lost executors cost nothing.
+
+    free: df shuffled much, so its shuffle files should go before the next plan starts.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()  # Spark's cleaner frees the shuffle files of plans that are done only after this
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if free:
+        freed(df.sparkSession)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are done; it learns of them only when both heaps are collected."""
+    for _ in range(3):  # what was just run is in the hands of Spark's listeners for a moment, and weak references take a second round
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def width(spark: SparkSession) -> int:
@@ -137,11 +161,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Which of each document's 64-bit keys are also keys of another document: doc_id, keys array<binary> (uint64).
+    """Which of each document's 64-bit keys are also keys of another document: doc_id, keys (binary, uint64).
 
     keys_of gives (place of the document in the column, key) pairs, documents ascending. A key that several documents of
     one slice hold is a hit for each of them at once and sent on only once, so a key of a third of all documents costs a
-    task one entry a slice. Entries meet by key; hits are dealt out by document.
+    task one entry a slice. Entries meet by key; hits are dealt out by document and gathered there, so each document is one row.
     """
     parts = width(docs.sparkSession)
 
@@ -164,7 +188,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarra
             yield from dealt((mixed(hit_doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), hit_doc, key[many], True)
 
     def dealt(to: np.ndarray, ids: np.ndarray, key: np.ndarray, hit: bool) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(to, kind="stable")
+        order = np.argsort(to.astype(np.int16) if parts < 32_768 else to, kind="stable")  # short integers are sorted by radix
         to, ids, key = to[order], ids[order], key[order]
         cut = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to)) if len(to) else np.zeros(1, np.int64)
         rows = [(int(to[a]), ids[a:b].tobytes(), key[a:b].tobytes(), hit) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
@@ -172,24 +196,28 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["part", "ids", "keys", "hit"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ids, all_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for batch in batches:
-            for ids, key, hit in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                ids, key = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(key.as_py(), np.uint64)
-                if hit.as_py():
-                    yield from told(ids, key)
-                else:
-                    all_ids.append(ids)
-                    all_keys.append(key)
-        ids, key = np.concatenate(all_ids), np.concatenate(all_keys)
+        ids, key, hit = gathered(batches)
+        hit_ids, hit_keys = ids[hit], key[hit]
+        ids, key = ids[~hit], key[~hit]
         order = np.argsort(key, kind="stable")
         ids, key = ids[order], key[order]
         same = np.zeros(len(key) + 1, dtype=bool)
-        same[1:-1] = (key[1:] == key[:-1])
+        same[1:-1] = key[1:] == key[:-1]
         found = same[1:] | same[:-1]
-        yield from told(ids[found], key[found])
+        ids, key = np.concatenate([hit_ids, ids[found]]), np.concatenate([hit_keys, key[found]])
+        yield from dealt((mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), ids, key, True)
 
-    def told(ids: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, keys, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        for batch in batches:
+            for one, key, hit in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                ids.append(np.frombuffer(one.as_py(), np.int64))
+                keys.append(np.frombuffer(key.as_py(), np.uint64))
+                hits.append(np.full(len(ids[-1]), hit.as_py()))
+        return np.concatenate(ids), np.concatenate(keys), np.concatenate(hits)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, key, _ = gathered(batches)
         order = np.argsort(ids, kind="stable")
         ids, key = ids[order], key[order]
         cut = np.append(np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)), len(ids)) if len(ids) else np.zeros(1, np.int64)
@@ -197,6 +225,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarra
             some = cut[at : at + 5001]
             yield pa.RecordBatch.from_arrays([pa.array(ids[some[:-1]]), pa.array([key[a:b].tobytes() for a, b in zip(some[:-1].tolist(), some[1:].tolist())], pa.binary())], names=["doc_id", "keys"])
 
-    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(send, "part int, ids binary, keys binary, hit boolean")
-    met = sent.repartition(parts, "part").mapInArrow(meet, "doc_id long, keys binary")
-    return met.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    packed = "part int, ids binary, keys binary, hit boolean"
+    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(send, packed)
+    met = sent.repartition(parts, "part").mapInArrow(meet, packed)
+    return met.repartition(parts, "part").mapInArrow(tell, "doc_id long, keys binary")

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Words, grams, mixed, ragged, repeated_keys, slices, texts, width, written
+from tidemark.llm.shared import Words, discard, grams, mixed, ragged, repeated_keys, slices, texts, width, written
 
 WINDOW = 13
 GRAM = 4
@@ -74,7 +74,7 @@ def segments(docs: DataFrame, hits: DataFrame) -> DataFrame:
             w = Words(part.column(1))
             doc, at, count, key = runs(w)
             listed = part.column(2).to_pylist()
-            held = [np.frombuffer(b"".join(x or ()), np.uint64) for x in listed]
+            held = [np.frombuffer(x, np.uint64) for x in listed]
             owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
             pair = lambda d, k: mixed(k ^ mixed(d.astype(np.uint64) + np.uint64(1)))
             keep = np.isin(pair(doc, key), pair(owner, np.concatenate([np.zeros(0, np.uint64), *held])))
@@ -94,14 +94,19 @@ def segments(docs: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def split_hot(rows: DataFrame, hot: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Segments of hot minimisers become single windows, keyed by their own hash; a1, a2 name a segment's words."""
+    """Segments of hot minimisers become single windows, keyed by their own hash."""
     marked = rows.join(hot, "key", "left")
     split = F.split("words", " ")
     single = F.transform(F.sequence(F.lit(0), F.size(split) - window), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(split, i + 1, window), " ").alias("words")))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.col("words").alias("words")))
     out = marked.select("doc_id", "key", "start", "hot", F.explode(F.when(F.col("hot"), single).otherwise(whole)).alias("x"))
     key = F.when(F.col("hot"), F.xxhash64("x.words")).otherwise(F.col("key"))
-    return out.select("doc_id", key.alias("key"), (F.col("start") + F.col("x.i")).alias("start"), F.col("x.words").alias("words"), F.xxhash64("x.words").alias("a1"), F.xxhash64("x.words", F.lit(1)).alias("a2"))
+    return out.select("doc_id", key.alias("key"), (F.col("start") + F.col("x.i")).alias("start"), F.col("x.words").alias("words"))
+
+
+def name_of(words: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a segment's words in joins."""
+    return F.xxhash64(words).alias("a1"), F.xxhash64(words, F.lit(1)).alias("a2")
 
 
 class Wavelet:
@@ -235,25 +240,27 @@ def searched(distinct: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a1[own], a2[own], place[at], length, least[at])], names=["a1", "a2", "skip", "length", "least"])
 
     dealt = distinct.repartition(width(distinct.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.select("key", "words", "a1", "a2", "first", "final").mapInArrow(run, "a1 long, a2 long, skip long, length long, least long")
+    return dealt.select("key", "words", *name_of(F.col("words")), "first", "final").mapInArrow(run, "a1 long, a2 long, skip long, length long, least long")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, spans array<struct<start, length>>: words to remove, as runs of windows (first window, windows)."""
     rows = texts(docs).where("doc_id IS NOT NULL")
-    hits = written(repeated_keys(rows, minimisers), "repeated")
-    found = written(segments(rows, hits), "segments")
+    hits = written(repeated_keys(rows, minimisers), "repeated", free=True)
+    found = written(segments(rows, hits), "segments", free=True)
+    discard(hits)
     per_key = found.select("key", F.xxhash64("words").alias("a1")).groupBy("key", "a1").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"))
     hot = written(per_key.where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")), "hot")
-    distinct = split_hot(found, hot).groupBy("key", "words", "a1", "a2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"))
-    least = written(searched(distinct), "holders")
-    places = split_hot(found, hot).select("doc_id", "start", "a1", "a2")
+    distinct = split_hot(found, hot).groupBy("key", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"))
+    least = written(searched(distinct), "holders", free=True)
+    places = split_hot(found, hot).select("doc_id", "start", *name_of(F.col("words")))
     removed = places.join(least, ["a1", "a2"]).where("least < doc_id").select("doc_id", F.struct((F.col("start") + F.col("skip")).alias("start"), "length").alias("span"))
     return removed.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
 
 
 def stripped(docs: DataFrame, keep_text: bool, *keep: str) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and the kept words) of each document, and the columns named."""
+    """doc_id, n_words, n_removed, kept_sha256 of each document, and the columns named; with keep_text also kept: the words
+    left over, or the text as it is where none goes."""
     spans = removals(docs)
     rows = texts(docs, *keep).join(spans, "doc_id", "left").select("doc_id", "text", "spans", *keep)
     extra = [rows.schema[k] for k in keep]
@@ -261,8 +268,8 @@ def stripped(docs: DataFrame, keep_text: bool, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
             out: list[list] = [[], [], [], []]
-            for text, spans in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                words = text.as_py().encode().split()
+            for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                words = text.encode().split()
                 n = len(words)
                 if spans:
                     gone = np.zeros(n + 1, dtype=np.int64)
@@ -272,7 +279,7 @@ def stripped(docs: DataFrame, keep_text: bool, *keep: str) -> DataFrame:
                     np.add.at(gone, end, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
                 left = b" ".join(words)
-                for to, value in zip(out, (n, n - len(words), hashlib.sha256(left).hexdigest(), left.decode() if keep_text else None), strict=True):
+                for to, value in zip(out, (n, n - len(words), hashlib.sha256(left).hexdigest(), (text if len(words) == n else left.decode()) if keep_text else None), strict=True):
                     to.append(value)
             made = [pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *made, *(part.column(3 + i) for i in range(len(keep)))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *keep])
