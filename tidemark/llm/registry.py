@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, jaccard, matroska, pack, quality, rules, secrets, substrings, toxicity, urls
+from tidemark.llm import bpe, jaccard, matroska, oracles, pack, quality, rules, secrets, substrings, toxicity, urls
 
 MODULES = (jaccard, secrets, toxicity, quality, urls, pack, bpe, rules, matroska, substrings)
 
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+    return {k: v for m in (*MODULES, oracles) for k, v in m.SQL.items()}

@@ -20,6 +20,7 @@ from tidemark.llm.shared import written
 SPAN = 8
 MIN_WORDS, MOST_REPEATED = 20, 30
 MOST_RATE = 0.5
+SALTS = 64
 SYMBOLS = "#*$%&|<>"
 WHITE_CHARS = " \t\n\x0b\f\r"
 WHITE = r"[\x20\x09-\x0D]+"
@@ -73,7 +74,9 @@ def judge(docs: DataFrame, host: Column | None = None, most_rate: float = MOST_R
     rows = written(describe(docs, F.col("source") if host is None else host), "rules")
     hosts = host_rates(rows, most_rate).select("host", "host_rate", "host_bad")
     kept = ~(F.col("base_failed") | (F.col("host_bad") & F.col("soft_failed")))
-    return rows.join(hosts, "host").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("host_rate", 9).alias("host_rate"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))  # a host may hold a third of all rows
+    return rows.join(hosts.select("*", salts), ["host", "salt"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.floor(F.col("host_rate") * 1e6 + 0.5).cast("long").alias("host_rate_millionths"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
