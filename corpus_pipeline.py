@@ -32,23 +32,23 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.join_documents(docs)
-    rest = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
-    kept = docs.join(rest, docs.doc_id == rest.gone, "left_anti")
-    return one_row_each(kept)
+    rest = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates", free=True)
+    return one_row_each(docs.select(*COLUMNS).join(rest, docs.doc_id == rest.gone, "left_anti"))
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:
-    """Of rows with one doc_id the first by its other columns; rows without doc_id all stay. Only repeated ids are ordered."""
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    single = docs.join(again, "doc_id", "left_anti")
+    """Of rows with one doc_id the first by its other columns; rows without doc_id all stay. Texts move only if ids do repeat."""
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids", free=True)
+    if again.isEmpty():
+        return docs
     first = W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
     several = docs.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return single.select(*COLUMNS).union(several.select(*COLUMNS))
+    return docs.join(again, "doc_id", "left_anti").select(*COLUMNS).union(several.select(*COLUMNS))
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = substrings.stripped(docs.withColumn("original", F.col("text")), True, "original", "lang", "source", "n_chars")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("original"))
+    rows = substrings.stripped(docs.withColumn("no_text", F.col("text").isNull()), True, "no_text", "lang", "source", "n_chars")
+    text = F.when(~F.col("no_text"), F.col("kept"))
     chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
     return rows.where("n_removed = 0 OR n_removed < n_words").select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
 
