@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Words, grams, mixed, repeated_keys, slices, texts, written
+from tidemark.llm.shared import Words, discard, grams, mixed, repeated_keys, slices, texts, written
 
 SHINGLE = 5
 CHUNK = 256
@@ -49,8 +49,12 @@ def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             docs.append(own)
             keys.append(grams(h, k)[w.first[own]])
     doc, key = np.concatenate(docs), np.concatenate(keys)
-    order = np.lexsort((key, doc))
-    doc, key = doc[order], key[order]
+    if len(docs) > 1:
+        order = np.argsort(doc, kind="stable")
+        doc, key = doc[order], key[order]
+    cut = np.searchsorted(doc, np.arange(len(count) + 1)).tolist()
+    for a, b in zip(cut, cut[1:]):
+        key[a:b].sort()
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     return doc[new], key[new]
@@ -71,7 +75,7 @@ def prefix_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def candidate_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n of every document; set (and its two hashes) of those that may have a partner."""
-    hits = written(repeated_keys(docs, prefix_keys), "prefixes").select("doc_id", F.expr("octet_length(keys) div 8").alias("hits"))
+    hits = written(repeated_keys(docs, prefix_keys), "prefixes", free=True).select("doc_id", F.expr("octet_length(keys) div 8").alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
@@ -82,12 +86,13 @@ def candidate_sets(docs: DataFrame) -> DataFrame:
             end = np.cumsum(n)
             ends = np.concatenate([[0], np.cumsum(np.where(likely, n, 0))])
             own = np.concatenate([np.zeros(0, np.uint64), *(key[end[i] - n[i] : end[i]] for i in np.flatnonzero(likely))])
-            lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(own.view(np.int64))).cast(pa.list_(pa.int64()))
+            # a null offset makes a null list
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~likely, False)), pa.array(own.view(np.int64)))
             total = np.concatenate([[0], np.cumsum(mixed(key))]).astype(np.uint64)
             other = np.concatenate([[0], np.cumsum(mixed(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]).astype(np.uint64)
             s1, s2 = ((t[end] - t[end - n]).view(np.int64) for t in (total, other))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(s1, mask=~likely), pa.array(s2, mask=~likely), pa.array([x if k else None for x, k in zip(lists, likely)], pa.list_(pa.int64()))],
+                [part.column(0), pa.array(n, pa.int64()), pa.array(s1, mask=~likely), pa.array(s2, mask=~likely), lists],
                 names=["doc_id", "n", "s1", "s2", "keys"],
             )
 
@@ -97,7 +102,7 @@ def candidate_sets(docs: DataFrame) -> DataFrame:
 def ordered_sets(reps: DataFrame) -> DataFrame:
     """id, n, rare (shingles nobody shares), keys: the shared ones by document frequency, then hash."""
     each = reps.select("id", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = written(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "frequencies", free=True)
     back = each.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("k"))
     return reps.select("id", "n").join(back, "id").select("id", "n", (F.col("n") - F.size("k")).alias("rare"), F.col("k.key").alias("keys"))
 
@@ -249,7 +254,7 @@ def linked(sets: DataFrame, stars: int = STARS) -> DataFrame | None:
         chunk = F.xxhash64("centre", F.pmod(F.xxhash64("id"), F.lit(64)))
         dealt = pairs.select("id", "centre", chunk.alias("chunk"))
         centres = dealt.select("chunk", F.col("centre").alias("id")).distinct()
-        found = written(verified(dealt.select("chunk", "id"), centres, sets, False), "links")
+        found = written(verified(dealt.select("chunk", "id"), centres, sets, False), "links", free=True)
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)
@@ -264,15 +269,19 @@ def linked(sets: DataFrame, stars: int = STARS) -> DataFrame | None:
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = texts(docs)
-    sets = written(candidate_sets(rows), "sets")
+    sets = written(candidate_sets(rows), "sets", free=True)
     likely = sets.where("keys IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(likely.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
     reps = likely.join(classes.select("id", F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("id")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
     reps = reps.groupBy("id").agg(F.max_by(F.struct("n", "keys"), "n").alias("x")).select("id", "x.n", "x.keys")
-    ordered = written(ordered_sets(written(reps, "classes-sets")), "ordered")
+    reps = written(reps, "class-sets", free=True)
+    small = written(sets.select("doc_id", "n", "s1", "s2"), "sizes")
+    discard(sets)
+    ordered = written(ordered_sets(reps), "ordered", free=True)
+    discard(reps)
     labels = linked(ordered)
     named = labelled(classes, labels).select("s1", "s2", "component")
-    out = sets.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    out = small.join(named, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
