@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import alerts, geo, kernels, text, timeq
 from tidemark.operators import asof, catalog, retrieve, route, sessions, spatial, trust, zones
+from tidemark.plans import catalogue
 from tidemark.sources import dimensions, readers
 from tidemark.streaming import alerts as machine
 from tidemark.streaming import windows
@@ -150,6 +152,51 @@ def test_routes_agree_and_walls_hold(spark):
     assert (5, 0) not in reached and (1, 5) in reached
 
 
+def heap_costs(cells, start):
+    """Least costs of all cells by one heap search."""
+    best, heap = {start: 0.0}, [(0.0, start)] if start in cells else []
+    while heap:
+        cost, (r, c) = heapq.heappop(heap)
+        for a, b in route.STEPS:
+            to = (r + a, c + b)
+            if cost <= best[r, c] and to in cells:
+                wave, wind = cells[to]
+                new = cost + max(0.1, 1.0 + 2.0 * wave + 0.6 * (wind / 10.0)) * math.hypot(a, b)
+                if new < best.get(to, math.inf):
+                    best[to] = new
+                    heapq.heappush(heap, (new, to))
+    return best if start in cells else {}
+
+
+def test_route_cost_of_all_events(spark, tmp_path):
+    n, side, cells = 6000, 79, {}  # more than one tile
+    spark.range(n).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    for i in range(n):
+        if i % 13 and (i % 5 == 0 or i % 20 >= 2):
+            cells[i % side, i // side] = (i * 5 % 32 * 0.125, float(i % 9))
+    expected = {k: math.floor(x * 1000.0 + 0.5) for k, x in heap_costs(cells, (5, 0)).items()}
+    got = {(r.row, r.col): r.cost_milli for r in catalogue.queries()["route_cost"](spark, str(tmp_path)).collect()}
+    assert len(got) > 4000 and got.keys() == expected.keys() and all(abs(got[k] - expected[k]) <= 1 for k in got)
+
+
+def test_long_walls_are_followed_to_the_end(spark):
+    n = 70  # a corridor that turns at each second row: over 2,000 steps, crossing the tiles' border again and again
+    wall = {(r, c) for r in range(1, n, 2) for c in range(n) if c != (n - 1 if r % 4 == 1 else 0)}
+    cells = route.navigable(grid(spark, n, wall), 2.0)
+    expected = heap_costs({(r, c): (float((r * 3 + c) % 4), 5.0) for r in range(n) for c in range(n) if (r, c) not in wall}, (0, 0))
+    got = {(r.row, r.col): r.cost for r in route.relax(spark, cells, (0, 0)).collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+    with pytest.raises(RuntimeError):
+        route.relax(spark, cells, (0, 0), rounds=2)
+
+
+def test_shared_cells_and_no_events(spark):
+    ids = spark.createDataFrame([(0,), (1,), (10,)], "event_id long")  # a side of 3
+    got = {(r.row, r.col): (r.wave_height_m, r.wind_speed_ms, r.blocked, r.depth_m) for r in route.grid_of(ids).collect()}
+    assert got == {(0, 0): (0.0, 0.0, True, None), (1, 0): (1.4375, 1.0, False, 1.0)}
+    assert route.relax(spark, route.navigable(route.grid_of(ids.limit(0)), 2.0), (5, 0)).count() == 0
+
+
 def test_levels_and_closure(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "source_id string, target_id string")
     assert dict(values(route.levels(spark, edges), "node", "level")) == {"a": 0, "b": 1, "c": 2, "d": 3}

@@ -1,4 +1,4 @@
-"""Least-cost routes, levels and closures by bounded iteration."""
+"""Least-cost routes, levels and closures by iteration."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from tidemark.functions.kernels import step_cost
 
 STEPS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 DIAGONAL = math.sqrt(2.0)
+TILE = 64  # cells a side of what one heap search settles
 
 
 def navigable(cells: DataFrame, min_depth: float) -> DataFrame:
@@ -31,20 +32,78 @@ def neighbours(cells: DataFrame) -> DataFrame:
     return steps.join(cells, ["row", "col"]).select("r0", "c0", "row", "col", (step_cost(F.col("wave_height_m"), F.col("wind_speed_ms"), current) * length).alias("cost"))
 
 
-def relax(spark: SparkSession, cells: DataFrame, start: tuple[int, int], rounds: int = 200, table: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """row, col, cost of every cell that start reaches (Bellman-Ford, only improved cells go on). Each round is written."""
+def grid_of(events: DataFrame) -> DataFrame:
+    """All events as the cells of a square grid whose side follows their count; events that share a cell are one.
+
+    A cell has the mean wave height and wind, is blocked if any of its events is, and as deep as its shallowest known.
+    The side has no factor in common with the periods of blocked (13) and shallow (20) ids, else whole rows are walls.
+    """
+    side = math.isqrt(max(events.count() - 1, 0)) + 1
+    while math.gcd(side, 13 * 20) > 1:
+        side += 1
+    i = F.col("event_id")
+    rows = events.select(
+        F.pmod(i, F.lit(side)).cast("int").alias("row"), F.pmod(F.floor(i / side), F.lit(side)).cast("int").alias("col"), (F.pmod(i * 5, F.lit(32)) * 0.125).alias("wave"), F.pmod(i, F.lit(9)).cast("double").alias("wind"),
+        (F.pmod(i, F.lit(13)) == 0).alias("shut"), F.when(F.pmod(i, F.lit(5)) != 0, F.pmod(i, F.lit(20)).cast("double")).alias("depth"),
+    )
+    return rows.groupBy("row", "col").agg(F.avg("wave").alias("wave_height_m"), F.avg("wind").alias("wind_speed_ms"), F.max("shut").alias("blocked"), F.min("depth").alias("depth_m"))
+
+
+def settle(edges: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    """Heap search inside one tile from its fresh offers: cells that improve (cost), and offers to cells of other tiles."""
+    out: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    for r0, c0, r, c, w in zip(edges["r0"].tolist(), edges["c0"].tolist(), edges["row"].tolist(), edges["col"].tolist(), edges["cost"].tolist()):
+        out.setdefault((r0, c0), []).append((r, c, w))
+    tile = (int(cells["ti"].iloc[0]), int(cells["tj"].iloc[0]))
+    best: dict[tuple[int, int], float] = {}
+    heap, better, offers = [], set(), {}
+    for r, c, cost, offer in zip(cells["row"].tolist(), cells["col"].tolist(), cells["cost"].tolist(), cells["offer"].tolist()):
+        best[r, c] = math.inf if math.isnan(cost) else cost
+        if offer < best[r, c]:
+            best[r, c] = offer
+            better.add((r, c))
+            heap.append((offer, (r, c)))
+    heapq.heapify(heap)
+    while heap:
+        cost, at = heapq.heappop(heap)
+        if cost > best[at]:
+            continue
+        for r, c, w in out.get(at, ()):
+            to, new = (r, c), cost + w
+            if (r // TILE, c // TILE) != tile:
+                offers[to] = min(new, offers.get(to, math.inf))
+            elif new < best.get(to, math.inf):
+                best[to] = new
+                better.add(to)
+                heapq.heappush(heap, (new, to))
+    rows = [(r, c, best[r, c], None) for r, c in better] + [(r, c, None, x) for (r, c), x in offers.items()]
+    return pd.DataFrame(rows, columns=["row", "col", "cost", "offer"])
+
+
+def relax(spark: SparkSession, cells: DataFrame, start: tuple[int, int], rounds: int | None = None, table: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """row, col, cost of every cell that start reaches, until nothing improves; a bound on rounds that is hit is an error.
+
+    The grid is dealt in tiles of TILE x TILE cells. A round settles the tiles that got a better offer from outside, each
+    by a heap search, and passes offers over their borders, so rounds follow the tiles on a path, not its cells.
+    """
     keep = table or checkpointed
-    edges = keep(neighbours(cells), "edges")
-    best = keep(cells.where((F.col("row") == start[0]) & (F.col("col") == start[1])).select("row", "col", F.lit(0.0).alias("cost")), "best")
-    changed = best
-    for _ in range(rounds):
-        reach = changed.select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("cost").alias("base")).join(edges, ["r0", "c0"])
-        offer = reach.groupBy("row", "col").agg(F.min(F.col("base") + F.col("cost")).alias("offer"))
-        merged = keep(best.join(offer, ["row", "col"], "full_outer").select("row", "col", F.least("cost", "offer").alias("cost"), (F.col("cost").isNull() | (F.col("offer") < F.col("cost"))).alias("better")), "best")
-        best, changed = merged.select("row", "col", "cost"), merged.where("better").select("row", "col", "cost")
-        if changed.isEmpty():
-            break
-    return best
+    types = dict(cells.dtypes)
+    tile = [F.floor(F.col("row") / TILE).cast("int").alias("ti"), F.floor(F.col("col") / TILE).cast("int").alias("tj")]
+    of_source = [F.floor(F.col("r0") / TILE).cast("int").alias("ti"), F.floor(F.col("c0") / TILE).cast("int").alias("tj")]
+    edges = keep(neighbours(cells).select(*of_source, "r0", "c0", "row", "col", "cost"), "edges")
+    none = F.lit(None).cast("double").alias
+    best = keep(cells.where((F.col("row") == start[0]) & (F.col("col") == start[1])).select("row", "col", none("cost"), F.lit(0.0).alias("offer")), "best")
+    done = 0
+    while not (fresh := best.where("offer < coalesce(cost, double('infinity'))")).isEmpty():
+        if done == rounds:
+            raise RuntimeError(f"costs still change after {rounds} rounds")
+        active = fresh.select(*tile).distinct()
+        own = best.select(*tile, "row", "col", "cost", "offer").join(active, ["ti", "tj"], "left_semi")
+        local = edges.join(active, ["ti", "tj"], "left_semi")
+        step = local.groupBy("ti", "tj").cogroup(own.groupBy("ti", "tj")).applyInPandas(settle, f"row {types['row']}, col {types['col']}, cost double, offer double")
+        best = keep(best.select("row", "col", "cost", none("offer")).union(step).groupBy("row", "col").agg(F.min("cost").alias("cost"), F.min("offer").alias("offer")), "best")
+        done += 1
+    return best.select("row", "col", "cost")
 
 
 def checkpointed(df: DataFrame, _name: str) -> DataFrame:

@@ -401,7 +401,7 @@ def provenance_closure(spark: SparkSession, d: str) -> DataFrame:
 
 @query("route_cost")
 def route_cost(spark: SparkSession, d: str) -> DataFrame:
-    cells = route.navigable(view(spark, d, "grid"), 2.0).dropDuplicates(["row", "col"])
+    cells = route.navigable(route.grid_of(view(spark, d, "events")), 2.0)
     return route.relax(spark, cells, (5, 0)).select("row", "col", kernels.tenths(F.col("cost") * 100.0).alias("cost_milli"))
 
 
