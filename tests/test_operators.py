@@ -203,6 +203,23 @@ def test_levels_and_closure(spark):
     assert {x[0] for x in values(route.closure(spark, edges).where("target = 'd'"), "ancestor")} == {"a", "b", "c"}
 
 
+def test_levels_and_closure_have_no_depth_limit(spark):
+    deep = 52  # layers of two nodes: 2 ** 51 paths
+    layers = spark.createDataFrame([(f"{a}{k}", f"{b}{k + 1}") for k in range(deep) for a in "xy" for b in "xy"], "source_id string, target_id string")
+    assert dict(values(route.levels(spark, layers), "node", "level")) == {f"{a}{k}": k for k in range(deep + 1) for a in "xy"}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(24)], "source_id int, target_id int")
+    assert sorted(values(route.closure(spark, chain), "target", "ancestor")) == [(t, a) for t in range(25) for a in range(t)]
+
+
+def test_levels_and_closure_on_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")], "source_id string, target_id string")
+    assert sorted(values(route.closure(spark, edges).where("target = 'b'"), "ancestor")) == [("a",), ("b",), ("c",)]
+    with pytest.raises(ValueError):
+        route.levels(spark, edges)
+    with pytest.raises(ValueError):
+        route.levels(spark, edges.where("source_id <> 'a'"))
+
+
 def test_conflicts(spark):
     rows = spark.createDataFrame([("w", "a", 1.0, 0.9), ("w", "b", 1.4, 0.5), ("x", "b", 1.0, 0.9), ("x", "a", 3.0, 0.9), ("y", "a", 1.0, 0.1), ("y", "b", 9.0, 0.9), ("z", "a", 5.0, 0.5)], "variable string, source string, value double, reliability double")
     got = {r.variable: r for r in trust.resolve_conflicts(rows, ["variable"], F.lit(0.5)).collect()}

@@ -143,23 +143,38 @@ def routes(grids: DataFrame, by: str) -> DataFrame:
     return grids.groupBy(by).applyInPandas(search, f"{by} {dict(grids.dtypes)[by]}, cost double")
 
 
-def levels(spark: SparkSession, edges: DataFrame, most: int = 50) -> DataFrame:
-    """node, level: length of the longest path that ends in it (0 for roots); deeper than `most` isn't followed."""
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, level) MAX RECURSION LEVEL {most} AS (
-  SELECT DISTINCT source_id, 0 FROM {{edges}} a WHERE NOT EXISTS (SELECT 1 FROM {{edges}} b WHERE b.target_id = a.source_id)
-  UNION ALL SELECT e.target_id, w.level + 1 FROM walk w JOIN {{edges}} e ON e.source_id = w.node WHERE w.level < {most - 1})
-SELECT node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY node""",
-        edges=edges,
-    )
-
-
-def closure(spark: SparkSession, edges: DataFrame, most: int = 20) -> DataFrame:
-    """target, ancestor: everything that each node derives from, cycle-safe by the depth bound."""
-    return spark.sql(
-        f"""WITH RECURSIVE up(target, ancestor, depth) MAX RECURSION LEVEL {most} AS (
-  SELECT target_id, source_id, 1 FROM {{edges}}
-  UNION ALL SELECT u.target, e.source_id, u.depth + 1 FROM up u JOIN {{edges}} e ON e.target_id = u.ancestor WHERE u.depth < {most - 1})
-SELECT DISTINCT target, ancestor FROM up""",
-        edges=edges,
-    )
+def levels(spark: SparkSession, edges: DataFrame, table: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """node, level: length of the longest path that ends in it (0 for roots). A cycle is an error.
+
+    A round places the nodes whose sources are all placed, so its number is their level and each node is one row.
+    """
+    keep = table or checkpointed
+    edges = keep(edges.where("source_id IS NOT NULL AND target_id IS NOT NULL").select("source_id", "target_id").distinct(), "edges")
+    level = lambda k: F.lit(k).cast("long").alias("level")
+    placed = keep(edges.select(F.col("source_id").alias("node")).distinct().join(edges.select(F.col("target_id").alias("node")), "node", "left_anti").select("node", level(0)), "placed")
+    done = 0
+    while True:
+        rest = edges.join(placed.select(F.col("node").alias("source_id")), "source_id", "left_anti")
+        last = placed.where(F.col("level") == done).select(F.col("node").alias("source_id"))
+        free = edges.join(last, "source_id", "left_semi").select("target_id").distinct().join(rest, "target_id", "left_anti")
+        grown = keep(placed.union(free.select("target_id", level(done + 1))), "placed")
+        if grown.where(F.col("level") == done + 1).isEmpty():
+            break
+        placed, done = grown, done + 1
+    if not rest.isEmpty():
+        raise ValueError("the edges hold a cycle")
+    return placed
+
+
+def closure(spark: SparkSession, edges: DataFrame, table: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """target, ancestor: everything that each node derives from, at any depth; only pairs that are new go on, so cycles end."""
+    keep = table or checkpointed
+    edges = keep(edges.select("target_id", "source_id").distinct(), "edges")
+    known = keep(edges.select(F.col("target_id").alias("target"), F.col("source_id").alias("ancestor"), F.lit(0).alias("turn")), "pairs")
+    done = 0
+    while True:
+        last = known.where(F.col("turn") == done).join(edges, F.col("ancestor") == F.col("target_id")).select("target", F.col("source_id").alias("ancestor")).distinct()
+        grown = keep(known.union(last.join(known, ["target", "ancestor"], "left_anti").select("target", "ancestor", F.lit(done + 1))), "pairs")
+        if grown.where(F.col("turn") == done + 1).isEmpty():
+            return known.select("target", "ancestor")
+        known, done = grown, done + 1
