@@ -45,6 +45,17 @@ def test_query(spark, oracle, name):
         assert rows(got) == rows(oracle.sql(catalogue.oracle_sql()[name]).df())
 
 
+@pytest.mark.parametrize("files", [0, 2])
+def test_stream_reads_a_file_or_a_folder(spark, tmp_path, files):
+    events = spark.read.parquet(f"{DIR}/events.parquet").where("event_id < 60")
+    if files:
+        events.repartition(files).write.parquet(str(tmp_path / "events.parquet"))
+    else:
+        events.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    batch, stream = (catalogue.queries()[f"alert_dedup_{kind}"](spark, str(tmp_path)).count() for kind in ("batch", "stream"))
+    assert batch == stream == 60
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -538,7 +538,7 @@ def alert_dedup_stream(spark: SparkSession, d: str) -> DataFrame:
 
     name = f"alerts_{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
-    stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")  # a glob may be a file or a folder
     outcome = F.element_at(F.array(*map(F.lit, ("clear", "watch", "warning", "emergency", "unevaluated"))), (F.col("event_id") % 5 + 1).cast("int"))
     rule = F.when(F.col("event_type") == "click", "geofence_drift").otherwise(F.col("event_type"))
     rows = stream.select("user_id", rule.alias("rule"), F.lit("h").alias("hazard"), F.col("ts").cast("timestamp").alias("at"), outcome.alias("outcome"))
