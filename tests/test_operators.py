@@ -190,6 +190,24 @@ def test_long_walls_are_followed_to_the_end(spark):
         route.relax(spark, cells, (0, 0), rounds=2)
 
 
+def test_path_baseline_and_currents(spark):
+    wall = {(2, c) for c in range(5)}
+    cells = route.navigable(grid(spark, 6, wall), 2.0)
+    cells = route.checkpointed(cells.withColumn("current_east_ms", (F.col("col") % 3) * 0.5).withColumn("current_north_ms", F.lit(-0.4)), "cells")
+    best = route.relax(spark, cells, (0, 0))
+    one = cells.selectExpr("1 AS g", "*", "0 AS start_row", "0 AS start_col", "5 AS goal_row", "0 AS goal_col")
+    cost = {(r.row, r.col): r.cost for r in best.collect()}
+    assert route.routes(one, "g").first().cost == pytest.approx(cost[5, 0])
+    path = sorted(values(route.trace(cells, best, (5, 0), 2.0), "leg", "row", "col", "cost", "distance_nm"))
+    step = {(r.r0, r.c0, r.row, r.col): r.cost for r in route.neighbours(cells).collect()}
+    assert path[0] == (0, 0, 0, 0.0, 0.0) and path[-1][1:4] == (5, 0, cost[5, 0]) and [p[0] for p in path] == list(range(len(path)))
+    assert sum(step[a[1:3] + b[1:3]] for a, b in zip(path, path[1:])) == pytest.approx(cost[5, 0]) and path[-1][4] == 2.0 * (len(path) - 1)
+    assert route.trace(cells, best, (2, 0)).count() == 0
+    assert route.straight(spark, cells, (0, 0), (5, 0)).first().cost is None and route.straight(spark, cells, (1, 1), (1, 1)).first().cost == 0.0
+    line = [(0, 0), (0, 1), (0, 2), (1, 3), (1, 4)]  # a quarter of a row a step, the half goes to the even row 0
+    assert route.straight(spark, cells, (0, 0), (1, 4)).first().cost == pytest.approx(sum(step[a + b] for a, b in zip(line, line[1:])))
+
+
 def test_shared_cells_and_no_events(spark):
     ids = spark.createDataFrame([(0,), (1,), (10,)], "event_id long")  # a side of 3
     got = {(r.row, r.col): (r.wave_height_m, r.wind_speed_ms, r.blocked, r.depth_m) for r in route.grid_of(ids).collect()}

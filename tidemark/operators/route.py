@@ -116,11 +116,44 @@ def checkpointed(df: DataFrame, _name: str) -> DataFrame:
     return df.checkpoint()
 
 
+def trace(cells: DataFrame, best: DataFrame, goal: tuple[int, int], cell_nm: float = 1.0, table: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """leg, row, col, cost, distance_nm of the cells from the start of relax() to goal; no rows if goal isn't reached.
+
+    A cell's predecessor is the neighbour that its least cost comes from (costs grow on the way, so there are no cycles).
+    The path doubles with each round. As in the reference, a leg counts one cell size, diagonal or not.
+    """
+    keep = table or checkpointed
+    base = best.select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("cost").alias("base"))
+    offers = base.join(neighbours(cells), ["r0", "c0"]).groupBy("row", "col").agg(F.min(F.struct((F.col("base") + F.col("cost")).alias("cost"), "r0", "c0")).alias("m"))
+    jump = keep(offers.join(best.where("cost > 0").select("row", "col"), ["row", "col"]).select("row", "col", "m.r0", "m.c0"), "jump")
+    path, reach = keep(best.where((F.col("row") == goal[0]) & (F.col("col") == goal[1])).select("row", "col", F.lit(0).alias("back")), "path"), 1
+    while not (more := path.join(jump, ["row", "col"]).select(F.col("r0").alias("row"), F.col("c0").alias("col"), F.col("back") + reach)).isEmpty():
+        path = keep(path.union(more), "path")
+        on = jump.select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("r0").alias("r1"), F.col("c0").alias("c1"))
+        jump, reach = keep(jump.join(on, ["r0", "c0"]).select("row", "col", F.col("r1").alias("r0"), F.col("c1").alias("c0")), "jump"), 2 * reach
+    last = path.agg(F.max("back")).first()[0] or 0
+    leg = F.lit(last) - F.col("back")
+    return path.join(best, ["row", "col"]).select(leg.alias("leg"), "row", "col", "cost", (leg * cell_nm).alias("distance_nm"))
+
+
+def straight(spark: SparkSession, cells: DataFrame, start: tuple[int, int], goal: tuple[int, int]) -> DataFrame:
+    """cost of the rasterised straight line between two cells (rounded half to even); null if it leaves the navigable cells."""
+    n = max(abs(goal[0] - start[0]), abs(goal[1] - start[1]))
+    if n == 0:
+        return cells.where((F.col("row") == start[0]) & (F.col("col") == start[1])).agg(F.when(F.count("*") > 0, 0.0).alias("cost"))
+    at = lambda k, i: (F.lit(start[k]) + F.rint(F.lit(goal[k] - start[k]) * i / n)).cast("int")
+    i = F.col("id")
+    line = spark.range(1, n + 1).select(at(0, i - 1).alias("r0"), at(1, i - 1).alias("c0"), at(0, i).alias("row"), at(1, i).alias("col"))
+    return line.join(neighbours(cells), ["r0", "c0", "row", "col"], "left").agg(F.when(F.count("cost") == n, F.sum("cost")).alias("cost"))
+
+
 def routes(grids: DataFrame, by: str) -> DataFrame:
     """Cost from (start_row, start_col) to (goal_row, goal_col) in each of many small grids: one heap search a group."""
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        cells = {(r, c): (w, v) for r, c, w, v in zip(frame["row"], frame["col"], frame["wave_height_m"], frame["wind_speed_ms"])}
+        still = [0.0] * len(frame)
+        flows = (frame["current_east_ms"], frame["current_north_ms"]) if {"current_east_ms", "current_north_ms"} <= set(frame.columns) else (still, still)
+        cells = {(r, c): x for r, c, *x in zip(frame["row"], frame["col"], frame["wave_height_m"], frame["wind_speed_ms"], *flows)}
         first = frame.iloc[0]
         start, goal = (first["start_row"], first["start_col"]), (first["goal_row"], first["goal_col"])
         best, heap = {start: 0.0}, [(0.0, start)] if start in cells and goal in cells else []
@@ -133,8 +166,9 @@ def routes(grids: DataFrame, by: str) -> DataFrame:
             for a, b in STEPS:
                 to = (at[0] + a, at[1] + b)
                 if to in cells:
-                    wave, wind = cells[to]
-                    new = cost + max(0.1, 1.0 + 2.0 * wave + 0.6 * (wind / 10.0)) * (DIAGONAL if a and b else 1.0)
+                    wave, wind, east, north = cells[to]
+                    length = DIAGONAL if a and b else 1.0
+                    new = cost + max(0.1, 1.0 + 2.0 * wave + 0.6 * (wind / 10.0) - (east * b + north * a) / length) * length
                     if new < best.get(to, math.inf):
                         best[to] = new
                         heapq.heappush(heap, (new, to))
