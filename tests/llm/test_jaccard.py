@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import jaccard
+from tidemark.llm.shared import Words
 
 
 def shingles(text):
@@ -77,3 +79,37 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "a long, b long")
     got = {r.id: r.component for r in jaccard.components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+def twins():
+    """Two different words that a polynomial hash modulo 2**64 can't tell apart: a Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_with_equal_polynomial_hashes_do_not_link(documents):
+    x, y = twins()
+    rows = [(1, x), (2, y), (3, x), (4, x[:48]), (5, y[:48])]
+    assert {tuple(r) for r in jaccard.join_documents(documents(rows)).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 5)}
+
+
+def test_hashes_of_words_of_every_length():
+    rng = np.random.default_rng(1)
+    words = sorted({"".join(map(chr, rng.integers(97, 99, n))) for n in [*range(1, 130)] * 20} | {"é" * k for k in range(1, 40)})
+    w = Words(pa.array([" ".join(words), " ".join(words[::-1])]))
+    for seed in (0, 1):
+        h = w.hashes(seed)
+        assert len(set(h.tolist())) == len(words) and (h[: len(words)] == h[len(words) :][::-1]).all()
+
+
+def test_a_large_group_of_near_copies_is_one_component(documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):  # each differs from the base, so many pairs are below the threshold
+        text = list(base)
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(80)] = f"x{rng.randrange(12)}"
+        rows.append((i, " ".join(text)))
+    assert {tuple(r) for r in jaccard.join_documents(documents(rows)).collect()} == brute(rows)

@@ -3,19 +3,25 @@
 1. Any two linked documents share several of the least-hashed shingles of their extended prefixes; only documents with
    that many repeated prefix shingles go on (one shuffle of packed prefix keys, one of the text).
 2. Documents with equal sets are one class, its smallest document stands for it.
-3. Shingles of the representatives are ordered by document frequency. A pair that links meets at its first common
+3. Shingles of the representatives are ordered by document frequency (half powers of two), then hash. A pair that links meets at its first common
    prefix shingle, where the rest of both sets must still be long enough (position filter).
-4. Candidates are probes against chunks of at most CHUNK sets; each chunk stores its globally ordered sets in a radix
-   trie, and a probe walks it, sharing partial overlaps and pruning subtrees by remaining-length bounds. First rounds
-   take one likely centre a document as the chunk, so that large groups of near copies become one component; after that
-   each document is held against all chunks of *other* components that meet it, so no link between components is lost
-   and none is sought inside one.
+4. Candidates are probes against chunks of about CHUNK sets; each chunk stores its globally ordered sets in a radix
+   trie, and a probe walks it, sharing partial overlaps and pruning subtrees by remaining-length bounds. Star rounds
+   take one likely centre a document, then waves hold each document against one chunk of the largest component it
+   meets, until a wave links few: large groups of near copies become one component by work in proportion to their
+   size. What still meets another component is held against all its chunks that fit, so no link between components is
+   lost and none is sought inside one. After each round components are contracted to points, so a round costs at most
+   one edge for each pair of components that it joins.
 
 Result: one row per document with its set size and component; links aren't expanded into pairs.
 
-Cases: null or wordless texts have empty sets and link with nothing; texts of under five words are one shingle; repeated
-rows are one class; ties are decided by the smaller doc_id; an empty table gives an empty result; rows without doc_id
-are alone; only doc_id and text are read, so other columns may be named anything.
+Shingles are 64-bit hashes, classes are named by two independent ones (128 bits); links of sets of under 9 shingles are
+equal sets, larger ones need 80 % of their shingles in common.
+
+Cases: null or wordless texts have empty sets and link with nothing; texts of under five words are one shingle; a very
+long text is one set like any other, handled by itself; repeated rows are one class; ties are decided by the smaller
+doc_id; an empty table gives an empty result; rows without doc_id are alone; only doc_id and text are read, so other
+columns may be named anything.
 """
 
 from __future__ import annotations
@@ -23,9 +29,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Words, discard, grams, mixed, repeated_keys, slices, texts, written
@@ -33,12 +38,13 @@ from tidemark.llm.shared import Words, discard, grams, mixed, repeated_keys, sli
 SHINGLE = 5
 CHUNK = 256
 STARS = 2
+WAVES = 16  # waves go on while one in so many probes links
 
 
-def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def sets_of(column: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Document and hash of each distinct shingle, sorted by both."""
     w = Words(column, lower=True)
-    h, doc = w.hashes(), w.doc()
+    h, doc = w.hashes(seed), w.doc()
     g = grams(h, SHINGLE)
     at = np.flatnonzero(doc[: len(g)] == doc[SHINGLE - 1 :]) if len(g) else np.zeros(0, np.int64)
     docs, keys = [doc[at]], [g[at]]
@@ -60,6 +66,13 @@ def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], key[new]
 
 
+def set_sums(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each document's mixed keys modulo 2**64."""
+    total = np.concatenate([[0], np.cumsum(mixed(key))]).astype(np.uint64)
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    return (total[cut[1:]] - total[cut[:-1]]).view(np.int64)
+
+
 def extra(n: np.ndarray) -> np.ndarray:
     """Common prefix shingles asked of a set of n beyond the plain prefix filter's one."""
     return np.maximum(1, n // 20)
@@ -73,9 +86,9 @@ def prefix_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return doc[keep], key[keep]
 
 
-def candidate_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n of every document; set (and its two hashes) of those that may have a partner."""
-    hits = written(repeated_keys(docs, prefix_keys), "prefixes", free=True).select("doc_id", F.expr("octet_length(keys) div 8").alias("hits"))
+def candidate_sets(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, n of every document; set (and its two names) of those that may have a partner."""
+    hits = hits.select("doc_id", F.expr("octet_length(keys) div 8").alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
@@ -83,28 +96,36 @@ def candidate_sets(docs: DataFrame) -> DataFrame:
             n = np.bincount(doc, minlength=len(part))
             hits = np.nan_to_num(part.column(2).to_numpy(zero_copy_only=False).astype(float))
             likely = (n > 0) & (hits >= extra((4 * n + 4) // 5))
-            end = np.cumsum(n)
+            at = np.flatnonzero(likely)
             ends = np.concatenate([[0], np.cumsum(np.where(likely, n, 0))])
-            own = np.concatenate([np.zeros(0, np.uint64), *(key[end[i] - n[i] : end[i]] for i in np.flatnonzero(likely))])
+            own = key[likely[doc]]
             # a null offset makes a null list
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~likely, False)), pa.array(own.view(np.int64)))
-            total = np.concatenate([[0], np.cumsum(mixed(key))]).astype(np.uint64)
-            other = np.concatenate([[0], np.cumsum(mixed(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]).astype(np.uint64)
-            s1, s2 = ((t[end] - t[end - n]).view(np.int64) for t in (total, other))
+            s1, s2 = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+            s1[at] = set_sums(doc, key, len(part))[at]
+            s2[at] = set_sums(*sets_of(part.column(1).take(pa.array(at)), 1), len(at))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n, pa.int64()), pa.array(s1, mask=~likely), pa.array(s2, mask=~likely), lists],
                 names=["doc_id", "n", "s1", "s2", "keys"],
             )
 
-    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    # hits grow with the documents, so they are never broadcast
+    return docs.join(hits.hint("merge"), "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
-def ordered_sets(reps: DataFrame) -> DataFrame:
-    """id, n, rare (shingles nobody shares), keys: the shared ones by document frequency, then hash."""
+def ordered_sets(reps: DataFrame, shared: DataFrame) -> DataFrame:
+    """id, n, rare (shingles nobody shares), keys: the shared ones as numbers in the global order: six bits of document
+    frequency (half powers of two), then 57 bits of the shingle, so rare ones come first."""
     each = reps.select("id", F.explode("keys").alias("key"))
-    shared = written(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "frequencies", free=True)
-    back = each.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("k"))
-    return reps.select("id", "n").join(back, "id").select("id", "n", (F.col("n") - F.size("k")).alias("rare"), F.col("k.key").alias("keys"))
+    code = F.shiftleft(F.col("step").cast("long"), 57).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 57) - 1)))
+    back = each.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(code)).alias("keys"))
+    return reps.select("id", "n").join(back, "id").select("id", "n", (F.col("n") - F.size("keys")).alias("rare"), "keys")
+
+
+def frequencies(reps: DataFrame) -> DataFrame:
+    """key, step (of document frequency) of the shingles that several representatives hold."""
+    counted = reps.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    return counted.select("key", F.least(F.lit(63), F.floor(2 * F.log2("df"))).cast("byte").alias("step"))
 
 
 class Trie:
@@ -165,26 +186,48 @@ class Trie:
         return out
 
 
-def join_chunk(frame: pd.DataFrame, one: bool) -> pd.DataFrame:
-    """Links of a chunk's probes with its members; one: at most one link a probe, as members are one component."""
-    inside, outside = frame[~frame["probe"]], frame[frame["probe"]]
-    if not len(inside) or not len(outside):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    known, back = np.unique(np.concatenate(inside["keys"].to_list()), return_inverse=True)
-    cuts = np.cumsum([len(k) for k in inside["keys"]])[:-1]
-    # most frequent first: near copies then share long paths
-    trie = Trie([s[::-1] for s in np.split(back, cuts)], inside["n"].tolist())
-    ids, a, b = inside["id"].to_numpy(), [], []
-    for probe, n, keys in zip(outside["id"], outside["n"], outside["keys"]):
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        at = at[known[at] == keys]
-        mask = np.zeros(len(known), dtype=np.int64)
+class Chunk:
+    """Members of a chunk in a trie over local numbers of their shingles."""
+
+    def __init__(self, ids: list[int], sizes: list[int], keys: list[np.ndarray]):
+        self.ids = ids
+        self.known, back = np.unique(np.concatenate(keys), return_inverse=True)
+        # most frequent first: near copies then share long paths
+        self.trie = Trie([x[::-1] for x in np.split(back, np.cumsum([len(k) for k in keys])[:-1])], sizes)
+
+    def linked(self, probe: int, n: int, keys: np.ndarray) -> list[int]:
+        """Members that link with a set."""
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        at = at[self.known[at] == keys]
+        mask = np.zeros(len(self.known), dtype=np.int64)
         mask[at] = 1
-        found = [i for i in trie.probe(mask, int(n), len(at)) if ids[i] != probe]
-        found = sorted(found, key=lambda i: ids[i])[:1] if one else found
-        a += [probe] * len(found)
-        b += [int(ids[i]) for i in found]
-    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        return sorted(self.ids[i] for i in self.trie.probe(mask, n, len(at)) if self.ids[i] != probe)
+
+
+def walked(batches: Iterator[pa.RecordBatch], one: bool) -> Iterator[pa.RecordBatch]:
+    """Links of each chunk's probes with its members. Rows are sorted by chunk, members first, so only one chunk's
+    members are held; one: at most one link a probe, as members are one component."""
+    last, chunk, held = None, None, ([], [], [])
+    for batch in batches:
+        names = [batch.column(i).to_pylist() for i in range(5)]
+        lists = batch.column(5)
+        cut, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        a, b = [], []
+        for i, (key, share, probe, doc, n) in enumerate(zip(*names)):
+            keys = values[cut[i] : cut[i + 1]]
+            if (key, share) != last:
+                last, chunk, held = (key, share), None, ([], [], [])
+            if not probe:
+                for to, x in zip(held, (doc, n, keys.copy())):
+                    to.append(x)
+            elif held[0]:
+                chunk = chunk or Chunk(*held)
+                found = chunk.linked(doc, n, keys)
+                found = found[:1] if one else found
+                a += [doc] * len(found)
+                b += found
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def verified(members: DataFrame, probes: DataFrame, sets: DataFrame, one: bool) -> DataFrame:
@@ -192,8 +235,9 @@ def verified(members: DataFrame, probes: DataFrame, sets: DataFrame, one: bool)
     load = probes.groupBy("chunk").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("shares"))
     own = members.join(load, "chunk").select("chunk", "id", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(False).alias("probe"))
     asked = probes.join(load, "chunk").select("chunk", "id", F.pmod(F.xxhash64("id"), "shares").cast("int").alias("share"), F.lit(True).alias("probe"))
-    rows = own.union(asked).join(sets.select("id", "n", "keys"), "id")
-    return rows.groupBy("chunk", "share").applyInPandas(lambda frame: join_chunk(frame, one), "a long, b long")
+    rows = own.union(asked).join(sets.select("id", "n", "keys"), "id").select("chunk", "share", "probe", "id", "n", "keys")
+    dealt = rows.repartition("chunk", "share").sortWithinPartitions("chunk", "share", "probe", "id")
+    return dealt.mapInArrow(lambda batches: walked(batches, one), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,16 +249,34 @@ def components(links: DataFrame) -> DataFrame:
         hooked = written(labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("component"), F.col("component").alias("was")), "hooked")
         root = hooked.select(F.col("id").alias("root"), F.col("component").alias("top"))
         jumped = written(hooked.join(root, hooked.component == root.root).select("id", F.least("component", "top").alias("component"), "was"), "labels")
-        labels = jumped.select("id", "component")
+        discard(labels, hooked)
+        labels = jumped
         if jumped.where("component <> was").isEmpty():
+            discard(edges)
             return labels
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels(id, component) after links(a, b) as well, whose ends are contracted to components before they are followed."""
+    ends = links.select(F.col("a").alias("id"), "b")
+    ends = labelled(ends, labels).select(F.col("component").alias("a"), F.col("b").alias("id"))
+    points = written(labelled(ends, labels).select("a", F.col("component").alias("b")).where("a <> b").distinct(), "points")
+    top = components(points)
+    discard(points)
+    if labels is None:
+        return top
+    known = labels.select("id", "component").union(top.select("id", F.col("id").alias("component"))).distinct()
+    up = top.select(F.col("id").alias("was"), F.col("component").alias("top"))
+    out = written(known.join(up, known.component == up.was, "left").select("id", F.coalesce("top", "component").alias("component")), "components")
+    discard(labels, top)
+    return out
+
+
 def labelled(frame: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Add component: the id itself where labels has none."""
     if labels is None:
         return frame.withColumn("component", F.col("id"))
-    return frame.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return frame.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def star_pairs(entries: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -226,62 +288,110 @@ def star_pairs(entries: DataFrame, labels: DataFrame | None, turn: int) -> DataF
     return votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("centre")).alias("c"))).alias("m")).select("id", (-F.col("m.c")).alias("centre"))
 
 
-def cross_pairs(entries: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Members(chunk, id) of all components, and probes(chunk, id): sets that meet a chunk of another component."""
+def chunk_of(component: str, size: str, by: Column) -> Column:
+    return F.xxhash64(component, F.pmod(by, F.ceil(F.col(size) / CHUNK)))
+
+
+def placed(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """id, component, size of the component, chunk of each set."""
     ids = labelled(entries.select("id").distinct(), labels)
     sizes = ids.groupBy("component").agg(F.count("*").alias("size"))
-    chunk = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)))
-    members = written(ids.join(sizes, "component").select("id", "component", "size", chunk.alias("chunk")), "members")
+    return ids.join(sizes, "component").select("id", "component", "size", chunk_of("component", "size", F.xxhash64("id")).alias("chunk"))
+
+
+def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries whose shingle still meets several components; components only grow, so the others are done with."""
+    rows = labelled(entries, labels)
+    several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    out = written(entries.join(several, "key", "left_semi"), "entries")
+    discard(entries)
+    return out
+
+
+def wave_pairs(entries: DataFrame, members: DataFrame, turn: int) -> DataFrame:
+    """probes(chunk, id): for each set one chunk of the component that most of its prefix shingles point to, which is
+    the largest one that a shingle meets. One row a set."""
+    rows = entries.join(members.select("id", "component", "size"), "id")
+    top = rows.groupBy("key").agg(F.max(F.struct("size", F.xxhash64("component", F.lit(turn)).alias("h"), "component")).alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    named = rows.join(top.select("key", F.col("m.component").alias("to"), F.col("m.size").alias("to_size")), "key").where("component <> to")
+    votes = named.groupBy("id", "to", "to_size").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", "to_size", "to")).alias("m")).select("id", "m.to", "m.to_size")
+    return best.select(chunk_of("to", "to_size", F.xxhash64("id", F.lit(turn))).alias("chunk"), "id")
+
+
+def cross_pairs(entries: DataFrame, members: DataFrame) -> DataFrame:
+    """probes(chunk, id): sets that meet a chunk of another component, whatever its size."""
     rows = entries.join(members, "id")
-    mixed_keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    mixed_keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("size", "component")).alias("top")).where("x < y").select("key", F.col("top.component").alias("top"))
     rows = written(rows.join(mixed_keys, "key"), "meeting")
     held = rows.groupBy("key", "chunk", "component", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("rest"))
     held = held.select("key", *[F.col(c).alias(f"c_{c}") for c in ("chunk", "component", "size", "low", "high", "rest")])
     turned = (F.col("size") < F.col("c_size")) | ((F.col("size") == F.col("c_size")) & (F.col("component") < F.col("c_component")))
     fits = (4 * F.col("n") <= 5 * F.col("c_high")) & (4 * F.col("c_low") <= 5 * F.col("n"))
     enough = 9 * F.least(F.col("n") - F.col("place"), F.col("c_rest")) >= 4 * (F.col("n") + F.greatest(F.col("c_low"), F.ceil(0.8 * F.col("n"))))
-    pairs = rows.join(held, "key").where(turned & fits & enough).select(F.col("c_chunk").alias("chunk"), "id").distinct()
-    return members.select("chunk", "id"), written(pairs, "probes")
+    # sets of a shingle's largest component ask nobody there
+    pairs = rows.where("component <> top").join(held, "key").where(turned & fits & enough)
+    out = written(pairs.select(F.col("c_chunk").alias("chunk"), "id").distinct(), "probes")
+    discard(rows)
+    return out
 
 
 def linked(sets: DataFrame, stars: int = STARS) -> DataFrame | None:
     """Components of the representatives; None if there are no links."""
     prefix = F.slice("keys", 1, F.greatest(F.lit(0), F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - F.col("rare")).cast("int"))
     entries = written(sets.select("id", "n", "rare", F.posexplode(prefix).alias("i", "key")).select("id", "n", "key", (F.col("rare") + F.col("i")).alias("place")), "entries")
-    links = labels = None
+    labels = None
     for turn in range(stars):
         pairs = written(star_pairs(entries, labels, turn), "stars")
-        chunk = F.xxhash64("centre", F.pmod(F.xxhash64("id"), F.lit(64)))
-        dealt = pairs.select("id", "centre", chunk.alias("chunk"))
-        centres = dealt.select("chunk", F.col("centre").alias("id")).distinct()
-        found = written(verified(dealt.select("chunk", "id"), centres, sets, False), "links", free=True)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    members, probes = cross_pairs(entries, labels)
+        votes = pairs.groupBy("centre").agg(F.count("*").alias("size"))
+        dealt = pairs.join(votes, "centre").select("id", "centre", chunk_of("centre", "size", F.xxhash64("id")).alias("chunk"))
+        found = written(verified(dealt.select("chunk", "id"), dealt.select("chunk", F.col("centre").alias("id")).distinct(), sets, False), "links")
+        if not found.isEmpty():
+            labels = merged(labels, found)
+            entries = unsettled(entries, labels)
+        discard(pairs, found)
+    members, turn, more = written(placed(entries, labels), "members"), stars, True
+    while more:
+        probes = written(wave_pairs(entries, members, turn), "waves")
+        found = written(verified(members, probes, sets, True), "links")
+        n = found.count()
+        more = n * WAVES > probes.count()
+        if n:
+            labels = merged(labels, found)
+        discard(probes, found)
+        if more:
+            discard(members)
+            members, turn = written(placed(entries, labels), "members"), turn + 1
+    probes = cross_pairs(entries, members)  # components that the last wave joined may meet again; that joins nothing new
     found = written(verified(members, probes, sets, True), "links")
-    if found.isEmpty():
-        return labels
-    return components(found if links is None else links.union(found))
+    if not found.isEmpty():
+        labels = merged(labels, found)
+    discard(entries, members, probes, found)
+    return labels
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = texts(docs)
-    sets = written(candidate_sets(rows), "sets", free=True)
+    hits = written(repeated_keys(rows, prefix_keys), "prefixes")
+    sets = written(candidate_sets(rows, hits), "sets")
+    discard(hits)
     likely = sets.where("keys IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(likely.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
     reps = likely.join(classes.select("id", F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("id")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
-    reps = reps.groupBy("id").agg(F.max_by(F.struct("n", "keys"), "n").alias("x")).select("id", "x.n", "x.keys")
-    reps = written(reps, "class-sets", free=True)
+    reps = written(reps.groupBy("id").agg(F.max_by(F.struct("n", "keys"), "n").alias("x")).select("id", "x.n", "x.keys"), "class-sets")
     small = written(sets.select("doc_id", "n", "s1", "s2"), "sizes")
     discard(sets)
-    ordered = written(ordered_sets(reps), "ordered", free=True)
-    discard(reps)
+    shared = written(frequencies(reps), "frequencies")
+    ordered = written(ordered_sets(reps, shared), "ordered")
+    discard(reps, shared)
     labels = linked(ordered)
-    named = labelled(classes, labels).select("s1", "s2", "component")
-    out = small.join(named, ["s1", "s2"], "left")
+    discard(ordered)
+    named = written(labelled(classes, labels).select("s1", "s2", "component"), "named")
+    discard(classes, labels)
+    # most documents have no likely partner: their null names stay out of the join
+    paired = small.where("s1 IS NOT NULL").join(named, ["s1", "s2"], "left").select("doc_id", "n", "component")
+    out = paired.union(small.where("s1 IS NULL").select("doc_id", "n", F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

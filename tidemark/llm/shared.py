@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,54 +14,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20  # text handled at once by the vectorised helpers; a longer document stands alone
+GATHER_BYTES = 64 << 20  # text whose packed keys one task gathers at once
 WHITE = r"[\x20\x09-\x0D]"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+LONG_WORD = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one of our own only where none is set (tests, local mode)."""
+    """The folder that all executors share; a temporary one of our own only in local mode where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
 
 
-def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it again: lineage ends, lost executors cost nothing.
 
-    free: df shuffled much, so its shuffle files should go before the next plan starts.
+    Spark drops the shuffle files of the write when it is done.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if free:
-        freed(df.sparkSession)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame | None) -> None:
     """Delete tables of written() that no later plan reads."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def freed(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are done; it learns of them only when both heaps are collected."""
-    for _ in range(3):  # what was just run is in the hands of Spark's listeners for a moment, and weak references take a second round
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+        if table is not None:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def width(spark: SparkSession) -> int:
@@ -106,36 +108,27 @@ class Words:
         self.end = np.flatnonzero(solid[:-1] & (~solid[1:] | cut))
         self.first = np.searchsorted(self.start, self.offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        return mixed((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes. Eight bytes at a time go through a bijective mixer, longer words than
+        LONG_WORD bytes through blake2b; other seeds give independent hashes."""
+        lanes = np.ndarray(len(self.data) + 1, "<u8", np.append(self.data, np.zeros(8, np.uint8)), strides=(1,))
+        length = self.end - self.start
+        h = mixed(length.astype(np.uint64) + np.uint64((seed + 1) * int(_MULT) & 0xFFFFFFFFFFFFFFFF))
+        h = mixed(h ^ (lanes[self.start] & _LOW_BYTES[np.minimum(length, 8)]))
+        for at in range(8, LONG_WORD, 8):
+            live = np.flatnonzero(length > at)
+            if not len(live):
+                break
+            h[live] = mixed(h[live] ^ (lanes[self.start[live] + at] & _LOW_BYTES[np.minimum(length[live] - at, 8)]))
+        salt = seed.to_bytes(8, "little")
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, salt=salt).digest(), "little")
+        return h
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-_kept: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier and of its inverse modulo 2**64."""
-    if len(_kept[0]) < n:
-        inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
-        made = []
-        for base in (_MULT, inverse):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=np.uint64))
-        if n > 4 * SLICE_BYTES:
-            return made[0], made[1]  # a very long document's powers aren't kept
-        _kept[:] = made
-    return _kept[0], _kept[1]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -165,9 +158,15 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarra
 
     keys_of gives (place of the document in the column, key) pairs, documents ascending. A key that several documents of
     one slice hold is a hit for each of them at once and sent on only once, so a key of a third of all documents costs a
-    task one entry a slice. Entries meet by key; hits are dealt out by document and gathered there, so each document is one row.
+    task one entry (16 bytes) a slice. Entries meet by key; hits are dealt out by document and gathered there, so each
+    document is one row. A partition is dealt into as many buckets as keep each at the keys of about GATHER_BYTES of
+    text; rows come sorted by bucket and one bucket at a time is held.
     """
-    parts = width(docs.sparkSession)
+    spark = docs.sparkSession
+    parts = width(spark)
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = parts * max(1, -(-size // (parts * GATHER_BYTES)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
@@ -183,49 +182,56 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarra
             at = np.flatnonzero(new_key)
             held = np.diff(np.append(at, len(key)))
             many = np.repeat(held > 1, held)
-            yield from dealt((key[at] % np.uint64(parts)).astype(np.int64), ids[doc[at]], key[at], False)
+            yield from dealt(key[at], ids[doc[at]], key[at], False)
             hit_doc = ids[doc[many]]
-            yield from dealt((mixed(hit_doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), hit_doc, key[many], True)
+            yield from dealt(mixed(hit_doc.astype(np.uint64)), hit_doc, key[many], True)
 
-    def dealt(to: np.ndarray, ids: np.ndarray, key: np.ndarray, hit: bool) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(to.astype(np.int16) if parts < 32_768 else to, kind="stable")  # short integers are sorted by radix
+    def dealt(by: np.ndarray, ids: np.ndarray, key: np.ndarray, hit: bool) -> Iterator[pa.RecordBatch]:
+        to = (by % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to.astype(np.int16) if buckets < 32_768 else to, kind="stable")  # short integers are sorted by radix
         to, ids, key = to[order], ids[order], key[order]
         cut = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to)) if len(to) else np.zeros(1, np.int64)
-        rows = [(int(to[a]), ids[a:b].tobytes(), key[a:b].tobytes(), hit) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        rows = [(b % parts, b // parts, ids[i:j].tobytes(), key[i:j].tobytes(), hit) for b, i, j in zip(to[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist())]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["part", "ids", "keys", "hit"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["part", "bucket", "ids", "keys", "hit"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, key, hit = gathered(batches)
-        hit_ids, hit_keys = ids[hit], key[hit]
-        ids, key = ids[~hit], key[~hit]
-        order = np.argsort(key, kind="stable")
-        ids, key = ids[order], key[order]
-        same = np.zeros(len(key) + 1, dtype=bool)
-        same[1:-1] = key[1:] == key[:-1]
-        found = same[1:] | same[:-1]
-        ids, key = np.concatenate([hit_ids, ids[found]]), np.concatenate([hit_keys, key[found]])
-        yield from dealt((mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), ids, key, True)
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, keys, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        for ids, key, hit in gathered(batches):
+            hit_ids, hit_keys = ids[hit], key[hit]
+            ids, key = ids[~hit], key[~hit]
+            order = np.argsort(key, kind="stable")
+            ids, key = ids[order], key[order]
+            same = np.zeros(len(key) + 1, dtype=bool)
+            same[1:-1] = key[1:] == key[:-1]
+            found = same[1:] | same[:-1]
+            ids, key = np.concatenate([hit_ids, ids[found]]), np.concatenate([hit_keys, key[found]])
+            yield from dealt(mixed(ids.astype(np.uint64)), ids, key, True)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The arrays of each bucket."""
+        ids, keys, hits, last = [], [], [], None
         for batch in batches:
-            for one, key, hit in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+            for bucket, one, key, hit in zip(*(batch.column(i) for i in (1, 2, 3, 4)), strict=True):
+                if bucket.as_py() != last and ids:
+                    yield np.concatenate(ids), np.concatenate(keys), np.concatenate(hits)
+                    ids, keys, hits = [], [], []
+                last = bucket.as_py()
                 ids.append(np.frombuffer(one.as_py(), np.int64))
                 keys.append(np.frombuffer(key.as_py(), np.uint64))
                 hits.append(np.full(len(ids[-1]), hit.as_py()))
-        return np.concatenate(ids), np.concatenate(keys), np.concatenate(hits)
+        if ids:
+            yield np.concatenate(ids), np.concatenate(keys), np.concatenate(hits)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, key, _ = gathered(batches)
-        order = np.argsort(ids, kind="stable")
-        ids, key = ids[order], key[order]
-        cut = np.append(np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)), len(ids)) if len(ids) else np.zeros(1, np.int64)
-        for at in range(0, len(cut) - 1, 5000):
-            some = cut[at : at + 5001]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some[:-1]]), pa.array([key[a:b].tobytes() for a, b in zip(some[:-1].tolist(), some[1:].tolist())], pa.binary())], names=["doc_id", "keys"])
-
-    packed = "part int, ids binary, keys binary, hit boolean"
-    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(send, packed)
-    met = sent.repartition(parts, "part").mapInArrow(meet, packed)
-    return met.repartition(parts, "part").mapInArrow(tell, "doc_id long, keys binary")
+        for ids, key, _ in gathered(batches):
+            order = np.argsort(ids, kind="stable")
+            ids, key = ids[order], key[order]
+            cut = np.append(np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)), len(ids))
+            for at in range(0, len(cut) - 1, 5000):
+                some = cut[at : at + 5001]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some[:-1]]), pa.array([key[a:b].tobytes() for a, b in zip(some[:-1].tolist(), some[1:].tolist())], pa.binary())], names=["doc_id", "keys"])
+
+    packed = "part int, bucket int, ids binary, keys binary, hit boolean"
+    by_bucket = lambda rows: rows.repartition(parts, "part").sortWithinPartitions("bucket")
+    met = by_bucket(docs.mapInArrow(send, packed)).mapInArrow(meet, packed)
+    return by_bucket(met).mapInArrow(tell, "doc_id long, keys binary")
