@@ -1,16 +1,21 @@
-"""Operator 10, substring dedup with an FM-index per shard.
+"""Operator 10, substring dedup by matching statistics over a compressed FM-index per shard.
 
 Shards are made by content, so that equal windows of WINDOW words always meet: a window belongs to its least GRAM-word
 hash (its minimiser), and a run of windows with one minimiser is one segment of words. Only segments whose minimiser
-occurs in another document go on; equal segments are one row with their smallest document. A shard's segments are
-indexed once (suffix order, wavelet matrix over the Burrows-Wheeler transform, a table of SEED-word intervals) and every
-segment is streamed against it by backward search: a window's interval gives the smallest document that holds it.
+occurs in another document go on; equal segments are one row with their smallest document, the others lose all of it.
+A shard keeps the Burrows-Wheeler transform of its segments and the ranks of their smallest documents in suffix order,
+both as bit-packed wavelet matrices (no suffix array). Every segment is streamed against it by backward search from each
+of its words: the matching statistic is the longest run ending there that a smaller document holds, and intervals of
+WINDOW words and more are reported. Word numbers in a shard come from the words themselves, not from hashes.
+
 A minimiser with more than HOT different segments (the surroundings of a passage that very many documents share) is
-split into single windows, which are dealt by their own hash; nothing is dropped.
+split into single windows, which are dealt by their own hash and searched likewise, so that no shard has an unbounded
+group; the result is the same.
 
 Cases: null text counts as empty; documents of under WINDOW words lose nothing; of repeated rows with one doc_id none
-is smaller, so they lose the same words; very long runs of one word are one long segment; an empty table gives an empty
-result; rows without doc_id lose nothing; only doc_id and text are read, so other columns may be named anything.
+is smaller, so they lose the same words; a very long text is many segments, a very long run of one word is one long
+segment; ties between equal windows go to the smallest doc_id; an empty table gives an empty result; rows without doc_id
+lose nothing; only doc_id and text are read, so other columns may be named anything.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ from tidemark.llm.shared import Words, discard, grams, mixed, ragged, repeated_k
 WINDOW = 13
 GRAM = 4
 HOT = 200
-SEED = 8
 SHARD_WORDS = 1_000_000
+PRUNE = (5, 9)  # lengths at which runs that no smaller document holds are given up
 
 
 def runs(w: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +115,7 @@ def name_of(words: Column) -> tuple[Column, Column]:
 
 
 class Wavelet:
-    """Wavelet matrix: rank of a symbol before a place, for arrays of both."""
+    """Wavelet matrix over bit-packed levels: rank of a symbol before a place, smallest symbol of an interval, for arrays."""
 
     def __init__(self, symbols: np.ndarray, size: int):
         self.levels = max(1, int(size - 1).bit_length())
@@ -123,88 +128,129 @@ class Wavelet:
             packed[: len(raw)] = raw
             words = packed.view(np.uint64)
             self.bits.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))[:-1]]))
+            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.uint32))
             self.zeros.append(n - int(bit.sum()))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
-        every = np.arange(size)
-        self.base = self.walk(every, np.zeros(size, dtype=np.int64))
+        self.base = self.walk(np.arange(size), np.zeros(size, dtype=np.int64))
+
+    def ones(self, k: int, place: np.ndarray) -> np.ndarray:
+        """Set bits of level k before each place."""
+        block = place >> 6
+        below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[k][block].astype(np.int64) + np.bitwise_count(self.bits[k][block] & below)
 
     def walk(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            block = place >> 6
-            below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[k][block] + np.bitwise_count(self.bits[k][block] & below)
+            ones = self.ones(k, place)
             place = np.where(symbol >> level & 1, self.zeros[k] + ones, place - ones)
         return place
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         return self.walk(symbol, place) - self.base[symbol]
 
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest symbol of each interval; none may be empty."""
+        out = np.zeros(len(low), dtype=np.int64)
+        for k, level in enumerate(range(self.levels - 1, -1, -1)):
+            a, b = self.ones(k, low), self.ones(k, high)
+            one = high - b == low - a  # no zero inside
+            out |= one.astype(np.int64) << level
+            low, high = np.where(one, self.zeros[k] + a, low - a), np.where(one, self.zeros[k] + b, high - b)
+        return out
+
+
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Places by the words from there to the end of their sequence (mark 0), by doubling; ties keep their places' order."""
+    n = len(symbols)
+    ends = np.flatnonzero(symbols == 0)
+    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # words before the end mark
+    rank, k, classes = symbols.astype(np.int64), 1, 0
+    while True:
+        later = np.zeros(n, dtype=np.int64)
+        inside = np.flatnonzero(to_end >= k)
+        later[inside] = rank[inside + k] + 1
+        found, rank = np.unique(rank * (int(rank.max(initial=0)) + n + 2) + later, return_inverse=True)
+        if len(found) == classes or len(found) == n:
+            return np.argsort(rank, kind="stable")
+        k, classes = 2 * k, len(found)
+
 
 class Index:
-    """FM-index of word sequences: symbols 1.. are words, 0 ends a sequence."""
+    """Compressed FM-index of word sequences: symbols 1.. are words, 0 ends a sequence; owner is the rank of each place's sequence."""
 
-    def __init__(self, symbols: np.ndarray, size: int):
-        n = len(symbols)
-        self.n = n
-        ends = np.flatnonzero(symbols == 0)
-        to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # words before the end mark
-        rank = symbols.astype(np.int64)
-        k, classes = 1, 0
-        self.seed = None
-        while True:
-            later = np.zeros(n, dtype=np.int64)
-            inside = np.flatnonzero(to_end >= k)
-            later[inside] = rank[inside + k] + 1
-            found, rank = np.unique(rank * (int(rank.max(initial=0)) + n + 2) + later, return_inverse=True)
-            k *= 2
-            if k == SEED:
-                self.seed = rank
-            if k >= SEED and (len(found) == classes or len(found) == n):
-                break
-            classes = len(found)
-        self.order = np.argsort(rank, kind="stable")  # ties end with their sequences; their order is that of their places
-        self.seed_start = np.concatenate([[0], np.cumsum(np.bincount(self.seed))])
-        before = symbols[self.order - 1]
+    def __init__(self, symbols: np.ndarray, size: int, owner: np.ndarray):
+        order = suffix_order(symbols)
+        self.n = len(symbols)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])
-        self.tree = Wavelet(before, size)
-
-    def intervals(self, symbols: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Interval of the suffix order for each run of `length` words that begins at a place of the text searched.
-
-        The last SEED words come from the seed table, the others by backward search.
-        """
-        seeds = self.seed[at + length - SEED]
-        low, high = self.seed_start[seeds], self.seed_start[seeds + 1]
-        for j in range(length - SEED - 1, -1, -1):
-            c = symbols[at + j]
-            both = self.tree.rank(np.concatenate([c, c]), np.concatenate([low, high]))
+        self.words = Wavelet(symbols[order - 1], size)
+        self.owners = Wavelet(owner[order], int(owner.max(initial=0)) + 1)
+
+    def statistics(self, symbols: np.ndarray, ends: np.ndarray, starts: np.ndarray, own: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics: for each end the length (up to `most`) of the longest run of words that ends there, begins
+        at its start or later and occurs in a sequence of a smaller rank than own, where that is at least `least`; 0 and
+        an upper bound of it elsewhere."""
+        out, bound = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), least - 1)
+        c = symbols[ends]
+        live, low, high, length = np.arange(len(ends)), self.less[c], self.less[c + 1], 1
+        while True:
+            if length >= least or length in PRUNE:
+                held = self.owners.least(low, high) < own[live]
+                bound[live[~held]] = length - 1
+                live, low, high = live[held], low[held], high[held]
+                if length >= least:
+                    out[live] = length
+            inside = ends[live] - length >= starts[live]
+            live, low, high = live[inside], low[inside], high[inside]
+            if not len(live) or length == most:
+                return out, np.minimum(bound, least - 1)
+            c = symbols[ends[live] - length]
+            both = self.words.rank(np.concatenate([c, c]), np.concatenate([low, high]))
             low, high = self.less[c] + both[: len(c)], self.less[c] + both[len(c) :]
-        return low, high
-
-
-def smallest_holders(words: pa.Array, first_doc: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of the shard's segments: segment, place in it, the smallest document that holds the window."""
-    w = Words(words)
-    _, word = np.unique(w.hashes(), return_inverse=True)
-    count = np.diff(w.first)
-    begin = w.first[:-1] + np.arange(len(count))  # a mark after each segment shifts the next one
-    symbols = np.zeros(len(word) + len(count), dtype=np.int64)
-    symbols[ragged(begin, count)] = word + 1
-    index = Index(symbols, int(word.max()) + 2)
-    holder = np.repeat(first_doc, count + 1)[index.order]
-    owner = np.repeat(np.arange(len(count)), np.maximum(0, count - window + 1))
-    place = ragged(np.zeros(len(count), np.int64), np.maximum(0, count - window + 1))
-    low, high = index.intervals(symbols, begin[owner] + place, window)
-    lows, back = np.unique(low, return_inverse=True)
-    highs = np.zeros(len(lows), np.int64)
-    highs[back] = high
-    least = np.minimum.reduceat(np.append(holder, np.iinfo(np.int64).max), np.stack([lows, highs], 1).ravel())[::2]
-    return owner, place, least[back]
+            length += 1
+
+
+def repeated_intervals(words: pa.Array, first_doc: np.ndarray, asked: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of the asked segments that a segment with a smaller document holds: segment, first word, words.
+
+    A run longer than 2 * window words is reported as overlapping intervals. An end whose statistic is n rules out the
+    window - n - 1 ends after it, so every (window - n)-th end is searched first, n being the shortest given up.
+    """
+    split = pc.split_pattern(words, " ")
+    count = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    begin = np.cumsum(count + 1) - count - 1  # a mark follows each segment
+    symbols = np.zeros(int(count.sum()) + len(count), dtype=np.int32)
+    symbols[ragged(begin, count)] = coded.indices.to_numpy() + 1
+    rank = np.unique(first_doc, return_inverse=True)[1].astype(np.int32)
+    index = Index(symbols, len(coded.dictionary) + 1, np.repeat(rank, count + 1))
+    windows = np.where(asked, np.maximum(0, count - window + 1), 0)
+    owner = np.repeat(np.arange(len(count)), windows)
+    place = ragged(np.zeros(len(count), np.int64), windows)
+    ends = begin[owner] + place + window - 1
+    length, stride = np.zeros(len(ends), dtype=np.int64), window - PRUNE[0] + 1
+
+    def search(at: np.ndarray) -> np.ndarray:
+        bounds = [np.zeros(0, np.int64)]
+        for i in range(0, len(at), 200_000):
+            some = at[i : i + 200_000]
+            length[some], bound = index.statistics(symbols, ends[some], begin[owner[some]], rank[owner[some]], window, 2 * window)
+            bounds.append(np.where(length[some] > 0, window, bound))
+        return np.concatenate(bounds)
+
+    leads = np.flatnonzero(place % stride == 0)
+    bound = search(leads)
+    lead = np.searchsorted(leads, np.arange(len(ends)), side="right") - 1
+    ahead = place % stride
+    search(np.flatnonzero((ahead > 0) & (bound[lead] + ahead >= window)))
+    longest = length > 0  # of runs that grow word by word only the last is an interval of its own
+    longest[:-1] &= (length[1:] != length[:-1] + 1) | (owner[1:] != owner[:-1])
+    own, length, end = owner[longest], length[longest], ends[longest]
+    return own, end - length + 1 - begin[own], length
 
 
 def searched(distinct: DataFrame) -> DataFrame:
-    """a1, a2, skip, length, least: runs of windows of a segment whose smallest holder is below the segment's largest document."""
+    """a1, a2, first, whole, skip, length: of each distinct segment the words that go, as runs of windows: all of them
+    (whole) from documents after its first one, intervals of matching statistics from the first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -229,33 +275,40 @@ def searched(distinct: DataFrame) -> DataFrame:
             return
         rows = pa.Table.from_batches(kept).combine_chunks()
         a1, a2, first, final = (rows.column(c).to_numpy() for c in ("a1", "a2", "first", "final"))
-        owner, place, least = smallest_holders(rows.column("words").combine_chunks(), first)
-        new = np.ones(len(owner), dtype=bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
-        at = np.flatnonzero(new)
-        length = np.diff(np.append(at, len(owner)))
-        keep = least[at] < final[owner[at]]
-        at, length = at[keep], length[keep]
-        own = owner[at]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a1[own], a2[own], place[at], length, least[at])], names=["a1", "a2", "skip", "length", "least"])
+        words = rows.column("words").combine_chunks()
+        # equal windows have one key: a segment alone with its key isn't indexed, one with the key's least document isn't searched
+        _, key, alike = np.unique(rows.column("key").to_numpy(), return_inverse=True, return_counts=True)
+        least = np.full(len(alike), np.iinfo(np.int64).max)
+        np.minimum.at(least, key, first)
+        held = np.flatnonzero(alike[key] > 1)
+        own, skip, length = repeated_intervals(words.take(pa.array(held)), first[held], (first > least[key])[held]) if len(held) else (held, held, held)
+        own = held[own]
+        twice = np.flatnonzero(final > first)
+        every = pc.add(pc.count_substring(words, " "), 1).to_numpy(zero_copy_only=False)[twice].astype(np.int64)
+        at, whole = np.concatenate([own, twice]), np.arange(len(own) + len(twice)) >= len(own)
+        columns = (a1[at], a2[at], first[at], whole, np.concatenate([skip, np.zeros(len(twice), np.int64)]), np.concatenate([length, every]) - WINDOW + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a1", "a2", "first", "whole", "skip", "length"])
 
     dealt = distinct.repartition(width(distinct.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.select("key", "words", *name_of(F.col("words")), "first", "final").mapInArrow(run, "a1 long, a2 long, skip long, length long, least long")
+    return dealt.select("key", "words", *name_of(F.col("words")), "first", "final").mapInArrow(run, "a1 long, a2 long, first long, whole boolean, skip long, length long")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, spans array<struct<start, length>>: words to remove, as runs of windows (first window, windows)."""
     rows = texts(docs).where("doc_id IS NOT NULL")
-    hits = written(repeated_keys(rows, minimisers), "repeated", free=True)
-    found = written(segments(rows, hits), "segments", free=True)
+    hits = written(repeated_keys(rows, minimisers), "repeated")
+    found = written(segments(rows, hits), "segments")
     discard(hits)
     per_key = found.select("key", F.xxhash64("words").alias("a1")).groupBy("key", "a1").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"))
     hot = written(per_key.where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")), "hot")
     distinct = split_hot(found, hot).groupBy("key", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"))
-    least = written(searched(distinct), "holders", free=True)
+    gone = written(searched(distinct), "gone")
     places = split_hot(found, hot).select("doc_id", "start", *name_of(F.col("words")))
-    removed = places.join(least, ["a1", "a2"]).where("least < doc_id").select("doc_id", F.struct((F.col("start") + F.col("skip")).alias("start"), "length").alias("span"))
-    return removed.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    removed = places.join(gone, ["a1", "a2"]).where((F.col("whole") & (F.col("doc_id") > F.col("first"))) | (~F.col("whole") & (F.col("doc_id") == F.col("first"))))
+    removed = removed.select("doc_id", F.struct((F.col("start") + F.col("skip")).alias("start"), "length").alias("span"))
+    spans = written(removed.groupBy("doc_id").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(found, hot, gone)
+    return spans
 
 
 def stripped(docs: DataFrame, keep_text: bool, *keep: str) -> DataFrame:
