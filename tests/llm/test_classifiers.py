@@ -64,6 +64,17 @@ def test_machine_is_the_pairwise_sum():
         assert m.score(column)[d] == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_quality_scores_do_not_depend_on_the_batch():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("la le li lo lu ## %% A1 !".split(), k=rng.randrange(1, 90))) for _ in range(64)]
+    state = np.random.default_rng(1)
+    k, size = len(quality.STRUCTURE), len(quality.STRUCTURE) + (1 << quality.BITS)
+    m = quality.Machine(0.5, np.zeros(k), np.ones(k), 0.1, state.normal(0, 0.1, size), state.normal(0, 0.3, (size, quality.RANK)))
+    whole = m.score(pa.array(texts)).tolist()
+    for step in (1, 3, 7, 31):
+        assert [x for i in range(0, 64, step) for x in m.score(pa.array(texts[i : i + step])).tolist()] == whole
+
+
 def test_toxic_features():
     lexicon = toxicity.Lexicon({"idiot": 5.0}, {"grump": 4.0})
     f = dict(zip(toxicity.FEATURES, toxicity.describe("you 1d1ot! GRUMPfels and idiot far away from all of them", lexicon)))

@@ -5,7 +5,9 @@ The score is w0 + sum w x + half of sum over factors of ((sum v x)^2 - sum (v x)
 distinct words. The machine is fitted by AdaGrad on the driver from a bounded sample (MOST_ROWS labelled rows outside
 the held-out fifth, in hash order; their features are computed by Spark); every whole text is scored in Arrow batches.
 
-Cases: null and empty texts have no words and are scored from the structure statistics; repeated rows get equal scores;
+Cases: null and empty texts have no words and are scored from the structure statistics; a very long text is scored whole,
+by itself; a row's sums have a fixed order, so repeated rows get equal scores in any batch; rows without doc_id are
+scored, but never learnt from; of equal hashes the smaller doc_id is sampled first;
 without labelled rows of both labels every score is the share of label 1 (1 if there are none, so nothing is thrown
 out); an empty table gives an empty result; only doc_id and text are read, so other columns may be named anything.
 """
@@ -89,12 +91,12 @@ class Machine:
         stats, owner, word, value = describe(column)
         x = np.clip((stats - self.mean) / self.scale, -4, 4)
         k = x.shape[1]
-        total = self.bias + x @ self.weights[:k] + np.bincount(owner, weights=self.weights[k + word] * value, minlength=n)
+        total = self.bias + (x * self.weights[:k]).sum(1) + np.bincount(owner, weights=self.weights[k + word] * value, minlength=n)
         for f in range(self.factors.shape[1]):  # sum-of-squares identity
             v = self.factors[:, f]
             vx = v[k + word] * value
-            one = x @ v[:k] + np.bincount(owner, weights=vx, minlength=n)
-            two = (x * x) @ (v[:k] ** 2) + np.bincount(owner, weights=vx * vx, minlength=n)
+            one = (x * v[:k]).sum(1) + np.bincount(owner, weights=vx, minlength=n)
+            two = (x * x * v[:k] ** 2).sum(1) + np.bincount(owner, weights=vx * vx, minlength=n)
             total += 0.5 * (one * one - two)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
