@@ -3,15 +3,19 @@
 The lexicon is learnt from labelled rows: words and beginnings of words that mark label 1 and stand in many
 different contexts (so copies of one text can't fill it). Features are its densities, hits near a second-person word,
 capitals, punctuation and obfuscation rates. Trees (Spark ML) learn from three quarters of a bounded sample
-(MOST_ROWS labelled rows, in hash order), the isotonic step from the rest; every whole text is scored.
+(MOST_ROWS labelled rows, in hash order), and so does the lexicon; the isotonic step learns from the rest. Every whole
+text is scored.
 
-Cases: null and empty texts have all-zero densities and get a score like any other; repeated rows get equal scores;
+Cases: null and empty texts have all-zero densities and get a score like any other; a very long text is scored whole;
+repeated rows get equal scores; rows without doc_id are scored, but never learnt from; ties in the sample go to the
+smaller doc_id;
 without labelled rows of both labels every score is the share of label 1 (0 if there are none); an empty table gives an
 empty result; only doc_id and text are read, so other columns may be named anything.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +32,6 @@ from tidemark.llm.labelled import held_out, sample
 from tidemark.llm.shared import texts, written
 
 MOST_ROWS = 10_000
-MOST_TERMS = 2_000
 MIN_SUPPORT, SUPPORT_SHARE, MIN_ODDS = 4, 0.02, 3.0
 STARTS = (3, 8)  # letters of the beginnings learnt
 SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
@@ -47,7 +50,11 @@ class Lexicon:
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
-    """Terms with high log-odds of label 1 that follow many different words. At most MOST_TERMS reach the driver."""
+    """Terms with high log-odds of label 1 that follow many different words.
+
+    A term stands in SUPPORT_SHARE of the toxic texts at least, so there are at most 1 / SUPPORT_SHARE times as many as a
+    toxic text has on average, however many rows are learnt from.
+    """
     n = train.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).first()
     na, nb = n["a"] or 0, n["b"] or 0
     least = max(MIN_SUPPORT, SUPPORT_SHARE * na)
@@ -58,15 +65,13 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     per_doc = split.select("label", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct("w"), terms)))).alias("term"))
     odds = F.log((F.col("a") + 0.5) / (na + 1.0)) - F.log((F.col("b") + 0.5) / (nb + 1.0))
     counted = per_doc.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") >= least).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-    found = {r.term: r.odds for r in counted.orderBy(F.desc("a"), "term").limit(2 * MOST_TERMS).collect()}
-    if not found:
-        return Lexicon({}, {})
+    marks = written(counted.select("term", "odds"), "toxic-terms")
     at = split.where("label = 1").select("w", F.posexplode("w").alias("i", "word"))
     before = F.when(F.col("i") > 0, F.col("w")[F.col("i") - 1]).otherwise("")
-    uses = at.select(before.alias("before"), F.explode(terms(F.col("word"))).alias("term")).where(F.col("term").isin(list(found)))
-    contexts = uses.groupBy("term").agg(F.approx_count_distinct("before").alias("contexts")).where(F.col("contexts") >= least)
-    kept = sorted((r.term for r in contexts.collect()), key=lambda t: (-found[t], t))[:MOST_TERMS]
-    return Lexicon({t: found[t] for t in kept if t[0] != "^"}, {t[1:]: found[t] for t in kept if t[0] == "^"})
+    uses = at.select(before.alias("before"), F.explode(terms(F.col("word"))).alias("term")).join(F.broadcast(marks), "term")
+    contexts = uses.groupBy("term", "odds").agg(F.approx_count_distinct("before").alias("contexts")).where(F.col("contexts") >= least)
+    found = {r.term: r.odds for r in contexts.orderBy("term").collect()}
+    return Lexicon({t: x for t, x in found.items() if t[0] != "^"}, {t[1:]: x for t, x in found.items() if t[0] == "^"})
 
 
 def describe(text: str, lexicon: Lexicon) -> list[float]:
@@ -113,7 +118,7 @@ def describe(text: str, lexicon: Lexicon) -> list[float]:
     chars = len(text)
     letters = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     marks = sum(map(text.count, "!?.,;:"))
-    return [100 * exact / n, 100 * starts / n, 100 * total / n, strongest, float(len(distinct)), 100 * near / n, 100 * len(second) / n, letters / chars, sum(map(str.isupper, words)) / n, marks / chars, 100 * text.count("!") / n, 100 * obfuscated / n, 100 * hidden / n, len(str(n)) + n / 10 ** len(str(n))]
+    return [100 * exact / n, 100 * starts / n, 100 * total / n, strongest, float(len(distinct)), 100 * near / n, 100 * len(second) / n, letters / chars, sum(map(str.isupper, words)) / n, marks / chars, 100 * text.count("!") / n, 100 * obfuscated / n, 100 * hidden / n, math.log1p(n)]
 
 
 def featured(rows: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
@@ -153,6 +158,7 @@ class Model:
         return self.calibrated(rows, "_doc").where(F.col("score") < threshold).select("_doc.*")
 
     def calibrated(self, rows: DataFrame, keep: str) -> DataFrame:
+        """Scores on the isotonic curve; a fiftieth of the raw score keeps texts on one step of it in order."""
         rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
         raw = self.trees.transform(rows).select(keep, vector_to_array("probability")[1].alias("raw"))
         return raw.select(keep, (0.98 * interpolated(F.col("raw"), *self.curve) + 0.02 * F.col("raw")).alias("score"))
@@ -172,9 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     n = train.agg(F.count("*").alias("n"), F.sum("label").alias("a")).first()
     if not n["a"] or n["a"] == n["n"]:
         return Model(Lexicon({}, {}), None, ([], []), (n["a"] or 0) / max(1, n["n"]))
-    lexicon = learn_lexicon(train)
-    rows = written(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured(train, lexicon, "label")).select("doc_id", "label", "features"), "toxic-features")
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))
+    lexicon = learn_lexicon(train.where(part > 0))  # calibration must not see terms learnt from its own rows
+    rows = written(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured(train, lexicon, "label")).select("doc_id", "label", "features"), "toxic-features")
     grow, tune = rows.where(part > 0), rows.where(part == 0)
     trees = GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, stepSize=0.3, seed=1, cacheNodeIds=False).fit(grow if 0 < (grow.agg(F.sum("label")).first()[0] or 0) else rows)
     scored = trees.transform(tune).select(vector_to_array("probability")[1].alias("raw"), F.col("label").cast("double").alias("label"))
