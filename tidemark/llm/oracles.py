@@ -58,7 +58,7 @@ SECRETS = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(sou
  UNION ALL {_located(1, "AKIA[A-Z0-9]+", "found", "length(found) >= 18")}
  UNION ALL {_located(2, "[0-9a-f]+", "found", "length(found) >= 16")}
  UNION ALL {_located(3, secrets.TOKEN, "found", "regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[a-z]')")}),
- o AS (SELECT value, count(DISTINCT owner) <= {secrets.MOST_OWNERS} AS live FROM s GROUP BY value),
+ o AS (SELECT value, count(DISTINCT owner) <= {secrets.MOST_OWNERS} AND count(DISTINCT (owner, repository)) <= {secrets.MOST_REPOSITORIES} AS live FROM s GROUP BY value),
  j AS (SELECT s.*, live FROM s JOIN o USING (value)),
  k AS (SELECT *, kind < 3 AS base, kind = 3 AND live AND NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = j.doc_id AND b.kind < 3 AND b.start <= j.start AND j."end" <= b."end") AS owned FROM j),
  a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {_SHOWN} FILTER (base) AS base, {_SHOWN} FILTER (base OR owned) AS spans,

@@ -2,13 +2,14 @@
 
 Base kinds (assign, access, hex) are found by regular expressions; besides them, any long token of mixed letters and
 digits is a candidate. All candidates' hashes are counted over the corpus by distinct owners and repositories: a hash
-with at most MOST_OWNERS owners is owner-specific and looks live, others are widely copied examples. Owner-specific
+with at most MOST_OWNERS owners in at most MOST_REPOSITORIES repositories is owner-specific and looks live, others are
+widely copied examples. Owner-specific
 tokens outside the base spans are added as kind `owned`; base spans stay whatever their verdict, which is counted.
 
 Owners are the `source` column and repositories `source/lang`, both parameters. Counting pre-aggregates by (hash, owner,
 repository), so a secret in a third of all rows is one row a partition; the join back is an equi-join that AQE can split.
 
-Cases: null text counts as empty; empty texts have no spans and the hash of the empty string; overlapping spans of
+Cases: null text counts as empty; very long texts are scanned whole; rows without doc_id are scanned; empty texts have no spans and the hash of the empty string; overlapping spans of
 different kinds all stay, ordered by start and kind; repeated rows give equal rows; null owners count as one owner; an
 empty table gives an empty result; only the named columns are read, so others may be named anything.
 """
@@ -24,7 +25,7 @@ KINDS = ("assign", "access", "hex", "owned")
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 HEAD = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 MIN_VALUE = 12
-MOST_OWNERS = 2
+MOST_OWNERS, MOST_REPOSITORIES = 2, 4
 TOKEN = r"[A-Za-z0-9+/_=-]{24,}"
 SPAN = "array<struct<start:int,kind:int,end:int,hash:bigint,own:boolean>>"
 
@@ -66,9 +67,8 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
 def ownership(found: DataFrame) -> DataFrame:
     """hash, owners, repositories over all candidates."""
     each = found.select("owner", "repository", F.explode(F.concat("base", "tokens")).alias("x")).select("owner", "repository", F.col("x.hash").alias("hash"))
-    pairs = each.groupBy("hash", "owner", "repository").agg(F.count("*").alias("uses"))
-    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("uses").alias("uses"))
-    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("uses").alias("uses"))
+    owners = each.distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
+    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
 def shown(spans: Column) -> Column:
@@ -77,14 +77,14 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """Per document the base counts and digest, all spans, and how many candidates are live or widely copied."""
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
     found = written(candidates(docs, owner, repository), "secrets")
     counts = ownership(found)
     each = found.select("doc_id", "key", F.explode(F.concat("base", "tokens")).alias("x")).select("doc_id", "key", "x", F.col("x.hash").alias("hash"))
-    judged = each.join(counts, "hash").select("doc_id", "key", "x", (F.col("owners") <= most_owners).alias("live"))
+    judged = each.join(counts, "hash").select("doc_id", "key", "x", ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live"))
     one = judged.groupBy("doc_id", "key").agg(
         F.collect_set(F.when(F.col("live") & F.col("x.own"), F.col("x"))).alias("own"),
         F.collect_set(F.when(F.col("live"), F.col("x"))).alias("live"),
@@ -110,14 +110,18 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
+    def masked(text: Column) -> Column:
+        return F.aggregate("places", zero, lambda acc, s: step(text, acc, s), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def step(text: Column, acc: Column, s: Column) -> Column:
         new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    masked = F.aggregate("places", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_key0", F.xxhash64(text)).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key0") == F.col("_key")), "left")
-    new = F.when(F.col("places").isNull(), F.col("text")).otherwise(masked)
-    return joined.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    row = docs.select(F.struct("*").alias("_row"), F.xxhash64(text).alias("_key0"))  # within _row no name clashes
+    text, places = F.coalesce("_row.text", F.lit("")), F.col("places")
+    joined = row.join(found, F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key0") == F.col("_key")), "left")
+    new = F.when(places.isNull(), F.col("_row.text")).otherwise(masked(text))
+    return joined.select(*[new.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
