@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, pack, secrets, substrings, toxicity
-from tidemark.llm.shared import written
+from tidemark.llm.shared import discard, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,13 +32,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.join_documents(docs)
-    rest = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates", free=True)
+    rest = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
     return one_row_each(docs.select(*COLUMNS).join(rest, docs.doc_id == rest.gone, "left_anti"))
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:
     """Of rows with one doc_id the first by its other columns; rows without doc_id all stay. Texts move only if ids do repeat."""
-    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids", free=True)
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
     if again.isEmpty():
         return docs
     first = W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
@@ -76,6 +76,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spent = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spent)
+        spent = docs
     return STAGES[-1][1](spark, docs, sf_dir)
