@@ -106,7 +106,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The same documents with every span of their text replaced by mask; overlapping spans by one."""
-    found = scan(docs).where("spans <> ''").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "places").dropDuplicates(["_doc", "_key"])
+    found = scan(docs).where("spans <> ''").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "places").dropDuplicates(["_doc", "_key"]).hint("merge")  # grows with the documents, so it is never broadcast
     text = F.coalesce("text", F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
