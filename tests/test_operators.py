@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import datetime as dt
 import heapq
 import math
@@ -10,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import alerts, geo, kernels, text, timeq
-from tidemark.operators import asof, catalog, retrieve, route, sessions, spatial, trust, zones
+from tidemark.operators import asof, catalog, retrieve, route, sessions, spatial, trust, watch, zones
 from tidemark.plans import catalogue
 from tidemark.sources import dimensions, readers
 from tidemark.streaming import alerts as machine
@@ -266,8 +269,6 @@ def test_graph_checks(spark):
 
 
 def test_text_functions(spark):
-    assert text.chunk_text("One. Two three.\n\n" + "word " * 300 + "end. " + "More words here. " * 40, 400, 20)[0].startswith("One.")
-    assert text.chunk_text("a" * 100 + "\n\ntiny", 200, 20) == ["a" * 100 + " tiny"]
     assert np.linalg.norm(text.hashed(["a", "b"])) == pytest.approx(1) and not text.hashed([]).any()
     rows = spark.createDataFrame([("வணக்கம் hello",), ("123 !",), ("Привет",)], "t string")
     got = [r.s for r in rows.select(text.script_shares(F.col("t")).alias("s")).collect()]
@@ -363,3 +364,47 @@ def test_archive_and_tables(spark, tmp_path):
     assert len(rows) == 1 and rows[0].key.startswith("raw/src/2024/05/01/") and rows[0].key.endswith(".json")
     readers.ensure_tables(spark, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t/observations")).count() == 0 and len(readers.schema_export()) == 5
+
+
+def plain_chunks(t, longest, shortest):
+    """Chunks by trying every sentence on the open chunk."""
+    out, merged = [], []
+    for p in re.split(r"\n\s*\n", t):
+        p = " ".join(p.split())
+        for i, x in enumerate(([p] if len(p) <= longest else re.split(r"(?<=[.!?]) ", p)) if p else []):
+            if i and len(out[-1] + " " + x) <= longest:
+                out[-1] += " " + x
+            else:
+                out.append(x)
+    for x in out:
+        merged[-1:] = [merged[-1] + " " + x] if merged and len(x) < shortest else [*merged[-1:], x]
+    return merged
+
+
+def test_chunks_like_a_plain_loop(spark):
+    rng = random.Random(2)
+    made = lambda: "".join(rng.choices(["ab", "c", ". ", "! ", " ", "\n", "\n\n", "\n \n", "é", "\x1c"], [6, 6, 2, 1, 4, 1, 1, 1, 2, 1], k=rng.randrange(200)))
+    texts = ["", "a" * 100 + "\n\ntiny", "One. Two three.\n\n" + "word " * 300 + "end. " + "More words here. " * 40, *(made() for _ in range(80))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "i int, t string")
+    for longest, shortest in ((40, 8), (400, 20)):
+        got = {r.i: r.c for r in rows.select("i", text.chunks(F.col("t"), longest, shortest).alias("c")).collect()}
+        assert got == {i: plain_chunks(t, longest, shortest) for i, t in enumerate(texts)} | {999: []}
+
+
+def test_signed_numbers(spark):
+    row = spark.range(1).select(text.numbers(F.lit("from -3.5 to 1.5-2.0 m, 5.6.7, x-4, --2 and 10")).alias("n")).first()
+    assert row.n == ["-3.5", "1.5", "2.0", "5.6", "-4", "-2", "10"]
+
+
+def test_input_state_and_anomalies(spark):
+    kind = "array<struct<name:string,value:int,age:int,stale:boolean,required:boolean>>"
+    rows = [(0, [("a", None, 5, False, True), ("b", 1, 9, True, True), ("c", 1, 9, True, True)]), (1, [("b", None, None, False, True), ("a", None, 3, False, True)]), (2, [("a", None, None, True, False)]), (3, [])]
+    got = {r.i: tuple(r.s) for r in spark.createDataFrame(rows, f"i int, x {kind}").select("i", watch.input_state(F.col("x")).alias("s")).collect()}
+    assert got == {0: (9, "b,c", "stale_input", "b"), 1: (3, "", "missing_required_input", "a,b"), 2: (0, "a", None, None), 3: (0, "", None, None)}
+
+
+def test_areas_without_seasons_are_always_closed(spark):
+    inside = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "id int, area_id string")
+    seasons = spark.createDataFrame([("x", "hard", None, None, None, None), ("y", "soft", 11, 20, 1, 31), ("z", "hard", 6, 1, 7, 31)], "area_id string, severity string, m1 int, d1 int, m2 int, d2 int")
+    got = {(r.id, r.area_id, r.blocks) for r in watch.closed_areas(inside, seasons, F.lit("2024-01-05").cast("date")).collect()}
+    assert got == {(1, "x", True), (1, "y", False)}

@@ -40,7 +40,8 @@ def script_shares(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    """Numbers with their sign; a hyphen after a digit or full stop is no sign."""
+    return F.regexp_extract_all(text, F.lit(r"(?<![0-9.])-?[0-9]+(?:\.[0-9]+)?"), F.lit(0))
 
 
 def allowance(length: Column) -> Column:
@@ -54,31 +55,33 @@ def normal_name(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if c.isalnum()).casefold())
 
 
-def chunk_text(text: str, longest: int = MAX_CHUNK, shortest: int = MIN_CHUNK) -> list[str]:
-    """Paragraphs, long ones packed sentence by sentence; a short piece joins the one before it."""
-    pieces: list[str] = []
-    for paragraph in (" ".join(p.split()) for p in re.split(r"\n\s*\n", text.strip())):
-        held = ""
-        for part in [paragraph] if len(paragraph) <= longest else re.split(r"(?<=[.!?])\s+", paragraph):
-            if held and len(held) + 1 + len(part) > longest:
-                pieces.append(held)
-                held = part
-            else:
-                held = f"{held} {part}".strip()
-        if held:
-            pieces.append(held)
-    out: list[str] = []
-    for piece in pieces:
-        if out and len(piece) < shortest:
-            out[-1] += " " + piece
-        else:
-            out.append(piece)
-    return out
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: chunk_text(t or ""))
+def sentences(text: Column, longest: int) -> Column:
+    """array<struct<part, first>>: paragraphs in one spacing, those above `longest` as sentences; first opens a paragraph."""
+    tidy = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"[\s\x1c-\x1f\x85\p{Z}]+", " ")))
+    cut = lambda p: F.when(F.length(p) <= longest, F.array(p)).otherwise(F.split(p, r"(?<=[.!?]) "))
+    return F.flatten(F.transform(F.filter(tidy, lambda p: p != ""), lambda p: F.transform(cut(p), lambda x, i: F.struct(x.alias("part"), (i == 0).alias("first")))))
+
+
+def chunks(text: Column, longest: int = MAX_CHUNK, shortest: int = MIN_CHUNK) -> Column:
+    """Paragraphs, long ones filled up sentence by sentence; a chunk under `shortest` joins the one before it.
+
+    Sentences are numbered by a fold over their lengths: a sentence opens a chunk where a paragraph begins or where it
+    doesn't fit any more. Equal numbers are then joined, and short chunks joined to their predecessors by a second fold.
+    """
+    zero = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
+
+    def put(acc: Column, x: Column) -> Column:
+        size = F.length(x["part"])
+        opens = x["first"] | (acc["used"] + 1 + size > longest)
+        grown = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.concat_ws(" ", F.element_at(acc["out"], -1), x["part"])))
+        return F.struct(F.when(opens, size).otherwise(acc["used"] + 1 + size).alias("used"), F.when(opens, F.concat(acc["out"], F.array(x["part"]))).otherwise(grown).alias("out"))
+
+    def close(out: Column, piece: Column) -> Column:
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat_ws(" ", F.element_at(out, -1), piece)))
+        return F.when((F.size(out) > 0) & (F.length(piece) < shortest), joined).otherwise(F.concat(out, F.array(piece)))
+
+    filled = F.aggregate(sentences(F.coalesce(text, F.lit("")), longest), zero, put, lambda acc: acc["out"])
+    return F.aggregate(filled, F.array().cast("array<string>"), close)
 
 
 def token_estimate(text: Column) -> Column:

@@ -41,10 +41,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from tidemark.plans import watch  # noqa: F401  registers its queries here
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return SQL
 
 
@@ -464,7 +467,7 @@ def hash_embed_norm(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sum(F.col("v") * F.col("v")).alias("norm2"))
 
 
-@query("number_tokens", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS n, array_to_string(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'), ',') AS numbers FROM documents")
+@query("number_tokens", "SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^0-9.])(-?[0-9]+(?:\\.[0-9]+)?)', 1)) AS n, array_to_string(regexp_extract_all(text, '(?:^|[^0-9.])(-?[0-9]+(?:\\.[0-9]+)?)', 1), ',') AS numbers FROM documents")
 def number_tokens(spark: SparkSession, d: str) -> DataFrame:
     n = T.numbers(F.col("text"))
     return view(spark, d, "documents").select("doc_id", F.size(n).cast("long").alias("n"), F.array_join(n, ",").alias("numbers"))

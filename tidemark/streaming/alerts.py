@@ -58,7 +58,22 @@ def fold(rows: pd.DataFrame, state: State | None) -> tuple[pd.DataFrame, State |
 
 
 def decide_batch(results: DataFrame) -> DataFrame:
-    return results.groupBy(*KEY).applyInPandas(lambda frame: fold(frame, None)[0], OUT)
+    """All results at once: sorted by key and time within partitions, folded in one pass that carries the open key's state."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for frame in frames:
+            decisions, counts = [], []
+            micros = frame["at"].to_numpy("datetime64[us]").astype("int64").tolist()
+            for user, rule, hazard, at, outcome, severity, minutes in zip(frame["user_id"], frame["rule"], frame["hazard"], micros, frame["outcome"], frame["severity"], frame["minutes"]):
+                if (user, rule, hazard) != last:
+                    last, state = (user, rule, hazard), None
+                decision, state = decide(state, at, rule, outcome, severity, None if pd.isna(minutes) else float(minutes))
+                decisions.append(decision)
+                counts.append(state[4] if state else 0)
+            yield frame[[*KEY, "at", "outcome"]].assign(decision=decisions, send_count=counts)
+
+    return results.select(*[c.split()[0] for c in IN.split(", ")]).repartition(*KEY).sortWithinPartitions(*KEY, "at", "outcome").mapInPandas(run, OUT)
 
 
 def decide_stream(results: DataFrame) -> DataFrame:
