@@ -11,7 +11,8 @@
    meets, until a wave links few: large groups of near copies become one component by work in proportion to their
    size. What still meets another component is held against all its chunks that fit, so no link between components is
    lost and none is sought inside one. After each round components are contracted to points, so a round costs at most
-   one edge for each pair of components that it joins.
+   one edge for each pair of components that it joins. Tables with a row a document or shingle are joined by merging, never
+by broadcast; a hot shingle's partition is then split by Spark's skew handling.
 
 Result: one row per document with its set size and component; links aren't expanded into pairs.
 
@@ -283,7 +284,7 @@ def star_pairs(entries: DataFrame, labels: DataFrame | None, turn: int) -> DataF
     """For each set the centre that most of its prefix shingles name: id, centre, in another component."""
     rows = labelled(entries, labels).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))))
     centre = rows.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64(F.col("component"), F.lit(turn)).alias("h"), F.col("id").alias("centre"), F.col("component").alias("c"))).alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    named = rows.join(centre.select("key", "band", "m.centre", "m.c"), ["key", "band"]).where("component <> c")
+    named = rows.join(centre.select("key", "band", "m.centre", "m.c").hint("merge"), ["key", "band"]).where("component <> c")
     votes = named.groupBy("id", "centre").agg(F.count("*").alias("votes"))
     return votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("centre")).alias("c"))).alias("m")).select("id", (-F.col("m.c")).alias("centre"))
 
@@ -303,7 +304,7 @@ def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries whose shingle still meets several components; components only grow, so the others are done with."""
     rows = labelled(entries, labels)
     several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    out = written(entries.join(several, "key", "left_semi"), "entries")
+    out = written(entries.join(several.hint("merge"), "key", "left_semi"), "entries")
     discard(entries)
     return out
 
@@ -313,7 +314,7 @@ def wave_pairs(entries: DataFrame, members: DataFrame, turn: int) -> DataFrame:
     the largest one that a shingle meets. One row a set."""
     rows = entries.join(members.select("id", "component", "size"), "id")
     top = rows.groupBy("key").agg(F.max(F.struct("size", F.xxhash64("component", F.lit(turn)).alias("h"), "component")).alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    named = rows.join(top.select("key", F.col("m.component").alias("to"), F.col("m.size").alias("to_size")), "key").where("component <> to")
+    named = rows.join(top.select("key", F.col("m.component").alias("to"), F.col("m.size").alias("to_size")).hint("merge"), "key").where("component <> to")
     votes = named.groupBy("id", "to", "to_size").agg(F.count("*").alias("votes"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", "to_size", "to")).alias("m")).select("id", "m.to", "m.to_size")
     return best.select(chunk_of("to", "to_size", F.xxhash64("id", F.lit(turn))).alias("chunk"), "id")
@@ -323,7 +324,7 @@ def cross_pairs(entries: DataFrame, members: DataFrame) -> DataFrame:
     """probes(chunk, id): sets that meet a chunk of another component, whatever its size."""
     rows = entries.join(members, "id")
     mixed_keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("size", "component")).alias("top")).where("x < y").select("key", F.col("top.component").alias("top"))
-    rows = written(rows.join(mixed_keys, "key"), "meeting")
+    rows = written(rows.join(mixed_keys.hint("merge"), "key"), "meeting")
     held = rows.groupBy("key", "chunk", "component", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("rest"))
     held = held.select("key", *[F.col(c).alias(f"c_{c}") for c in ("chunk", "component", "size", "low", "high", "rest")])
     turned = (F.col("size") < F.col("c_size")) | ((F.col("size") == F.col("c_size")) & (F.col("component") < F.col("c_component")))
