@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import alerts, geo, kernels, text, timeq
+from tidemark.functions import alerts, geo, kernels, speech, text, timeq
 from tidemark.operators import asof, catalog, retrieve, route, sessions, spatial, trust, watch, zones
 from tidemark.plans import catalogue
 from tidemark.sources import dimensions, readers
@@ -116,14 +116,20 @@ def test_boundary_and_drift(spark):
     assert r.home == "india" and 0 < r.crossing_s <= 3600 and east[1][0] > 79.42
 
 
-def test_nearest_like_brute_force(spark):
+@pytest.mark.parametrize("low, high, far", [(0, 6, 0), (55, 80, 0), (0, 6, 120)])
+def test_nearest_like_brute_force(spark, low, high, far):
+    """Near, at high latitudes (narrow degrees), and far from every place; rows without a position have no part."""
     rng = np.random.default_rng(2)
-    p = pd.DataFrame({"id": range(60), "lat": rng.uniform(0, 6, 60), "lon": rng.uniform(0, 6, 60)})
-    q = pd.DataFrame({"place": range(15), "lat": rng.uniform(0, 6, 15), "lon": rng.uniform(0, 6, 15)})
-    got = dict(values(spatial.nearest(spark.createDataFrame(p), spark.createDataFrame(q), "id", "place"), "id", "place"))
+    p = pd.DataFrame({"id": range(60), "lat": rng.uniform(low, high, 60), "lon": rng.uniform(0, 6, 60)})
+    q = pd.DataFrame({"place": range(15), "lat": rng.uniform(low, high, 15), "lon": rng.uniform(far, far + 40, 15)})
+    points = spark.createDataFrame(p).union(spark.createDataFrame([(60, None, 1.0)], "id long, lat double, lon double"))
+    places = spark.createDataFrame(q).union(spark.createDataFrame([(15, None, None)], "place long, lat double, lon double"))
+    got = dict(values(spatial.nearest(points, places, "id", "place"), "id", "place"))
+    want = {}
     for r in p.itertuples():
-        d2 = ((q.lat - r.lat) * 110.57) ** 2 + ((q.lon - r.lon) * 111.32) ** 2
-        assert got[r.id] == int(d2.idxmin())
+        d2 = ((q.lat - r.lat) * 110.57) ** 2 + ((q.lon - r.lon) * 111.32 * np.cos(np.radians((q.lat + r.lat) / 2))) ** 2
+        want[r.id] = int(d2.idxmin())
+    assert got == want
 
 
 def test_frontier_and_spread(spark):
@@ -408,3 +414,67 @@ def test_areas_without_seasons_are_always_closed(spark):
     seasons = spark.createDataFrame([("x", "hard", None, None, None, None), ("y", "soft", 11, 20, 1, 31), ("z", "hard", 6, 1, 7, 31)], "area_id string, severity string, m1 int, d1 int, m2 int, d2 int")
     got = {(r.id, r.area_id, r.blocks) for r in watch.closed_areas(inside, seasons, F.lit("2024-01-05").cast("date")).collect()}
     assert got == {(1, "x", True), (1, "y", False)}
+
+
+@pytest.mark.parametrize(
+    "given, language, point, want, units, drifted",
+    [
+        ("Waves 1.5-2.0 m.", "en", False, "Waves 1.5 to 2.0 metres.", ["m"], False),
+        ("Swell 1m, then -1 km and 2.5kn", "en", False, "Swell 1 metre, then -1 kilometre and 2.5 knots", ["m", "km", "kn"], False),
+        ("Water 28.5\u00b0C; bearing 90\u00b0", "en", True, "Water 28 point 5 degrees Celsius; bearing 90 degrees", ["degC", "deg"], False),
+        ("3 h\u0964", "hi", False, "3 \u0918\u0902\u091f\u0947\u0964", ["h"], False),
+        ("1 \u2013 3 xyz ...", "en", False, "1 to 3 xyz ...", [], False),
+        ("2 point 5", "en", True, "2 point 5", [], True),  # reads back as 2.5
+        ("", "en", False, "", [], False),
+        (None, "en", False, None, None, False),
+    ],
+)
+def test_spoken(spark, given, language, point, want, units, drifted):
+    r = spark.createDataFrame([(given,)], "t string").select(speech.spoken(F.col("t"), language, point).alias("s")).first().s
+    assert (r.text, r.units, r.drifted) == (want, units, drifted)
+
+
+def test_cap_issues_and_circle(spark):
+    infos = "array<struct<language:string,headline:string,instruction:string,effective:timestamp,expires:timestamp,areas:int>>"
+    good = ("en", "Gale", "Stay", T0, T0 + dt.timedelta(hours=1), 1)
+    cases = {
+        "": ("tm-1", "me", [good]),
+        "identifier,sender": ("a b", None, []),
+        "info/language,info/headline,info/instruction,info/expires,info/area": ("tm-1", "me", [good, ("en", "x" * 161, None, T0, T0, None)]),
+    }
+    rows = spark.createDataFrame([(k, *v) for k, v in cases.items()], f"want string, i string, s string, infos {infos}")
+    for r in rows.select("want", F.array_join(alerts.cap_issues(F.col("i"), F.col("s"), F.col("infos")), ",").alias("got")).collect():
+        assert r.got == r.want
+    assert spark.range(1).select(alerts.circle(F.lit(9.5), F.lit(79.25), F.lit(12.0)).alias("c")).first().c == "9.5000,79.2500 12.0"
+
+
+def test_places_in_like_brute_force(spark):
+    names = {"portblair": {1}, "port": {2}, "blair": {3, 4}, "sassoondock": {5}, "dock": {6}, "madras": {7}, "chennai": {7}}
+    rng = random.Random(4)
+    words = ["Port", "Blair", "Sassoon", "Dock", "Madras,", "Chenn\u00e4i.", "the", "sea"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(80)] + ["", None, " ,. ", "port " * 3000 + "blair"]
+    want = set()
+    for n, t in enumerate(texts):
+        w, i, seen = re.sub("[,.]", " ", t or "").split(), 0, []
+        while i < len(w):
+            for k in (3, 2, 1):
+                phrase = " ".join(w[i : i + k])
+                found = names.get(phrase.replace(" ", "").lower().replace("\u00e4", "a"))
+                if i + k <= len(w) and found:
+                    row = (phrase, "exact", min(found)) if len(found) == 1 else (phrase, "ambiguous", None)
+                    if (row[2] or phrase) not in [x[2] or x[0] for x in seen]:
+                        seen.append(row)
+                    i += k
+                    break
+            else:
+                i += 1
+        want |= {(n, o, *row) for o, row in enumerate(seen)}
+    aliases = spark.createDataFrame([(a, p) for a, ps in names.items() for p in ps], "alias string, place_id long")
+    got = retrieve.places_in(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", aliases)
+    assert set(values(got, "id", "ordinal", "phrase", "kind", "place_id")) == want
+
+
+def test_lexical_asks_for_every_word_and_phrase(spark):
+    docs = spark.createDataFrame([(1, "the sea of storms"), (2, "of the sea"), (3, "sea of the storms and rain"), (4, None), (5, "the sea")], "id long, text string")
+    assert values(retrieve.lexical(docs, "id", ["sea", "the", "of"], every=True), "id") == [(1,), (2,), (3,)]
+    assert values(retrieve.lexical(docs, "id", ["sea", "the"], every=True, phrases=["of the"], without=["rain"]), "id") == [(2,)]

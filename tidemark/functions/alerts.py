@@ -91,3 +91,24 @@ def cap_xml(identifier_: Column, sender: str, sent: Column, kind: Column, event:
     head = [tag("identifier", identifier_), tag("sender", F.lit(sender)), tag("sent", F.date_format(sent, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")), tag("status", F.lit("Actual")), tag("msgType", kind), tag("scope", F.lit("Public"))]
     info = [tag("category", F.lit("Met")), tag("event", event), tag("urgency", urgency_), tag("severity", severity_), tag("certainty", certainty), tag("headline", headline)]
     return F.concat(F.lit('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'), *head, F.lit("<info>"), *info, F.lit("</info></alert>"))
+
+
+def cap_issues(identifier_: Column, sender: Column, infos: Column) -> Column:
+    """Names of the elements of an alert that are amiss, all of them, in document order.
+
+    infos: array<struct<language, headline, instruction, effective, expires, areas>>, areas being their count.
+    """
+    word = lambda x: F.coalesce(x == "", F.lit(True)) | x.contains(" ")
+    blank = lambda x: F.coalesce(x == "", F.lit(True))
+    said = lambda pairs: F.filter(F.array(*[F.when(wrong, name) for name, wrong in pairs]), lambda x: x.isNotNull())
+
+    def of(x: Column, i: Column) -> Column:
+        earlier = F.transform(F.slice(infos, F.lit(1), i), lambda y: y["language"])
+        return said([("info/language", F.array_contains(earlier, x["language"])), ("info/headline", blank(x["headline"])), ("info/headline", F.length(x["headline"]) > 160), ("info/instruction", blank(x["instruction"])), ("info/expires", x["expires"] <= x["effective"]), ("info/area", F.coalesce(x["areas"], F.lit(0)) == 0)])
+
+    return F.concat(said([("identifier", word(identifier_)), ("sender", word(sender))]), F.flatten(F.transform(infos, of)))
+
+
+def circle(lat: Column, lon: Column, km: Column) -> Column:
+    """CAP circle text; null if a part is."""
+    return F.when(lat.isNotNull() & lon.isNotNull() & km.isNotNull(), F.format_string("%.4f,%.4f %.1f", lat, lon, km))

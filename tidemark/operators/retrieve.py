@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +35,18 @@ class Gate:
         return p
 
 
-def lexical(docs: DataFrame, id_: str, words: Sequence[str], most: int = CANDIDATES) -> DataFrame:
-    """Documents with any query word: by distinct words found, then occurrences, then id."""
+def lexical(docs: DataFrame, id_: str, words: Sequence[str], most: int = CANDIDATES, every: bool = False, phrases: Sequence[str] = (), without: Sequence[str] = ()) -> DataFrame:
+    """Documents with any (or every) query word, each phrase and none of the words left out: by distinct words found, then
+    occurrences, then id."""
     asked = F.array(*map(F.lit, sorted(set(words))))
     t = T.tokens(F.col("text"))
-    rows = docs.select(id_, t.alias("_t")).select(id_, F.size(F.array_intersect(asked, "_t")).alias("matched"), F.size(F.filter("_t", lambda w: F.array_contains(asked, w))).alias("total"))
-    top = rows.where("matched > 0").orderBy(F.desc("matched"), F.desc("total"), id_).limit(most)
+    rows = docs.select(id_, t.alias("_t"))
+    if without:
+        rows = rows.where(~F.arrays_overlap("_t", F.array(*map(F.lit, sorted(set(without))))))
+    for p in phrases:
+        rows = rows.where(F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")).contains(f" {p} "))
+    found = rows.select(id_, F.size(F.array_intersect(asked, "_t")).alias("matched"), F.size(F.filter("_t", lambda w: F.array_contains(asked, w))).alias("total"))
+    top = found.where(f"matched >= {len(set(words)) if every else 1}").orderBy(F.desc("matched"), F.desc("total"), id_).limit(most)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("matched"), F.desc("total"), id_)).cast("long"))
 
 
@@ -87,6 +93,34 @@ def resolve_places(queries: DataFrame, places: DataFrame) -> DataFrame:
     return out.select("query", status.alias("status"), F.when(F.col("n") == 1, F.col("place_id")).alias("place_id"), F.col("distance").cast("long").alias("distance"))
 
 
+def places_in(texts: DataFrame, id_: str, text: str, aliases: DataFrame, normal: Callable[[Column], Column] = T.normal_name, longest: int = 3) -> DataFrame:
+    """Places named in texts: id, ordinal, phrase, kind (exact or ambiguous), place_id (null if ambiguous).
+
+    aliases(alias, place_id) are normalised names. Phrases of up to `longest` words meet them in an equi-join; from left
+    to right the longest phrase at a word wins and its words are used up. A place, or an ambiguous phrase, is named once.
+    """
+    names = aliases.groupBy("alias").agg(F.count_distinct("place_id").alias("_n"), F.min("place_id").alias("_p"))
+    words = F.filter(F.split(F.regexp_replace(F.col(text), "[,.]", " "), r"\s+"), lambda w: w != "")
+    n = F.size("_w")
+    starts = F.when(n > 0, F.sequence(F.lit(1), n))
+    sizes = lambda s: F.sequence(F.lit(1), F.least(F.lit(longest), n - s + 1))
+    phrases = F.flatten(F.transform(starts, lambda s: F.transform(sizes(s), lambda k: F.struct(s.alias("s"), k.alias("k"), F.array_join(F.slice("_w", s, k), " ").alias("phrase")))))
+    sized = texts.select(F.col(id_), words.alias("_w")).select(id_, F.explode(phrases).alias("_x"))
+    met = sized.select(id_, F.col("_x.s").alias("_s"), "_x.k", "_x.phrase", normal(F.col("_x.phrase")).alias("alias")).where("alias <> ''").join(names, "alias")
+    match = F.struct(F.col("_s").alias("s"), (-F.col("k")).alias("k"), "phrase", F.when(F.col("_n") == 1, F.col("_p")).alias("place"))
+    lists = met.groupBy(id_).agg(F.sort_array(F.collect_list(match)).alias("_m"))
+    kind = lists.schema["_m"].dataType.simpleString()
+    zero = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
+
+    def put(acc: Column, x: Column) -> Column:
+        known = F.exists(acc["out"], lambda y: (y["place"] == x["place"]) | (y["place"].isNull() & x["place"].isNull() & (y["phrase"] == x["phrase"])))
+        grown = F.when(F.coalesce(known, F.lit(False)), acc["out"]).otherwise(F.concat(acc["out"], F.array(x)))
+        return F.when(x["s"] <= acc["end"], acc).otherwise(F.struct((x["s"] - x["k"] - 1).alias("end"), grown.alias("out")))
+
+    taken = lists.select(id_, F.posexplode(F.aggregate("_m", zero, put, lambda acc: acc["out"])).alias("ordinal", "_y"))
+    return taken.select(id_, "ordinal", "_y.phrase", F.when(F.col("_y.place").isNull(), "ambiguous").otherwise("exact").alias("kind"), F.col("_y.place").alias("place_id"))
+
+
 def shortened(name: Column, edits: Column) -> Column:
     """A name and all it becomes by dropping up to `edits` (at most two) letters."""
     drop = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))

@@ -31,23 +31,31 @@ def strongest(points: DataFrame, rings: DataFrame, id_: str) -> DataFrame:
     return points.select(id_).join(found, id_, "left")
 
 
-def nearest(points: DataFrame, places: DataFrame, id_: str, place_id: str, reach: int = 1, cell: float = CELL, cos_lat: Column | float = 1.0) -> DataFrame:
-    """The nearest place of each point by flat distance; ties go to the smaller id.
+def nearest(points: DataFrame, places: DataFrame, id_: str, place_id: str, cell: float = CELL, rounds: int = 3, widen: int = 8) -> DataFrame:
+    """The nearest place of each point by flat distance, east-west scaled at the mean latitude; ties go to the smaller id.
 
-    Points look in the grid cells around their own, `reach` deep; points whose best find may be beaten from outside those
-    cells, and points without a find, are held against all places (a small set by then).
+    Points look in the nine grid cells around their own. Those whose find may be beaten from outside of these cells, or
+    that find nothing, look again in cells `widen` times as large, in which few places stand near them; what is still
+    open after the rounds looks at all places. Points and places without a position have no part.
     """
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    p = points.select(id_, "lat", "lon", F.floor(F.col("lat") / cell).cast("int").alias("a"), F.floor(F.col("lon") / cell).cast("int").alias("b"))
-    near = p.withColumn("da", F.explode(around)).withColumn("db", F.explode(around)).select(id_, "lat", "lon", (F.col("a") + F.col("da")).alias("a"), (F.col("b") + F.col("db")).alias("b"))
-    q = places.select(place_id, F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).withColumn("a", F.floor(F.col("q_lat") / cell).cast("int")).withColumn("b", F.floor(F.col("q_lon") / cell).cast("int"))
-    d2 = geo.flat_km2(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon"), cos_lat)
-    best = lambda df: df.groupBy(id_).agg(F.min(F.struct(d2.alias("d2"), F.col(place_id).alias("place"))).alias("m"))
-    close = best(near.join(q, ["a", "b"]))
-    sure = (reach * cell * 110.57) ** 2 if not isinstance(cos_lat, Column) and cos_lat >= 0.994 else 0.0
-    settled = close.where(F.col("m.d2") < sure)
-    rest = p.select(id_, "lat", "lon").join(settled.select(id_), id_, "left_anti")
-    return settled.union(best(rest.crossJoin(q.drop("a", "b")))).select(id_, F.col("m.place").alias(place_id), F.col("m.d2").alias("d2"))
+    q = places.select(place_id, F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).where("q_lat IS NOT NULL AND q_lon IS NOT NULL")
+    rest = points.select(id_, "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
+    d2 = geo.flat_km2(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon"), F.cos(F.radians((F.col("lat") + F.col("q_lat")) / 2)))
+    best = lambda df: df.groupBy(id_, "lat", "lon").agg(F.min(F.struct(d2.alias("d2"), F.col(place_id).alias("place"))).alias("m"))
+    number = lambda c, x: F.floor(F.col(c) / x).cast("int")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    found = None
+    for size in [cell * widen**k for k in range(rounds)]:
+        at = rest.select("*", around.alias("o")).select(id_, "lat", "lon", (number("lat", size) + F.col("o.i")).alias("a"), (number("lon", size) + F.col("o.j")).alias("b"))
+        near = best(at.join(q.withColumn("a", number("q_lat", size)).withColumn("b", number("q_lon", size)), ["a", "b"], "left"))
+        # a place outside is at least one cell away, north-south or east-west at no more than this latitude
+        steep = F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + size / 2)))
+        sure = F.least(F.lit(size * 110.57), steep * (size * 111.32))
+        settled = F.coalesce(F.col("m.place").isNotNull() & (F.col("m.d2") < sure * sure), F.lit(False))
+        found = near.where(settled) if found is None else found.union(near.where(settled))
+        rest = near.where(~settled).select(id_, "lat", "lon")
+    last = best(rest.withColumn("a", F.lit(0)).join(q.withColumn("a", F.lit(0)), "a"))
+    return found.union(last).select(id_, F.col("m.place").alias(place_id), F.col("m.d2").alias("d2"))
 
 
 def boundary(points: DataFrame, line: list[tuple[float, float]], home_side: str | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tidemark.plans import watch  # noqa: F401  registers its queries here
+    from tidemark.plans import advice, watch  # noqa: F401  register their queries here
 
     return QUERIES
 
@@ -360,7 +360,11 @@ def ring_max(spark: SparkSession, d: str) -> DataFrame:
     return spatial.strongest(view(spark, d, "obs").select("event_id", "lat", "lon"), rings, "event_id")
 
 
-@query("nearest_shelter", cte("vessels", "shelters") + ", n AS (SELECT v.vessel_id, s.shelter_id, row_number() OVER (PARTITION BY v.vessel_id ORDER BY ((s.lat - v.lat) * 110.57::DOUBLE) * ((s.lat - v.lat) * 110.57::DOUBLE) + ((s.lon - v.lon) * 111.32::DOUBLE) * ((s.lon - v.lon) * 111.32::DOUBLE), s.shelter_id) AS r FROM vessels v, shelters s) SELECT vessel_id, shelter_id FROM n WHERE r = 1")
+_EAST = "((s.lon - v.lon) * 111.32::DOUBLE * cos(radians((v.lat + s.lat) / 2)))"
+_NORTH = "((s.lat - v.lat) * 110.57::DOUBLE)"
+
+
+@query("nearest_shelter", cte("vessels", "shelters") + f", n AS (SELECT v.vessel_id, s.shelter_id, row_number() OVER (PARTITION BY v.vessel_id ORDER BY {_NORTH} * {_NORTH} + {_EAST} * {_EAST}, s.shelter_id) AS r FROM vessels v, shelters s) SELECT vessel_id, shelter_id FROM n WHERE r = 1")
 def nearest_shelter(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest(view(spark, d, "vessels").select("vessel_id", "lat", "lon"), view(spark, d, "shelters"), "vessel_id", "shelter_id").select("vessel_id", "shelter_id")
 
@@ -482,7 +486,17 @@ def script_share(spark: SparkSession, d: str) -> DataFrame:
 MARKERS = {"ta": ["of", "inherent", "que"], "hi": ["der", "la", "que"]}
 
 
-@query("language_detect")
+_LETTERS = "length(regexp_replace(text, '[^\\p{L}]', '', 'g'))"
+_OF = lambda script: f"length(regexp_replace(regexp_replace(text, '[^\\p{{L}}]', '', 'g'), '[^\\p{{{script.title()}}}]', '', 'g'))"
+_SCRIPTS = "[" + ", ".join(f"{{'n': {_OF(x)}, 'code': '{c}'}}" for x, c in T.SCRIPTS.items()) + "]"
+_MARKED = "[" + ", ".join(f"{{'n': len(list_intersect(list_distinct({_TOKENS}), [{', '.join(repr(w) for w in ws)}])), 'code': '{c}'}}" for c, ws in MARKERS.items()) + "]"
+
+
+@query("language_detect", f"""WITH a AS (SELECT {_LETTERS} AS n, {_SCRIPTS} AS ss, {_MARKED} AS ms FROM documents),
+ b AS (SELECT n, list_sort(ss, 'DESC')[1] AS top, list_sort(ms, 'DESC')[1] AS hit, CAST(list_sum(list_transform(ss, lambda x: x.n)) AS BIGINT) AS indic, len(list_filter(ms, lambda x: x.n = list_max(list_transform(ms, lambda y: y.n)))) > 1 AS tied FROM a),
+ c AS (SELECT *, n > 0 AND top.n >= {T.DOMINANT} * n AS script, n = 0 OR (hit.n = 0 AND n < {T.FEW_LETTERS}) AS nothing FROM b),
+ d AS (SELECT CASE WHEN script THEN top.code WHEN nothing OR hit.n = 0 OR tied THEN 'en' ELSE hit.code END AS language, CASE WHEN script THEN 'script' WHEN nothing THEN 'default' WHEN hit.n = 0 THEN 'romanized_lexicon' WHEN tied THEN 'default' ELSE 'romanized_lexicon' END AS method,
+ CASE WHEN script THEN n - indic >= {T.MIXED} * n ELSE NOT nothing AND hit.n > 0 END AS code_mixed FROM c) SELECT language, method, code_mixed, count(*) AS n FROM d GROUP BY ALL""")
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
     rows = retrieve.detect_language(view(spark, d, "documents"), "text", MARKERS)
     return rows.groupBy("language", "method", "code_mixed").agg(F.count("*").alias("n"))
@@ -586,7 +600,12 @@ def vessel_rules(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vessel_id", "r.rule", "r.outcome", A.severity(F.col("r.outcome")).alias("severity"))
 
 
-@query("cap_alerts")
+_CAP = f"""v AS ({SQL['vessel_rules']}) SELECT vessel_id, rule, 'tm-' || substr(sha256(vessel_id || '|' || rule || '|{NOW}|'), 1, 16) AS identifier,
+ '<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>tm-' || substr(sha256(vessel_id || '|' || rule || '|{NOW}|'), 1, 16) || '</identifier><sender>tidemark</sender><sent>{NOW.replace(' ', 'T')}+00:00</sent><status>Actual</status><msgType>Alert</msgType><scope>Public</scope><info><category>Met</category><event>' || rule
+ || '</event><urgency>' || CASE outcome WHEN 'emergency' THEN 'Immediate' ELSE 'Expected' END || '</urgency><severity>' || severity || '</severity><certainty>Likely</certainty><headline>' || rule || ' ' || outcome || '</headline></info></alert>' AS cap FROM v WHERE outcome IN ('warning', 'emergency')"""
+
+
+@query("cap_alerts", f"WITH {_CAP}")
 def cap_alerts(spark: SparkSession, d: str) -> DataFrame:
     rows = vessel_rules(spark, d).where("outcome IN ('warning', 'emergency')")
     sent = F.lit(NOW).cast("timestamp_ntz")
