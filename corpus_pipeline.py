@@ -20,12 +20,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, pack, secrets, substrings, toxicity
-from tidemark.llm.shared import discard, written
+from tidemark.llm.shared import discard, small_batches, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)  # stays set: later stages hand whole texts to Python too
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.kept(docs.select(*COLUMNS))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20  # text handled at once by the vectorised helpers; a longer document stands alone
 GATHER_BYTES = 64 << 20  # text whose packed keys one task gathers at once
 WHITE = r"[\x20\x09-\x0D]"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LONG_WORD = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -67,6 +68,13 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
+    """Let the session hand Python at most `most` rows at once: whole texts stand in the JVM, in Arrow and in Python then."""
+    now = int(spark.conf.get(BATCH))
+    if now <= 0 or now > most:
+        spark.conf.set(BATCH, str(most))
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session asks for them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -36,6 +36,8 @@ MIN_SUPPORT, SUPPORT_SHARE, MIN_ODDS = 4, 0.02, 3.0
 STARTS = (3, 8)  # letters of the beginnings learnt
 SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
 FEATURES = ["word_density", "start_density", "odds_density", "strongest", "distinct_hits", "near_second_person", "second_person", "capitals", "shouting", "punctuation", "exclamation", "obfuscated", "obfuscated_hits", "log_words"]
+BLOCK = 1 << 18
+_GAP = re.compile(r"\s")
 _EDGE = re.compile(r"^[^\w@$*]+|[^\w@$*]+$")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "*": "", ".": "", "-": "", "_": ""})
 
@@ -74,18 +76,26 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     return Lexicon({t: x for t, x in found.items() if t[0] != "^"}, {t[1:]: x for t, x in found.items() if t[0] == "^"})
 
 
+def words_of(text: str) -> Iterator[str]:
+    """Words between white space, BLOCK characters split at a time, so that a very long text makes no list of all its words."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+        to = gap.start() if gap else len(text)
+        yield from text[at:to].split()
+        at = to
+
+
 def describe(text: str, lexicon: Lexicon) -> list[float]:
     """The features of one text, in the order of FEATURES."""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return [0.0] * len(FEATURES)
     by_word, by_start, heads = lexicon.words, lexicon.starts, lexicon.heads
-    low = [w.lower() for w in words]
-    exact = starts = obfuscated = hidden = near = 0
+    n = exact = starts = obfuscated = hidden = near = shouted = 0
     total = strongest = 0.0
     distinct, at, second = set(), [], []
-    for i, w in enumerate(low):
+    for i, w in enumerate(words_of(text)):
+        n += 1
+        shouted += w.isupper()
+        w = w.lower()
         if not w.isalpha():
             w = _EDGE.sub("", w)
             if len(w) > 2 and not w.isalpha() and not w.isdigit():
@@ -109,6 +119,8 @@ def describe(text: str, lexicon: Lexicon) -> list[float]:
             strongest = max(strongest, odds)
             distinct.add(w)
             at.append(i)
+    if not n:
+        return [0.0] * len(FEATURES)
     if at and second:
         k = 0
         for i in at:
@@ -118,7 +130,7 @@ def describe(text: str, lexicon: Lexicon) -> list[float]:
     chars = len(text)
     letters = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     marks = sum(map(text.count, "!?.,;:"))
-    return [100 * exact / n, 100 * starts / n, 100 * total / n, strongest, float(len(distinct)), 100 * near / n, 100 * len(second) / n, letters / chars, sum(map(str.isupper, words)) / n, marks / chars, 100 * text.count("!") / n, 100 * obfuscated / n, 100 * hidden / n, math.log1p(n)]
+    return [100 * exact / n, 100 * starts / n, 100 * total / n, strongest, float(len(distinct)), 100 * near / n, 100 * len(second) / n, letters / chars, shouted / n, marks / chars, 100 * text.count("!") / n, 100 * obfuscated / n, 100 * hidden / n, math.log1p(n)]
 
 
 def featured(rows: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
