@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, jaccard, matroska, oracles, pack, quality, rules, secrets, substrings, toxicity, urls
+from tidemark.llm import audit, blocks, bpe, jaccard, matroska, oracles, pack, periods, quality, rules, secrets, substrings, toxicity, urls
 
-MODULES = (jaccard, secrets, toxicity, quality, urls, pack, bpe, rules, matroska, substrings)
+MODULES = (jaccard, secrets, toxicity, quality, urls, pack, bpe, rules, matroska, substrings, blocks, audit, periods)
 
 
 def queries() -> dict:
