@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import jaccard
-from tidemark.llm.shared import Words
+from tidemark.llm.shared import Words, mixed
 
 
 def shingles(text):
@@ -93,6 +93,35 @@ def test_words_with_equal_polynomial_hashes_do_not_link(documents):
     assert {tuple(r) for r in jaccard.join_documents(documents(rows)).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 5)}
 
 
+def test_words_steered_to_one_hash_do_not_link(documents):
+    """Two words of sixteen bytes that the mixer without a key gives one hash."""
+    x, y = "abcdefghijklmnop", "yhxmqfzrr&'tq%.."
+    rows = [(1, f"{x} q1 q2 q3 q4"), (2, f"{y} q1 q2 q3 q4"), (3, f"{x} q1 q2 q3 q4")]
+    assert {tuple(r) for r in jaccard.join_documents(documents(rows)).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+
+
+def test_a_secret_key_parts_words_that_collide_without_one():
+    """Undoing the public mixer gives sixteen bytes with the hash of any others; under a key they differ."""
+    state = lambda lane: mixed(mixed(np.array([16], np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ lane)[0]
+    lane = lambda raw: np.frombuffer(raw, "<u8")[0]
+    x = b"abcdefghijklmnop"
+    for first in range(100_000):
+        other = b"word%04x" % first
+        y = other + (state(lane(x[:8])) ^ lane(x[8:]) ^ state(lane(other))).tobytes()
+        if not set(y) & {9, 10, 11, 12, 13, 32} and y.isascii():
+            break
+    w = Words(pa.array([x.decode(), y.decode()]))
+    assert len(set(w.hashes().tolist())) == 1
+    for key in (1, 2, 2**63 + 5):
+        assert len(set(w.hashes(key=key).tolist())) == 2
+
+
+def test_four_of_five_shingles_link(documents):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "a b c d e f g"), (4, "a b c d e f g h j")]
+    got = {tuple(r) for r in jaccard.join_documents(documents(rows)).collect()}
+    assert got == brute(rows) and {r[2] for r in got} == {1, 3}
+
+
 def test_hashes_of_words_of_every_length():
     rng = np.random.default_rng(1)
     words = sorted({"".join(map(chr, rng.integers(97, 99, n))) for n in [*range(1, 130)] * 20} | {"é" * k for k in range(1, 40)})

@@ -16,8 +16,10 @@ by broadcast; a hot shingle's partition is then split by Spark's skew handling.
 
 Result: one row per document with its set size and component; links aren't expanded into pairs.
 
-Shingles are 64-bit hashes, classes are named by two independent ones (128 bits); links of sets of under 9 shingles are
-equal sets, larger ones need 80 % of their shingles in common.
+Shingles are 64-bit hashes under a secret key that is drawn for each run, so no text can be made to collide with another;
+classes are named by two sums under two keys (128 bits). In the global order 57 bits of a shared shingle's hash count: a
+pair of sets of n and m shingles takes a different one for a common one with a chance of n * m / 2**57, and that matters only
+if it stands within one shingle of the threshold. No two texts are compared word by word.
 
 Cases: null or wordless texts have empty sets and link with nothing; texts of under five words are one shingle; a very
 long text is one set like any other, handled by itself; repeated rows are one class; ties are decided by the smaller
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Words, discard, grams, mixed, repeated_keys, slices, texts, written
+from tidemark.llm.shared import Words, discard, fresh_key, grams, mixed, repeated_keys, slices, texts, written
 
 SHINGLE = 5
 CHUNK = 256
@@ -42,10 +44,10 @@ STARS = 2
 WAVES = 16  # waves go on while one in so many probes links
 
 
-def sets_of(column: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Document and hash of each distinct shingle, sorted by both."""
+def sets_of(column: pa.Array, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash (under a key) of each distinct shingle, sorted by both."""
     w = Words(column, lower=True)
-    h, doc = w.hashes(seed), w.doc()
+    h, doc = w.hashes(key=key), w.doc()
     g = grams(h, SHINGLE)
     at = np.flatnonzero(doc[: len(g)] == doc[SHINGLE - 1 :]) if len(g) else np.zeros(0, np.int64)
     docs, keys = [doc[at]], [g[at]]
@@ -55,16 +57,16 @@ def sets_of(column: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         if len(own):
             docs.append(own)
             keys.append(grams(h, k)[w.first[own]])
-    doc, key = np.concatenate(docs), np.concatenate(keys)
+    doc, found = np.concatenate(docs), np.concatenate(keys)
     if len(docs) > 1:
         order = np.argsort(doc, kind="stable")
-        doc, key = doc[order], key[order]
+        doc, found = doc[order], found[order]
     cut = np.searchsorted(doc, np.arange(len(count) + 1)).tolist()
     for a, b in zip(cut, cut[1:]):
-        key[a:b].sort()
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], key[new]
+        found[a:b].sort()
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], found[new]
 
 
 def set_sums(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
@@ -79,21 +81,21 @@ def extra(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, n // 20)
 
 
-def prefix_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    doc, key = sets_of(column)
+def prefix_keys(column: pa.Array, secret: int) -> tuple[np.ndarray, np.ndarray]:
+    doc, key = sets_of(column, secret)
     n = np.bincount(doc, minlength=len(column))
     first = np.cumsum(n) - n
     keep = np.arange(len(doc)) - first[doc] < (n - (4 * n + 4) // 5 + extra(n))[doc]
     return doc[keep], key[keep]
 
 
-def candidate_sets(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def candidate_sets(docs: DataFrame, hits: DataFrame, secrets: tuple[int, int]) -> DataFrame:
     """doc_id, n of every document; set (and its two names) of those that may have a partner."""
     hits = hits.select("doc_id", F.expr("octet_length(keys) div 8").alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
-            doc, key = sets_of(part.column(1))
+            doc, key = sets_of(part.column(1), secrets[0])
             n = np.bincount(doc, minlength=len(part))
             hits = np.nan_to_num(part.column(2).to_numpy(zero_copy_only=False).astype(float))
             likely = (n > 0) & (hits >= extra((4 * n + 4) // 5))
@@ -104,7 +106,7 @@ def candidate_sets(docs: DataFrame, hits: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~likely, False)), pa.array(own.view(np.int64)))
             s1, s2 = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
             s1[at] = set_sums(doc, key, len(part))[at]
-            s2[at] = set_sums(*sets_of(part.column(1).take(pa.array(at)), 1), len(at))
+            s2[at] = set_sums(*sets_of(part.column(1).take(pa.array(at)), secrets[1]), len(at))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n, pa.int64()), pa.array(s1, mask=~likely), pa.array(s2, mask=~likely), lists],
                 names=["doc_id", "n", "s1", "s2", "keys"],
@@ -373,9 +375,9 @@ def linked(sets: DataFrame, stars: int = STARS) -> DataFrame | None:
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    rows = texts(docs)
-    hits = written(repeated_keys(rows, prefix_keys), "prefixes")
-    sets = written(candidate_sets(rows, hits), "sets")
+    rows, secrets = texts(docs), (fresh_key(), fresh_key())
+    hits = written(repeated_keys(rows, lambda column: prefix_keys(column, secrets[0])), "prefixes")
+    sets = written(candidate_sets(rows, hits, secrets), "sets")
     discard(hits)
     likely = sets.where("keys IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(likely.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")

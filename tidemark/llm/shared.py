@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -116,27 +117,38 @@ class Words:
         self.end = np.flatnonzero(solid[:-1] & (~solid[1:] | cut))
         self.first = np.searchsorted(self.start, self.offsets)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
+    def hashes(self, seed: int = 0, key: int | None = None) -> np.ndarray:
         """A 64-bit hash of each word's bytes. Eight bytes at a time go through a bijective mixer, longer words than
-        LONG_WORD bytes through blake2b; other seeds give independent hashes."""
+        LONG_WORD bytes through blake2b; other seeds give independent hashes.
+
+        Without a key the mixer's states are known, so words of over eight bytes can be made to collide. With a secret
+        key (fresh_key) each state is unknown from the first eight bytes on, so no word can be steered to another's hash.
+        """
         lanes = np.ndarray(len(self.data) + 1, "<u8", np.append(self.data, np.zeros(8, np.uint8)), strides=(1,))
         length = self.end - self.start
-        h = mixed(length.astype(np.uint64) + np.uint64((seed + 1) * int(_MULT) & 0xFFFFFFFFFFFFFFFF))
+        secret = np.uint64(key or 0)
+        h = mixed((length.astype(np.uint64) ^ secret) + np.uint64((seed + 1) * int(_MULT) & 0xFFFFFFFFFFFFFFFF))
         h = mixed(h ^ (lanes[self.start] & _LOW_BYTES[np.minimum(length, 8)]))
         for at in range(8, LONG_WORD, 8):
             live = np.flatnonzero(length > at)
             if not len(live):
                 break
-            h[live] = mixed(h[live] ^ (lanes[self.start[live] + at] & _LOW_BYTES[np.minimum(length[live] - at, 8)]))
+            h[live] = mixed((h[live] ^ (lanes[self.start[live] + at] & _LOW_BYTES[np.minimum(length[live] - at, 8)])) + secret)
         salt = seed.to_bytes(8, "little")
+        own = b"" if key is None else key.to_bytes(8, "little")
         for i in np.flatnonzero(length > LONG_WORD).tolist():
-            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, salt=salt).digest(), "little")
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, salt=salt, key=own).digest(), "little")
         return h
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def fresh_key() -> int:
+    """A secret for one run's hashes: all its tasks share it, no other run does."""
+    return secrets.randbits(64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
