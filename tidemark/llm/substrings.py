@@ -6,7 +6,9 @@ occurs in another document go on; equal segments are one row with their smallest
 A shard keeps the Burrows-Wheeler transform of its segments and the ranks of their smallest documents in suffix order,
 both as bit-packed wavelet matrices (no suffix array). Every segment is streamed against it by backward search from each
 of its words: the matching statistic is the longest run ending there that a smaller document holds, and intervals of
-WINDOW words and more are reported. Word numbers in a shard come from the words themselves, not from hashes.
+WINDOW words and more are reported. Word numbers in a shard come from the words themselves, not from hashes. Documents
+after the first of a segment lose all of its words because the whole segment is known to be equal (a class of copies, not a
+matching statistic). Results meet their documents by 128 bits of SHA-256 of the segment's words.
 
 A minimiser with more than HOT different segments (the surroundings of a passage that very many documents share) is
 split into single windows, which are dealt by their own hash and searched likewise, so that no shard has an unbounded
@@ -14,7 +16,7 @@ group; the result is the same.
 
 Cases: null text counts as empty; documents of under WINDOW words lose nothing; of repeated rows with one doc_id none
 is smaller, so they lose the same words; a very long text is many segments, a very long run of one word is one long
-segment; ties between equal windows go to the smallest doc_id; an empty table gives an empty result; rows without doc_id
+segment in one shard (a shard ends where a minimiser does, so its size follows that segment's); ties between equal windows go to the smallest doc_id; an empty table gives an empty result; rows without doc_id
 lose nothing; only doc_id and text are read, so other columns may be named anything.
 """
 
@@ -109,9 +111,9 @@ def split_hot(rows: DataFrame, hot: DataFrame, window: int = WINDOW) -> DataFram
     return out.select("doc_id", key.alias("key"), (F.col("start") + F.col("x.i")).alias("start"), F.col("x.words").alias("words"))
 
 
-def name_of(words: Column) -> tuple[Column, Column]:
-    """128 bits that stand for a segment's words in joins."""
-    return F.xxhash64(words).alias("a1"), F.xxhash64(words, F.lit(1)).alias("a2")
+def name_of(words: Column) -> Column:
+    """128 bits of SHA-256 that stand for a segment's words in joins."""
+    return F.unhex(F.substring(F.sha2(words, 256), 1, 32)).alias("name")
 
 
 class Wavelet:
@@ -249,7 +251,7 @@ def repeated_intervals(words: pa.Array, first_doc: np.ndarray, asked: np.ndarray
 
 
 def searched(distinct: DataFrame) -> DataFrame:
-    """a1, a2, first, whole, skip, length: of each distinct segment the words that go, as runs of windows: all of them
+    """name, first, whole, skip, length: of each distinct segment the words that go, as runs of windows: all of them
     (whole) from documents after its first one, intervals of matching statistics from the first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +276,7 @@ def searched(distinct: DataFrame) -> DataFrame:
         if not kept:
             return
         rows = pa.Table.from_batches(kept).combine_chunks()
-        a1, a2, first, final = (rows.column(c).to_numpy() for c in ("a1", "a2", "first", "final"))
+        first, final = (rows.column(c).to_numpy() for c in ("first", "final"))
         words = rows.column("words").combine_chunks()
         # equal windows have one key: a segment alone with its key isn't indexed, one with the key's least document isn't searched
         _, key, alike = np.unique(rows.column("key").to_numpy(), return_inverse=True, return_counts=True)
@@ -286,11 +288,11 @@ def searched(distinct: DataFrame) -> DataFrame:
         twice = np.flatnonzero(final > first)
         every = pc.add(pc.count_substring(words, " "), 1).to_numpy(zero_copy_only=False)[twice].astype(np.int64)
         at, whole = np.concatenate([own, twice]), np.arange(len(own) + len(twice)) >= len(own)
-        columns = (a1[at], a2[at], first[at], whole, np.concatenate([skip, np.zeros(len(twice), np.int64)]), np.concatenate([length, every]) - WINDOW + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a1", "a2", "first", "whole", "skip", "length"])
+        columns = (first[at], whole, np.concatenate([skip, np.zeros(len(twice), np.int64)]), np.concatenate([length, every]) - WINDOW + 1)
+        yield pa.RecordBatch.from_arrays([rows.column("name").combine_chunks().take(pa.array(at)), *(pa.array(x) for x in columns)], names=["name", "first", "whole", "skip", "length"])
 
     dealt = distinct.repartition(width(distinct.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.select("key", "words", *name_of(F.col("words")), "first", "final").mapInArrow(run, "a1 long, a2 long, first long, whole boolean, skip long, length long")
+    return dealt.select("key", "words", name_of(F.col("words")), "first", "final").mapInArrow(run, "name binary, first long, whole boolean, skip long, length long")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -303,8 +305,8 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hot = written(per_key.where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")), "hot")
     distinct = split_hot(found, hot).groupBy("key", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"))
     gone = written(searched(distinct), "gone")
-    places = split_hot(found, hot).select("doc_id", "start", *name_of(F.col("words")))
-    removed = places.join(gone, ["a1", "a2"]).where((F.col("whole") & (F.col("doc_id") > F.col("first"))) | (~F.col("whole") & (F.col("doc_id") == F.col("first"))))
+    places = split_hot(found, hot).select("doc_id", "start", name_of(F.col("words")))
+    removed = places.join(gone, "name").where((F.col("whole") & (F.col("doc_id") > F.col("first"))) | (~F.col("whole") & (F.col("doc_id") == F.col("first"))))
     removed = removed.select("doc_id", F.struct((F.col("start") + F.col("skip")).alias("start"), "length").alias("span"))
     spans = written(removed.groupBy("doc_id").agg(F.collect_set("span").alias("spans")), "spans")
     discard(found, hot, gone)
