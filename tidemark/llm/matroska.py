@@ -5,7 +5,7 @@ four kinds of lacing, cues); the parser reads variable-length elements back into
 byte range. Each row is its own file, so nothing is shuffled.
 
 Cases: null and empty texts are one padded unit; very long texts become many clusters; equal texts give equal files;
-an empty table gives an empty result; broken media raise ValueError in parse(); only doc_id and text are read.
+ties can't be; rows without doc_id are stored like others; an empty table gives an empty result; broken media raise ValueError in parse(); only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.shared import texts
 
 # fixed values of the format: element ids
-EBML, DOC_TYPE, SEGMENT, INFO, SCALE, TRACKS, ENTRY, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH, CLUSTER, TIME, SIMPLE, GROUP, BLOCK, CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER = (
-    0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1,
+EBML, DOC_TYPE, SEGMENT, INFO, SCALE, TRACKS, ENTRY, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH, CLUSTER, TIME, SIMPLE, GROUP, BLOCK, CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER, MUXER, WRITER = (
+    0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0x4D80, 0x5741,
 )
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, GROUP, CUES, POINT, POSITIONS}
 FRAME, FRAMES, BLOCKS, HERTZ = 192, 8, 32, 8000  # bytes a frame, frames a block, blocks a cluster, samples a second
 UNIT = 192
+APP = b"tidemark"  # the muxing and the writing application, which the format asks for
 
 
 def vint(n: int) -> bytes:
@@ -89,7 +90,7 @@ def mux(payload: bytes, track: int = 1) -> bytes:
     """A Matroska file of payload as 8-bit samples. The kind of lacing goes round from block to block."""
     audio = element(AUDIO, element(RATE, struct.pack(">d", HERTZ)) + number(CHANNELS, 1) + number(DEPTH, 8))
     entry = element(ENTRY, number(NUMBER, track) + number(UID, track) + number(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio)
-    body = [element(INFO, number(SCALE, 1_000_000)), element(TRACKS, entry)]
+    body = [element(INFO, number(SCALE, 1_000_000) + element(MUXER, APP) + element(WRITER, APP)), element(TRACKS, entry)]
     place, cues = sum(map(len, body)), []
     per_block = FRAME * FRAMES
     for base in range(0, len(payload), per_block * BLOCKS):
