@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import slices, texts
+from tidemark.llm.shared import slices, texts, written
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -92,7 +92,7 @@ def masks(docs: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask of all five filters, good and toxic of each document."""
-    rows = masks(docs)
+    rows = written(masks(docs), "masks")  # some 60 bytes a document; texts are read once
     known = rows.where("doc_id IS NOT NULL")
     firsts = known.groupBy("digest").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("digest", "first_digest")
     copy = F.col("first_id").isNull().cast("int") * (1 << FILTERS.index("E"))
