@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.kernels import step_cost
+from tidemark.sources.store import shared_dir
 
 STEPS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 DIAGONAL = math.sqrt(2.0)
@@ -110,9 +111,7 @@ def checkpointed(df: DataFrame, _name: str) -> DataFrame:
     """Cut the lineage in the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
+from tidemark.sources.store import stored
 
 CELL = 1.0  # degrees of the coarse grid that equi-joins points with ring boxes
 
@@ -31,31 +32,43 @@ def strongest(points: DataFrame, rings: DataFrame, id_: str) -> DataFrame:
     return points.select(id_).join(found, id_, "left")
 
 
-def nearest(points: DataFrame, places: DataFrame, id_: str, place_id: str, cell: float = CELL, rounds: int = 3, widen: int = 8) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, id_: str, place_id: str, cell: float | None = None, widen: int = 8) -> DataFrame:
     """The nearest place of each point by flat distance, east-west scaled at the mean latitude; ties go to the smaller id.
 
-    Points look in the nine grid cells around their own. Those whose find may be beaten from outside of these cells, or
-    that find nothing, look again in cells `widen` times as large, in which few places stand near them; what is still
-    open after the rounds looks at all places. Points and places without a position have no part.
+    Places stand in the nine grid cells around theirs, points in their own only, and they meet by cell. Cells are made so
+    that about two places fall into one (`cell` sets their size else). Points whose find may be beaten from outside, or
+    that find nothing, look again in cells `widen` times as large, until four cells cover the globe: then nothing is
+    outside. Unsettled points are written once a round. Points and places without a position have no part.
     """
-    q = places.select(place_id, F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).where("q_lat IS NOT NULL AND q_lon IS NOT NULL")
+    q = places.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).agg(F.min(place_id).alias("place"))
+    box = q.agg(F.count("*").alias("n"), (F.max("q_lat") - F.min("q_lat")).alias("high"), (F.max("q_lon") - F.min("q_lon")).alias("wide")).first()
     rest = points.select(id_, "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
+    size = cell or max(1e-3, (2 * max(box.high or 0, 1e-3) * max(box.wide or 0, 1e-3) / max(1, box.n)) ** 0.5)
     d2 = geo.flat_km2(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon"), F.cos(F.radians((F.col("lat") + F.col("q_lat")) / 2)))
-    best = lambda df: df.groupBy(id_, "lat", "lon").agg(F.min(F.struct(d2.alias("d2"), F.col(place_id).alias("place"))).alias("m"))
     number = lambda c, x: F.floor(F.col(c) / x).cast("int")
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    found = None
-    for size in [cell * widen**k for k in range(rounds)]:
-        at = rest.select("*", around.alias("o")).select(id_, "lat", "lon", (number("lat", size) + F.col("o.i")).alias("a"), (number("lon", size) + F.col("o.j")).alias("b"))
-        near = best(at.join(q.withColumn("a", number("q_lat", size)).withColumn("b", number("q_lon", size)), ["a", "b"], "left"))
+    found = []
+    while True:
+        at = q.select("*", around.alias("o")).select("q_lat", "q_lon", "place", (number("q_lat", size) + F.col("o.i")).alias("a"), (number("q_lon", size) + F.col("o.j")).alias("b"))
+        met = rest.withColumn("a", number("lat", size)).withColumn("b", number("lon", size)).join(at, ["a", "b"], "left")
+        best = met.groupBy(id_, "lat", "lon").agg(F.min(F.when(F.col("place").isNotNull(), F.struct(d2.alias("d2"), "place"))).alias("m"))
+        if size >= 360:  # every place was looked at
+            found.append(best.where("m IS NOT NULL"))
+            break
+        best = stored(best, "nearest")
         # a place outside is at least one cell away, north-south or east-west at no more than this latitude
         steep = F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + size / 2)))
         sure = F.least(F.lit(size * 110.57), steep * (size * 111.32))
-        settled = F.coalesce(F.col("m.place").isNotNull() & (F.col("m.d2") < sure * sure), F.lit(False))
-        found = near.where(settled) if found is None else found.union(near.where(settled))
-        rest = near.where(~settled).select(id_, "lat", "lon")
-    last = best(rest.withColumn("a", F.lit(0)).join(q.withColumn("a", F.lit(0)), "a"))
-    return found.union(last).select(id_, F.col("m.place").alias(place_id), F.col("m.d2").alias("d2"))
+        settled = F.coalesce(F.col("m.d2") < sure * sure, F.lit(False))
+        found.append(best.where(settled))
+        rest = best.where(~settled).select(id_, "lat", "lon")
+        if not box.n or rest.isEmpty():
+            break
+        size *= widen
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return every.select(id_, F.col("m.place").alias(place_id), F.col("m.d2").alias("d2"))
 
 
 def boundary(points: DataFrame, line: list[tuple[float, float]], home_side: str | None = None) -> DataFrame:

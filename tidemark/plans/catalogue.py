@@ -14,6 +14,7 @@ from tidemark.functions import text as T
 from tidemark.functions.timeq import in_season
 from tidemark.operators import asof, catalog, retrieve, route, sessions, spatial, trust, zones
 from tidemark.sources import dimensions as dim
+from tidemark.sources.store import new_path, remove
 from tidemark.sources.views import cte, view
 from tidemark.streaming import alerts as machine
 from tidemark.streaming import windows
@@ -41,7 +42,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tidemark.plans import advice, archives, indexes, records, watch  # noqa: F401  register their queries here
+    from tidemark.plans import advice, archives, indexes, lifecycle, messages, provenance, records, watch  # noqa: F401  register their queries here
 
     return QUERIES
 
@@ -136,25 +137,23 @@ def chunk_replace(spark: SparkSession, d: str) -> DataFrame:
 
 # --- dataset registry, seasons -------------------------------------------------------------------------------------
 
-_DATASETS = "VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, (int, float)) else repr(x) for x in row) + ")" for row in dim.DATASETS)
-_REGISTRY = f"""WITH c(dataset_id, source_id, variables, south, north, west, east, starts, ends, authority_rank, reliability_prior, cost, requires_auth) AS ({_DATASETS}),
- j AS (SELECT *, CASE WHEN NOT list_contains(variables, 'click') THEN 'variable_not_served' WHEN NOT (south <= 9.0 AND north >= 5.0 AND west <= 80.0 AND east >= 77.0) THEN 'outside_coverage'
- WHEN NOT ((starts IS NULL OR CAST(starts AS DATE) <= DATE '2024-01-20') AND (ends IS NULL OR DATE '2024-01-20' <= CAST(ends AS DATE))) THEN 'outside_temporal_coverage' WHEN cost > 5.0 THEN 'over_budget' WHEN requires_auth THEN 'requires_auth' END AS reason FROM c)"""
+_REGISTRY = f"""{cte('registry')}, j AS (SELECT *, CASE WHEN NOT list_contains(variables, 'click') THEN 'variable_not_served' WHEN NOT (south <= 9.0 AND north >= 5.0 AND west <= 80.0 AND east >= 77.0) THEN 'outside_coverage'
+ WHEN NOT ((starts IS NULL OR CAST(starts AS DATE) <= DATE '2024-01-20') AND (ends IS NULL OR DATE '2024-01-20' <= CAST(ends AS DATE))) THEN 'outside_temporal_coverage' WHEN cost > 5.0 THEN 'over_budget' WHEN requires_auth THEN 'requires_auth' END AS reason FROM registry)"""
 
 
-def _registry(spark: SparkSession) -> tuple:
-    return dim.datasets(spark), "click", BOX, F.lit("2024-01-20").cast("date"), 5.0
+def _registry(spark: SparkSession, d: str) -> tuple:
+    return view(spark, d, "registry"), "click", BOX, F.lit("2024-01-20").cast("date"), 5.0
 
 
 @query("registry_select", _REGISTRY + " SELECT row_number() OVER (ORDER BY authority_rank, reliability_prior DESC, cost, dataset_id) AS place, dataset_id, source_id FROM j WHERE reason IS NULL")
 def registry_select(spark: SparkSession, d: str) -> DataFrame:
     order = W.orderBy("authority_rank", F.desc("reliability_prior"), "cost", "dataset_id")
-    return catalog.select(*_registry(spark)).select(F.row_number().over(order).cast("long").alias("place"), "dataset_id", "source_id")
+    return catalog.select(*_registry(spark, d)).select(F.row_number().over(order).cast("long").alias("place"), "dataset_id", "source_id")
 
 
 @query("registry_rejections", _REGISTRY + " SELECT dataset_id, reason FROM j WHERE reason IS NOT NULL")
 def registry_rejections(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.judged(*_registry(spark)).where("reason IS NOT NULL").select("dataset_id", "reason")
+    return catalog.judged(*_registry(spark, d)).where("reason IS NOT NULL").select("dataset_id", "reason")
 
 
 _BANS = "b(ban_id, jurisdiction, m1, d1, m2, d2, severity) AS (VALUES " + ", ".join(map(str, dim.BANS)) + ")"
@@ -537,33 +536,45 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("severity", A.severity(F.col("outcome"))).withColumn("minutes", F.lit(None).cast("double"))
 
 
-@query("alert_dedup_batch")
+_WINDOWS = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v * 60_000_000}" for k, v in machine.WINDOW_MINUTES.items()) + " END"
+_AGE = "epoch_us(t) - epoch_us(s_at)"
+_DEDUP = f"""WITH RECURSIVE o AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'geofence_drift' ELSE event_type END AS rule, ts AS t, ['clear', 'watch', 'warning', 'emergency', 'unevaluated'][event_id % 5 + 1] AS outcome FROM events),
+ r AS (SELECT *, CASE outcome WHEN 'emergency' THEN 3 WHEN 'warning' THEN 2 WHEN 'watch' THEN 1 WHEN 'clear' THEN 0 ELSE -1 END AS rank, CASE outcome WHEN 'emergency' THEN 'Extreme' WHEN 'warning' THEN 'Severe' WHEN 'watch' THEN 'Moderate' WHEN 'clear' THEN 'Minor' ELSE 'Unknown' END AS severity, row_number() OVER (PARTITION BY user_id, rule ORDER BY t, outcome) AS n FROM o),
+ f AS (SELECT DISTINCT user_id, rule, CAST(0 AS BIGINT) AS n, NULL::TIMESTAMP AS t, '' AS outcome, '' AS decision, NULL::TIMESTAMP AS s_at, 0 AS s_rank, '' AS s_severity, CAST(0 AS BIGINT) AS sends FROM r
+  UNION ALL SELECT user_id, rule, n, t, outcome, decision, CASE WHEN sent THEN t WHEN decision <> 'send_cancel' AND live THEN s_at END, CASE WHEN sent THEN rank ELSE s_rank END, CASE WHEN sent THEN severity ELSE s_severity END, CASE WHEN sent THEN 1 + CASE WHEN live THEN sends ELSE 0 END WHEN decision <> 'send_cancel' AND live THEN sends ELSE 0 END FROM (
+   SELECT *, decision IN ('send_new', 'send_escalation', 'send_update') AS sent FROM (
+    SELECT *, CASE WHEN rank < 1 THEN CASE WHEN live AND s_severity IN ('Extreme', 'Severe') THEN 'send_cancel' ELSE 'nothing_to_do' END WHEN NOT live THEN 'send_new' WHEN rank > s_rank THEN 'send_escalation' WHEN {_AGE} < {_WINDOWS} THEN 'suppress_duplicate' ELSE 'send_update' END AS decision FROM (
+     SELECT r.*, s_at, s_rank, s_severity, sends, coalesce({_AGE.replace('(t)', '(r.t)')} <= {machine.PRUNE_HOURS * 3_600_000_000}, false) AS live FROM f JOIN r ON r.user_id = f.user_id AND r.rule = f.rule AND r.n = f.n + 1)))),
+ d AS (SELECT user_id, rule, 'h' AS hazard, t AS "at", outcome, decision, sends AS send_count FROM f WHERE n > 0)"""
+
+
+def _plain_time(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("alert_dedup_batch", _DEDUP + " SELECT * FROM d")
 def alert_dedup_batch(spark: SparkSession, d: str) -> DataFrame:
-    return machine.decide_batch(_results(spark, d))
+    return _plain_time(machine.decide_batch(_results(spark, d)))
 
 
-@query("tick_summary")
+@query("tick_summary", _DEDUP + " SELECT decision, count(*) AS n, count(DISTINCT user_id) AS users FROM d GROUP BY decision")
 def tick_summary(spark: SparkSession, d: str) -> DataFrame:
     return machine.tick_summary(machine.decide_batch(_results(spark, d)))
 
 
-@query("alert_dedup_stream")
+@query("alert_dedup_stream", _DEDUP + " SELECT * FROM d")
 def alert_dedup_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The stateful stream run to its end over the events, checkpointed below the shared folder."""
-    import tempfile
-    import uuid
-
-    name = f"alerts_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+    """The stateful stream run to its end over the events; its checkpoint is deleted when it is done."""
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")  # a glob may be a file or a folder
     outcome = F.element_at(F.array(*map(F.lit, ("clear", "watch", "warning", "emergency", "unevaluated"))), (F.col("event_id") % 5 + 1).cast("int"))
     rule = F.when(F.col("event_type") == "click", "geofence_drift").otherwise(F.col("event_type"))
     rows = stream.select("user_id", rule.alias("rule"), F.lit("h").alias("hazard"), F.col("ts").cast("timestamp").alias("at"), outcome.alias("outcome"))
     rows = rows.withColumn("severity", A.severity(F.col("outcome"))).withColumn("minutes", F.lit(None).cast("double")).withWatermark("at", "12 hours")
-    out = f"{root}/{name}"
-    q = machine.decide_stream(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    out, state = new_path(spark, "alerts"), new_path(spark, "alert-state")
+    q = machine.decide_stream(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(machine.OUT).parquet(f"{out}/rows")
+    remove(spark, state)
+    return _plain_time(spark.read.schema(machine.OUT).parquet(out))
 
 
 _SKIP = "CASE WHEN no_position THEN 'no_position' WHEN NOT at_sea THEN 'ashore' WHEN position_age_min > 30 THEN 'stale' WHEN endpoints = 0 THEN 'unreachable' ELSE 'evaluable' END"

@@ -39,9 +39,9 @@ _CYCLONES = f"""{_SYSTEMS}, k AS (SELECT vessel_id, hazard, CAST({_KNOTS} AS INT
  UNION ALL SELECT vessel_id, hazard, 'cyclone_cone', CASE WHEN NOT has_cone THEN 'unevaluated' WHEN inside THEN 'watch' ELSE 'clear' END, knots FROM k)"""
 
 
-@query("active_cyclones", f"WITH {_SYSTEMS} SELECT hazard AS system FROM on_")
+@query("active_cyclones", f"{cte('bulletins')} SELECT system FROM bulletins WHERE TIMESTAMP '2024-01-20 00:00:00' - issued_time <= INTERVAL 6 HOUR")
 def active_cyclones(spark: SparkSession, d: str) -> DataFrame:
-    return watch.active_cyclones(_cyclones(spark)[0], ntz()).select("system")
+    return watch.active_cyclones(view(spark, d, "bulletins"), ntz()).select("system")
 
 
 @query("cyclone_rules", f"{cte('vessels')}, {_CYCLONES} SELECT * FROM cy")
@@ -94,9 +94,9 @@ def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
     return watch.evidence_rows(asof.as_of(view(spark, d, "obs"), ntz()), ranks).select("event_id", "authority_rank", "provenance_id", "url")
 
 
-@query("source_candidates", "SELECT CAST(row_number() OVER (ORDER BY r, s, i) AS INTEGER) AS place, i AS dataset_id FROM (VALUES " + ", ".join(f"('{x[0]}', '{x[1]}', {x[9]})" for x in dim.DATASETS if x[3] <= 6.5 and x[4] >= 8.0 and x[5] <= 77.0 and x[6] >= 80.0 and {"click", "error"} & set(x[2])) + ") t(i, s, r)")
+@query("source_candidates", f"{cte('registry')} SELECT CAST(row_number() OVER (ORDER BY authority_rank, source_id, dataset_id) AS INTEGER) AS place, dataset_id FROM registry WHERE south <= 6.5 AND north >= 8.0 AND west <= 77.0 AND east >= 80.0 AND list_has_any(variables, ['click', 'error'])")
 def source_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return watch.candidates(dim.datasets(spark), (6.5, 8.0, 77.0, 80.0), ["click", "error"]).select("place", "dataset_id")
+    return watch.candidates(view(spark, d, "registry"), (6.5, 8.0, 77.0, 80.0), ["click", "error"]).select("place", "dataset_id")
 
 
 @query("formula_check", "WITH o AS (SELECT o_custkey % 50 AS run_id, list_sort(list_distinct(list('f' || (o_orderkey % 5)))) AS f FROM orders GROUP BY 1) SELECT run_id, array_to_string(list_filter(f, lambda x: x NOT IN ('f0', 'f1', 'f2')), ',') AS unapproved, len(list_filter(f, lambda x: x NOT IN ('f0', 'f1', 'f2'))) = 0 AS passed FROM o")

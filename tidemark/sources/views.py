@@ -29,6 +29,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   CAST(event_id % 9 AS DOUBLE) AS wind_speed_ms, event_id % 13 = 0 AS blocked, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 20 AS DOUBLE) END AS depth_m FROM events WHERE event_id < 144"""),
     "edges": (("nation",), """SELECT concat('r', CAST(n_regionkey AS STRING)) AS source_id, concat('n', CAST(n_nationkey AS STRING)) AS target_id FROM nation
   UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('n', CAST(n_nationkey + 7 AS STRING)) FROM nation WHERE n_nationkey + 7 < 25"""),
+    "registry": (("part",), """SELECT concat('d', CAST(p_partkey AS STRING)) AS dataset_id, concat('src', CAST(p_partkey % 5 AS STRING)) AS source_id,
+  split(CASE p_size % 4 WHEN 0 THEN 'click,view' WHEN 1 THEN 'view' WHEN 2 THEN 'click,error' ELSE 'click' END, ',') AS variables,
+  CAST(p_partkey % 13 AS DOUBLE) - 6.0E0 AS south, CAST(p_partkey % 13 AS DOUBLE) + 4.0E0 + (p_partkey % 7) AS north, 60.0E0 + (p_partkey % 19) AS west, 74.0E0 + (p_partkey % 17) AS east,
+  CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE concat(CAST(2018 + p_partkey % 8 AS STRING), '-01-01') END AS starts, CASE WHEN p_partkey % 4 <> 0 THEN NULL ELSE concat(CAST(2022 + p_partkey % 5 AS STRING), '-12-31') END AS ends,
+  CAST(1 + p_partkey % 5 AS INT) AS authority_rank, CAST(p_partkey % 17 AS DOUBLE) * 0.0625E0 AS reliability_prior, CAST(p_partkey % 11 AS DOUBLE) AS cost, p_partkey % 6 = 0 AS requires_auth FROM part"""),
+    "bulletins": (("events",), """SELECT concat('c', CAST(user_id AS STRING)) AS system, max(ts) AS issued_time FROM events WHERE ts <= CAST('2024-01-20' AS {ntz}) GROUP BY user_id"""),
     "turns": (("conversations",), """SELECT conv_id, turn, role, text, CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('intent', CAST((conv_id + turn) % 5 AS STRING)) END AS intent,
   CASE WHEN (conv_id * 2 + turn) % 4 = 0 THEN concat('place', CAST(turn % 7 AS STRING)) END AS place, CASE WHEN (conv_id + 3 * turn) % 5 = 0 THEN concat('window', CAST(turn AS STRING)) END AS time_window FROM conversations"""),
 }
