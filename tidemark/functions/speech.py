@@ -7,6 +7,8 @@ range, a known unit is its name, the rest stays. There is no rewriting of the te
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,7 +49,16 @@ def spoken(text: Column, language: str = "en", point_as_word: bool = False) -> C
     numbers are those of the given text, drifted says that the made text doesn't hold the same ones in the same order:
     such a row must not be read out. Symbols without a name stay. Null text gives nulls.
     """
-    tokens = tokens_of(text)
+    return bound(tokens_of(text), lambda tokens: bound(_pieces(tokens, language, point_as_word), lambda made: _said(text, made, language, point_as_word)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: within, it is a variable instead of a copy of its expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pieces(tokens: Column, language: str, point_as_word: bool) -> Column:
+    """array<struct<piece, unit>>: what is said for each token, with its gap, and the symbol of a unit."""
     is_number = lambda x: F.coalesce(x["t"].rlike(rf"^{NUMBER}$"), F.lit(False))
     ends = lambda x: x["t"].isNull() | x["gap"] | x["t"].isin(*CLOSING) | x["t"].isin(*DASHES)
 
@@ -58,13 +69,17 @@ def spoken(text: Column, language: str = "en", point_as_word: bool = False) -> C
         alone = (before["t"].isNull() | x["gap"] | is_number(before) | x["sign"].isNotNull()) & ends(after)
         symbol = F.when(alone, F.coalesce(x["sign"], x["t"]))
         name = unit_name(symbol, F.when(is_number(before), before["t"]).cast("double"), language)
-        apart = x["gap"] | stretch | name.isNotNull() | (F.coalesce(before["t"].isin(*DASHES), F.lit(False)) & is_number(x) & is_number(F.when(i > 1, F.get(tokens, i - 2))))
+        from_range = F.coalesce(before["t"].isin(*DASHES), F.lit(False)) & is_number(x) & is_number(F.when(i > 1, F.get(tokens, i - 2)))
         said = F.when(stretch, F.lit(RANGE[language])).otherwise(F.coalesce(name, x["t"]))
         if point_as_word:
             said = F.when(is_number(x), F.replace(x["t"], F.lit("."), F.lit(f" {POINT[language]} "))).otherwise(said)
+        apart = x["gap"] | stretch | name.isNotNull() | from_range
         return F.struct(F.concat(F.when(apart & (i > 0), " ").otherwise(""), said).alias("piece"), F.when(name.isNotNull(), symbol).alias("unit"))
 
-    made = F.transform(tokens, put)
+    return F.transform(tokens, put)
+
+
+def _said(text: Column, made: Column, language: str, point_as_word: bool) -> Column:
     out = F.array_join(F.transform(made, lambda y: y["piece"]), "")
     heard = F.regexp_replace(out, rf"([0-9]) {POINT[language]} ([0-9])", "$1.$2") if point_as_word else out
     units = F.filter(F.transform(made, lambda y: y["unit"]), lambda u: u.isNotNull())
