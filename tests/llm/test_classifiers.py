@@ -49,6 +49,47 @@ def test_no_labels_and_empty_table(world, module, prior):
     assert module.score_documents(docs.limit(0), labels).count() == 0
 
 
+def one_by_one(text, lexicon):
+    """The features by definition, word by word."""
+    words = text.split()
+    n = len(words)
+    if not n:
+        return [0.0] * len(toxicity.FEATURES)
+    exact = starts = obfuscated = hidden = shouted = 0
+    total = strongest = 0.0
+    distinct, at, second = set(), [], []
+    for i, w in enumerate(words):
+        shouted += w.isupper()
+        w = w.lower()
+        if not w.isalpha():
+            w = toxicity._EDGE.sub("", w)
+            plain = w.translate(toxicity._LEET)
+            if len(w) > 2 and not w.isalpha() and not w.isdigit() and plain != w and plain.isalpha():
+                obfuscated += 1
+                if plain in lexicon.words:
+                    hidden, w = hidden + 1, plain
+        second += [i] * (w in toxicity.SECOND_PERSON)
+        exact += w in lexicon.words
+        odds = max([lexicon.words.get(w, 0.0)] + [lexicon.starts.get(w[:k], 0.0) for k in range(3, min(8, len(w) - 1) + 1)])
+        if odds:
+            starts, total, strongest = starts + 1, total + odds, max(strongest, odds)
+            distinct.add(w)
+            at.append(i)
+    near = sum(any(abs(i - j) <= 3 for j in second) for i in at)
+    count = lambda marks: sum(text.count(c) for c in marks)
+    return [100 * exact / n, 100 * starts / n, 100 * total / n, strongest, len(distinct), 100 * near / n, 100 * len(second) / n, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / len(text), shouted / n, count("!?.,;:") / len(text), 100 * count("!") / n, 100 * obfuscated / n, 100 * hidden / n, np.log1p(n)]
+
+
+def test_features_by_array_equal_those_word_by_word():
+    rng = random.Random(5)
+    lexicon = toxicity.Lexicon({"grumpfel": 4.0, "blarg": 3.5, "élan": 3.2}, {"snor": 5.0, "grum": 3.1})
+    pool = ["you", "Dich", "GRUMPFEL", "gr0mpfel", "grumpfe1", "gr*mpfel", "bl@rg!", "snorting", "snor", "Snork,", "élan", "...", "12", "a1b2", "word", "VOUS", "x!", "grumpf-el", "ß", "İ"]
+    texts = ["", "   ", "you", " you grumpfel ", "grumpfel"] + [rng.choice([" ", "\n", "  "]).join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(300)]
+    got = toxicity.describe(pa.array(texts), lexicon)
+    assert np.allclose(got, np.array([one_by_one(t, lexicon) for t in texts], dtype=float), rtol=0, atol=1e-9)
+    assert toxicity.describe(pa.array([], pa.string()), lexicon).shape == (0, len(toxicity.FEATURES))
+
+
 def test_machine_is_the_pairwise_sum():
     rng = np.random.default_rng(0)
     k, size = len(quality.STRUCTURE), len(quality.STRUCTURE) + (1 << quality.BITS)
@@ -77,6 +118,6 @@ def test_quality_scores_do_not_depend_on_the_batch():
 
 def test_toxic_features():
     lexicon = toxicity.Lexicon({"idiot": 5.0}, {"grump": 4.0})
-    f = dict(zip(toxicity.FEATURES, toxicity.describe("you 1d1ot! GRUMPfels and idiot far away from all of them", lexicon)))
+    f = dict(zip(toxicity.FEATURES, toxicity.describe(pa.array(["you 1d1ot! GRUMPfels and idiot far away from all of them"]), lexicon)[0]))
     assert f["obfuscated_hits"] > 0 and f["distinct_hits"] == 2 and f["near_second_person"] == pytest.approx(100 * 2 / 11)
-    assert toxicity.describe("", lexicon) == [0.0] * len(toxicity.FEATURES)
+    assert toxicity.describe(pa.array([""]), lexicon)[0].tolist() == [0.0] * len(toxicity.FEATURES)

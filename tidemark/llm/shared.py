@@ -7,6 +7,7 @@ import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,11 +70,19 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
-    """Let the session hand Python at most `most` rows at once: whole texts stand in the JVM, in Arrow and in Python then."""
-    now = int(spark.conf.get(BATCH))
-    if now <= 0 or now > most:
-        spark.conf.set(BATCH, str(most))
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> Iterator[None]:
+    """Within, Python is handed at most `most` rows at once: whole texts stand in the JVM, in Arrow and in Python then.
+
+    Holds for what is run within, not for what is only planned; the session's own setting is back afterwards.
+    """
+    now = spark.conf.get(BATCH)
+    try:
+        if int(now) <= 0 or int(now) > most:
+            spark.conf.set(BATCH, str(most))
+        yield
+    finally:
+        spark.conf.set(BATCH, now)
 
 
 def width(spark: SparkSession) -> int:

@@ -4,7 +4,8 @@ The lexicon is learnt from labelled rows: words and beginnings of words that mar
 different contexts (so copies of one text can't fill it). Features are its densities, hits near a second-person word,
 capitals, punctuation and obfuscation rates. Trees (Spark ML) learn from three quarters of a bounded sample
 (MOST_ROWS labelled rows, in hash order), and so does the lexicon; the isotonic step learns from the rest. Every whole
-text is scored.
+text is scored. If the rows that grow the trees hold no toxic one, all rows grow them (the isotonic step then sees rows
+that the trees have learnt from).
 
 Cases: null and empty texts have all-zero densities and get a score like any other; a very long text is scored whole;
 repeated rows get equal scores; rows without doc_id are scored, but never learnt from; ties in the sample go to the
@@ -15,12 +16,12 @@ empty result; only doc_id and text are read, so other columns may be named anyth
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -29,15 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import held_out, sample
-from tidemark.llm.shared import texts, written
+from tidemark.llm.shared import slices, texts, written
 
 MOST_ROWS = 10_000
 MIN_SUPPORT, SUPPORT_SHARE, MIN_ODDS = 4, 0.02, 3.0
 STARTS = (3, 8)  # letters of the beginnings learnt
 SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
 FEATURES = ["word_density", "start_density", "odds_density", "strongest", "distinct_hits", "near_second_person", "second_person", "capitals", "shouting", "punctuation", "exclamation", "obfuscated", "obfuscated_hits", "log_words"]
-BLOCK = 1 << 18
-_GAP = re.compile(r"\s")
+CAPITALS, MARKS = bytes(range(65, 91)), b"!?.,;:"
+NEAR = 3  # words between a hit and a second-person word, at most
 _EDGE = re.compile(r"^[^\w@$*]+|[^\w@$*]+$")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "*": "", ".": "", "-": "", "_": ""})
 
@@ -76,71 +77,84 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     return Lexicon({t: x for t, x in found.items() if t[0] != "^"}, {t[1:]: x for t, x in found.items() if t[0] == "^"})
 
 
-def words_of(text: str) -> Iterator[str]:
-    """Words between white space, BLOCK characters split at a time, so that a very long text makes no list of all its words."""
-    at = 0
-    while at < len(text):
-        gap = _GAP.search(text, at + BLOCK) if len(text) - at > BLOCK else None
-        to = gap.start() if gap else len(text)
-        yield from text[at:to].split()
-        at = to
-
-
-def describe(text: str, lexicon: Lexicon) -> list[float]:
-    """The features of one text, in the order of FEATURES."""
+def word_traits(words: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: flags (shouted, second person, in the lexicon, obfuscated, obfuscated word of the lexicon), its largest
+    odds, and its number as it counts for distinct hits. The one place where Python looks at single words; a slice of texts
+    gives it each distinct word once."""
     by_word, by_start, heads = lexicon.words, lexicon.starts, lexicon.heads
-    n = exact = starts = obfuscated = hidden = near = shouted = 0
-    total = strongest = 0.0
-    distinct, at, second = set(), [], []
-    for i, w in enumerate(words_of(text)):
-        n += 1
-        shouted += w.isupper()
-        w = w.lower()
+    flags, best, plain_of = np.zeros((len(words), 5), dtype=bool), np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
+    number: dict[str, int] = {}
+    for i, w in enumerate(words):
+        shouted, w = w.isupper(), w.lower()
+        obfuscated = hidden = False
         if not w.isalpha():
             w = _EDGE.sub("", w)
             if len(w) > 2 and not w.isalpha() and not w.isdigit():
                 plain = w.translate(_LEET)
                 if plain != w and plain.isalpha():
-                    obfuscated += 1
+                    obfuscated = True
                     if plain in by_word:
-                        hidden += 1
-                        w = plain
-        if w in SECOND_PERSON:
-            second.append(i)
-        odds = by_word.get(w)
-        if odds is not None:
-            exact += 1
-        odds = odds or 0.0
+                        hidden, w = True, plain
+        odds = by_word.get(w, 0.0)
+        flags[i] = shouted, w in SECOND_PERSON, w in by_word, obfuscated, hidden
         if w[: STARTS[0]] in heads:
             odds = max(odds, *(by_start.get(w[:k], 0.0) for k in range(STARTS[0], min(STARTS[1], len(w) - 1) + 1)), 0.0)
-        if odds:
-            starts += 1
-            total += odds
-            strongest = max(strongest, odds)
-            distinct.add(w)
-            at.append(i)
-    if not n:
-        return [0.0] * len(FEATURES)
-    if at and second:
-        k = 0
-        for i in at:
-            while k + 1 < len(second) and abs(second[k + 1] - i) <= abs(second[k] - i):
-                k += 1
-            near += abs(second[k] - i) <= 3
-    chars = len(text)
-    letters = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    marks = sum(map(text.count, "!?.,;:"))
-    return [100 * exact / n, 100 * starts / n, 100 * total / n, strongest, float(len(distinct)), 100 * near / n, 100 * len(second) / n, letters / chars, shouted / n, marks / chars, 100 * text.count("!") / n, 100 * obfuscated / n, 100 * hidden / n, math.log1p(n)]
+        best[i], plain_of[i] = odds, number.setdefault(w, len(number))
+    return flags, best, plain_of
+
+
+def describe(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """The features of each text, in the order of FEATURES: words are split and numbered by Arrow, looked at once each, and
+    summed up by text."""
+    n = len(column)
+    split = pc.utf8_split_whitespace(column.cast(pa.large_string()))
+    flat, count = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(n), count)
+    coded = flat.dictionary_encode()
+    listed, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    solid = np.array([bool(w) for w in listed], dtype=bool)[code] if len(code) else np.zeros(0, dtype=bool)  # white space at an end leaves an empty word
+    doc, code = doc[solid], code[solid]
+    flags, odds, plain = word_traits(listed, lexicon)
+    words = np.bincount(doc, minlength=n)
+    sums = [np.bincount(doc, flags[code, k], n) for k in range(5)]
+    shouted, second, exact, obfuscated, hidden = sums
+    hit = np.flatnonzero(odds[code] > 0)
+    at, power = doc[hit], odds[code[hit]]
+    strongest = np.zeros(n)
+    np.maximum.at(strongest, at, power)
+    pairs = np.unique(at * (len(listed) + 1) + plain[code[hit]])
+    distinct = np.bincount(pairs // (len(listed) + 1), minlength=n)
+    own = np.flatnonzero(flags[code, 1])
+    near = np.zeros(len(hit), dtype=bool)
+    if len(own):
+        after = np.minimum(np.searchsorted(own, hit), len(own) - 1)
+        for k in (after, np.maximum(after - 1, 0)):
+            near |= (np.abs(own[k] - hit) <= NEAR) & (doc[own[k]] == at)
+    raw = [x.encode() for x in column.to_pylist()]
+    chars = np.maximum(1, pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    lost = lambda gone: np.array([len(x) - len(x.translate(None, gone)) for x in raw], dtype=float)
+    per = 100 / np.maximum(1, words)
+    features = [exact * per, np.bincount(at, minlength=n) * per, np.bincount(at, power, n) * per, strongest, distinct, np.bincount(at[near], minlength=n) * per, second * per, lost(CAPITALS) / chars, shouted * per / 100, lost(MARKS) / chars, lost(b"!") * per, obfuscated * per, hidden * per, np.log1p(words)]
+    out = np.column_stack(features).astype(float)
+    out[words == 0] = 0.0
+    return out
+
+
+def described(lexicon: Lexicon):
+    """The features as a function of columns of text."""
+
+    @F.arrow_udf(", ".join(f"{f} double" for f in FEATURES))
+    def run(text: pa.Array) -> pa.Array:
+        made = [np.zeros((0, len(FEATURES)))]
+        for part in slices(pa.RecordBatch.from_arrays([text], names=["text"])):
+            made.append(describe(part.column(0), lexicon))
+        return pa.StructArray.from_arrays([pa.array(x) for x in np.concatenate(made).T], names=FEATURES)
+
+    return run
 
 
 def featured(rows: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = pd.DataFrame([describe(t, lexicon) for t in frame["text"]], columns=FEATURES, dtype=float)
-            yield pd.concat([frame[["doc_id", *keep]].reset_index(drop=True), made], axis=1)
-
-    kinds = "doc_id long" + "".join(f", {k} int" for k in keep) + "".join(f", {f} double" for f in FEATURES)
-    return rows.mapInPandas(run, kinds)
+    return rows.select("doc_id", *keep, described(lexicon)("text").alias("_f")).select("doc_id", *keep, "_f.*")
 
 
 @dataclass
@@ -160,13 +174,7 @@ class Model:
         """The documents that score below threshold. The text travels along with its features, so nothing is joined."""
         if self.trees is None:
             return docs if self.prior < threshold else docs.limit(0)
-        lexicon = self.lexicon
-
-        @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
-        def described(text: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([describe(t, lexicon) for t in text], columns=FEATURES, dtype=float)
-
-        rows = docs.select(F.struct("*").alias("_doc"), described(F.coalesce("text", F.lit(""))).alias("_f")).select("_doc", "_f.*")
+        rows = docs.select(F.struct("*").alias("_doc"), described(self.lexicon)(F.coalesce("text", F.lit(""))).alias("_f")).select("_doc", "_f.*")
         return self.calibrated(rows, "_doc").where(F.col("score") < threshold).select("_doc.*")
 
     def calibrated(self, rows: DataFrame, keep: str) -> DataFrame:
