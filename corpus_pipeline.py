@@ -10,7 +10,8 @@ the columns of documents, and each works on all that its predecessor kept:
 - packing lays out the token ids of what is left.
 
 Cases: null text counts as empty and passes through as null until words are removed from it (none are); empty tables stay
-empty; repeated rows are near duplicates of each other; extra columns are dropped at the first stage.
+empty; repeated rows are near duplicates of each other; of equally good documents the smallest doc_id stays; very long texts
+go through every stage whole; extra columns are dropped at the first stage.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)  # stays set: later stages hand whole texts to Python too
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.kept(docs.select(*COLUMNS))
+    with small_batches(spark):  # whole texts wait for their features, so few are handed over at once
+        return written(model.kept(docs.select(*COLUMNS)), "calm")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
