@@ -10,7 +10,6 @@ from tidemark.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver's tables")
-SLOW = {"drift_crossings", "route_cost", "alert_dedup_stream"}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +37,7 @@ def rows(frame):
     return list(frame.columns), sorted(repr([cell(x) for x in r]) for r in frame.astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, oracle, name):
     got = catalogue.queries()[name](spark, DIR).toPandas()
     if name in catalogue.oracle_sql():
@@ -52,8 +51,33 @@ def test_stream_reads_a_file_or_a_folder(spark, tmp_path, files):
         events.repartition(files).write.parquet(str(tmp_path / "events.parquet"))
     else:
         events.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
-    batch, stream = (catalogue.queries()[f"alert_dedup_{kind}"](spark, str(tmp_path)).count() for kind in ("batch", "stream"))
-    assert batch == stream == 60
+    batch, stream = (sorted(map(tuple, catalogue.queries()[f"alert_dedup_{kind}"](spark, str(tmp_path)).collect())) for kind in ("batch", "stream"))
+    assert batch == stream and len(batch) == 60
+
+
+def test_the_life_of_alerts_is_the_same_in_both_forms(spark):
+    batch, stream = (sorted((tuple(r) for r in catalogue.queries()[f"alert_life_{kind}"](spark, DIR).collect()), key=str) for kind in ("batch", "stream"))
+    assert batch == stream and len(batch) == 2 * spark.read.parquet(f"{DIR}/events.parquet").count()
+
+
+def test_bands_hold_the_vessels_within_their_distance(spark):
+    from tidemark.functions import geo
+    from tidemark.operators import spatial
+    from tidemark.plans import places
+    from tidemark.sources.views import view
+
+    vessels = view(spark, DIR, "vessels").select("vessel_id", "lat", "lon")
+    far = {r.vessel_id: r.metres for r in spatial.boundary(vessels, catalogue.LINE).collect()}
+    held = {(r.vessel_id, r.band) for r in places.vessels_in_bands(spark, DIR).collect()}
+    near = {k: {(v, k) for v, m in far.items() if m < w * 0.99} for k, w in places.BANDS.items()}
+    wide = {(v, k) for k, w in places.BANDS.items() for v, m in far.items() if m < w * 1.01}  # the nearest point is taken in degrees
+    assert set().union(*near.values()) <= held <= wide and near["far"] and geo.AMBER_METRES == places.BANDS["amber"]
+
+
+def test_plans_have_no_nested_loops_and_no_window_in_one_task(spark):
+    for name in ("nearest_shelter", "pareto_frontier", "pareto_spread", "points_in_regions"):
+        plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "Window" not in plan, name
 
 
 def test_entry(spark):

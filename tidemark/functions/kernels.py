@@ -75,3 +75,11 @@ def slick_flag(value: Column, baseline: Column) -> Column:
 def step_cost(wave: Column, wind: Column, current: Column) -> Column:
     """Cost of entering a cell, before the length of the step."""
     return F.greatest(F.lit(0.1), 1.0 + 2.0 * wave + 0.6 * (wind / 10.0) - current)
+
+
+def coherence(value: Column, reason: Column, detail: Column) -> Column:
+    """Why a kernel's result contradicts itself, or null: it abstains with a value or without an explanation, or has no
+    value and no reason."""
+    issue = F.when(reason.isNotNull() & value.isNotNull(), "an abstention returns a value")
+    issue = issue.when(reason.isNotNull() & (F.coalesce(detail, F.lit("")) == ""), "an abstention does not explain itself")
+    return issue.when(reason.isNull() & value.isNull(), "no value and no reason")

@@ -81,8 +81,9 @@ def remedies(checks: DataFrame, by: str, place: Column) -> DataFrame:
 
 
 def recall_reaches(at_sea: Column, has_position: Column, in_area: Column, has_area: bool) -> Column:
-    """Boats at sea, those of unknown position included."""
-    return at_sea & (~has_position | in_area) if has_area else at_sea
+    """Boats known to be at sea, within the area if there is one. A boat of which nothing is known isn't known to be at sea."""
+    out = at_sea & has_position
+    return out & in_area if has_area else out
 
 
 def recall_info(urgency: Column, area: Column, reason: Column) -> Column:

@@ -12,14 +12,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.functions.buffers import inside
 
-ROOT, LEVELS = 16.0, 9  # degrees of a cell of level 0; the finest cells are ROOT / 2**LEVELS degrees
+ROOT, LEVELS = 16.0, 7  # degrees of a cell of level 0; the finest cells are ROOT / 2**LEVELS degrees
 GEOMETRY = "array<array<array<struct<lat:double,lon:double>>>>"  # polygons of rings, the first the outer one
 
 
@@ -57,15 +57,17 @@ def cover(regions: DataFrame, id_: str, geom: str, levels: int = LEVELS) -> Data
     """id, level, a, b, whole of each region's cells; regions without a geometry have none."""
     kind = regions.schema[id_].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, polygons in zip(frame[id_], frame[geom], strict=True):
-                shape = [[np.array([(p["lat"], p["lon"]) for p in ring]) for ring in polygon] for polygon in polygons]
-                cells = cover_cells(shape, levels)
-                yield pd.DataFrame([(name, *c) for c in cells], columns=[id_, "level", "a", "b", "whole"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, polygons in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                cells = cover_cells([[np.array([(p["lat"], p["lon"]) for p in ring]) for ring in polygon] for polygon in polygons], levels)
+                if cells:
+                    level, a, b, whole = zip(*cells)
+                    names = pa.array([name.as_py()] * len(cells), name.type)
+                    yield pa.RecordBatch.from_arrays([names, *(pa.array(x, pa.int32()) for x in (level, a, b)), pa.array(whole)], names=[id_, "level", "a", "b", "whole"])
 
     rows = regions.where(F.col(geom).isNotNull() & (F.size(geom) > 0)).select(id_, geom)
-    return rows.mapInPandas(run, f"{id_} {kind}, level int, a int, b int, whole boolean")
+    return rows.mapInArrow(run, f"{id_} {kind}, level int, a int, b int, whole boolean")
 
 
 def within(polygons: Column, lat: Column, lon: Column) -> Column:

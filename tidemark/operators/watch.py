@@ -113,11 +113,23 @@ def input_state(inputs: Column) -> Column:
 
 
 def input_fingerprint(inputs: Column) -> Column:
-    """SHA-256 over name=value of the inputs in order of their names; a null value is empty."""
-    pairs = F.array_sort(F.transform(inputs, lambda i: F.concat(i["name"], F.lit("="), F.coalesce(i["value"].cast("string"), F.lit("")))))
+    """SHA-256 over the inputs in order of their names. Sizes stand before names and values, so no separator in them can
+    make two different inputs alike; a null value is a dash."""
+    sized = lambda x: F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+    pairs = F.array_sort(F.transform(inputs, lambda i: F.concat(sized(i["name"]), F.lit("="), sized(i["value"].cast("string")))))
     return F.sha2(F.array_join(pairs, ";"), 256)
 
 
+def conditions_for(subscribers: DataFrame, conditions: DataFrame, by: str) -> DataFrame:
+    """Each subscriber with the conditions that were fetched for them; nulls where none were."""
+    return subscribers.join(conditions, by, "left")
+
+
+def active_endpoints(endpoints: Column) -> Column:
+    """Of array<struct<channel, active>> the ways that reach a subscriber now; none for null."""
+    return F.coalesce(F.filter(endpoints, lambda e: F.coalesce(e["active"], F.lit(False))), F.slice(endpoints, 1, 0), F.array().cast("array<struct<channel:string,active:boolean>>"))
+
+
 def anomaly_rollup(chlorophyll: Column, baseline: Column, bloom: Column, slick: Column, has_sst: Column, heatwave: Column) -> Column:
     """struct(flags, abstains): flags raised by the detectors that have inputs; null and true if none has any."""
     colour = chlorophyll.isNotNull() & baseline.isNotNull()

@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tidemark.plans import advice, archives, indexes, lifecycle, messages, provenance, records, watch  # noqa: F401  register their queries here
+    from tidemark.plans import advice, archives, indexes, lifecycle, messages, places, provenance, records, watch  # noqa: F401  register their queries here
 
     return QUERIES
 

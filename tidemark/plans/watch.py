@@ -128,7 +128,7 @@ def input_states(spark: SparkSession, d: str) -> DataFrame:
     return _inputs(spark, d).select("vessel_id", watch.input_state(F.col("inputs")).alias("s")).select("vessel_id", "s.*")
 
 
-@query("input_fingerprints", _INPUTS + " SELECT n AS vessel_id, sha256('swell=' || coalesce(swell::VARCHAR, '') || ';wave=' || coalesce(wave::VARCHAR, '') || ';wind=' || coalesce(wind::VARCHAR, '')) AS fingerprint FROM s")
+@query("input_fingerprints", _INPUTS + " SELECT n AS vessel_id, sha256('4:wave=' || coalesce(length(wave::VARCHAR) || ':' || wave, '-') || ';4:wind=' || coalesce(length(wind::VARCHAR) || ':' || wind, '-') || ';5:swell=' || coalesce(length(swell::VARCHAR) || ':' || swell, '-')) AS fingerprint FROM s")
 def input_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return _inputs(spark, d).select("vessel_id", watch.input_fingerprint(F.col("inputs")).alias("fingerprint"))
 
