@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import alerts as A
 from tidemark.functions.kernels import step_cost
+from tidemark.sources.store import dropped, stored
 
 BUCKETS = 64
 # fixed values: what a failed check asks for, names of hazards, and the dataset that a rule reads
@@ -20,13 +21,18 @@ OFFSHORE_SERVICES = ("GEMINI", "DAT-SG")
 
 def write_runs(rows: DataFrame, path: str) -> None:
     """Runs that occur in rows are replaced whole, others stay. rows(run_id, part, ...) holds a run's own row, its nodes and
-    its edges in one table, so a run changes at once; only the buckets of these runs are read and written."""
+    its edges in one table, so a run changes at once; only the buckets of these runs are read and written.
+
+    What the buckets will hold is written beside the table first, so the table isn't read while it is overwritten, and a
+    write that fails loses nothing: its rows still stand in the shared folder. One writer at a time.
+    """
     fresh = rows.withColumn("bucket", _bucket(F.col("run_id")))
-    spark = rows.sparkSession
+    spark, staged = rows.sparkSession, None
     if _exists(spark, path):
-        stored = spark.read.parquet(path).join(fresh.select("bucket").distinct(), "bucket", "left_semi")
-        fresh = replaced(stored, fresh).repartition("bucket")
+        held = spark.read.parquet(path).join(fresh.select("bucket").distinct(), "bucket", "left_semi")
+        fresh = staged = stored(replaced(held, fresh).repartition("bucket"), "runs")
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    dropped(staged)
 
 
 def replaced(stored: DataFrame, fresh: DataFrame) -> DataFrame:
