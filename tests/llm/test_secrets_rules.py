@@ -79,5 +79,32 @@ def test_hosts_are_shrunk_and_spare_clean_documents(spark, documents):
     got = {r.doc_id: r.kept for r in rules.judge(documents(rows)).collect()}
     assert not any(got[i] for i in range(40))
     assert got[100] and got[200] and got[300]
-    rates = {r.host: r.host_rate for r in rules.host_rates(rules.describe(documents(rows), F.col("source"))).collect()}
+    rates = {r.host: r.rate_symbols for r in rules.host_rates(rules.describe(documents(rows), F.col("source"))).collect()}
     assert rates["good"] < 0.2 and rates["bad"] > 0.8 and rates[""] < 1
+
+
+def test_two_planted_hosts_are_bad_by_their_own_rules(documents):
+    fine, odd = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}$$%" for i in range(30))
+    lines = "\n".join(["one line that is here more than once"] * 2 + [" ".join(f"v{i}" for i in range(60))])
+    rows = []
+    for h in range(20):
+        for i in range(50):
+            bad = odd if i < (25 if h == 3 else 2) else lines if 30 <= i < (48 if h == 7 else 31) else fine
+            rows.append((1000 * h + i, bad, f"host{h}"))
+    rates = {r.host: r for r in rules.host_rates(rules.describe(documents(rows), F.col("source"))).collect()}
+    assert {h for h, r in rates.items() if r.bad_symbols} == {"host3"} and {h for h, r in rates.items() if r.bad_lines} == {"host7"}
+    assert not any(r.bad_length for r in rates.values())
+    kept = {r.doc_id: r.kept for r in rules.judge(documents(rows)).collect()}
+    assert {i for i, k in kept.items() if not k} == set(range(3000, 3025)) | set(range(7030, 7048))
+
+
+def test_hosts_that_differ_by_chance_are_all_spared(documents):
+    fine, odd = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}$$%" for i in range(30))
+    rows = [(i, odd if i % 17 == 0 else fine, f"host{i % 10}") for i in range(400)]
+    assert all(r.kept for r in rules.judge(documents(rows)).collect())
+
+
+def test_rows_without_a_doc_id_and_long_texts(documents):
+    rows = [(None, "a b " * 20, "h"), (None, None, "h"), (1, " ".join(f"x{i}" for i in range(50_000)), "h")]
+    got = sorted((r.doc_id is None, r.n_words, r.kept) for r in rules.judge(documents(rows)).collect())
+    assert got == [(False, 50_000, True), (True, 0, False), (True, 40, False)]

@@ -73,11 +73,12 @@ RULES = f"""WITH {words("coalesce(text, '')")},
  a AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, sum(again) AS n_repeat_words FROM c GROUP BY doc_id),
  b AS (SELECT doc_id, coalesce(source, '') AS host, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM documents),
  f AS (SELECT doc_id, host, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, coalesce(n_symbols, 0) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM b LEFT JOIN a USING (doc_id)),
- r AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed, 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines OR word_chars > 20 * n_words AS soft_failed FROM f),
- h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS k FROM r GROUP BY host),
- p AS (SELECT sum(k) / sum(n) AS mean, greatest(var_pop(k / n) - sum(k) / sum(n) * (1 - sum(k) / sum(n)) * avg(1 / n), 1e-6) AS between_ FROM h),
- q AS (SELECT mean, least(greatest(mean * (1 - mean) / between_ - 1, 2.0), 10000.0) AS strength FROM p),
- v AS (SELECT host, (k + mean * strength) / (n + strength) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR (rate > {rules.MOST_RATE} AND soft_failed)) AS kept, CAST(floor(rate * 1e6 + 0.5) AS BIGINT) AS host_rate_millionths FROM r JOIN v USING (host)"""
+ r AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed, 10 * n_symbols > word_chars AS f0, 10 * n_dup_lines > 3 * n_lines AS f1, word_chars > 20 * n_words AS f2 FROM f),
+ h AS (SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER (f{i}) AS k{i}" for i in range(3))} FROM r GROUP BY host),
+ p AS (SELECT {", ".join(f"sum(k{i}) / sum(n) AS m{i}, greatest(var_pop(k{i} / n) - sum(k{i}) / sum(n) * (1 - sum(k{i}) / sum(n)) * avg(1 / n), 1e-6) AS b{i}" for i in range(3))} FROM h),
+ q AS (SELECT {", ".join(f"m{i}, least(greatest(m{i} * (1 - m{i}) / b{i} - 1, 2.0), 10000.0) AS s{i}" for i in range(3))} FROM p),
+ x AS (SELECT host, {", ".join(f"(k{i} + m{i} * s{i}) / (n + s{i}) AS r{i}, n + s{i} AS w{i}, m{i}" for i in range(3))} FROM h, q),
+ z AS (SELECT host, {", ".join(f"coalesce((r{i} - {rules.FACTOR} * m{i}) / nullif(sqrt(r{i} * (1 - r{i}) / (w{i} + 1)), 0), -9.0) AS z{i}" for i in range(3))} FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {" OR ".join(f"(f{i} AND z{i} > {rules.TAIL})" for i in range(3))}) AS kept, CAST(floor(greatest(z0, z1, z2) * 1000 + 0.5) AS BIGINT) AS host_excess_milli FROM r JOIN z USING (host)"""
 
 SQL = {"op1_ngram_jaccard": JACCARD, "op2_secret_ownership": SECRETS, "op8_host_rules": RULES, "op10_fm_substrings": SUBSTRINGS}

@@ -1,11 +1,14 @@
 """Operator 8, quality rules with host-level verdicts. Native: column expressions and SQL functions only.
 
-Each document's statistics come from one pass of array functions. Rule failures are aggregated by host, a beta prior is
-estimated from the spread of hosts' rates (method of moments), rates are shrunk by it, and hosts whose shrunk rate is
-above MOST_RATE are bad. A document is dropped if it fails a base rule, or fails a soft rule and stands on a bad host;
-a document without any failure is never dropped for its host.
-
-Cases: null text counts as empty (no words, base_failed); null hosts are one host named ''; repeated rows give equal
+Each document's statistics come from one pass of array functions. Failures of each soft rule are aggregated by host, and a
+beta prior is estimated from the spread of hosts' rates (method of moments), so that a host's rate is shrunk towards the
+corpus. A host is bad by a rule if its posterior says with CONFIDENCE that its rate is above FACTOR times the corpus's; the
+tail of the posterior is taken as normal (mean and variance of the beta), since SQL has no incomplete beta function. A
+document is dropped if it fails a base rule, or fails a soft rule that its host is bad by; a document without any failure
+is never dropped for its host. Where hosts differ no more than by chance the prior is strong and no host is bad.
+
+Cases: null text counts as empty (no words, base_failed); very long texts are read whole; ties can't be; rows without doc_id
+are judged like others and dealt over the salts; null hosts are one host named ''; repeated rows give equal
 rows; an empty table gives an empty result; only the named columns are read, so others may be named anything. Windows
 are compared by a 64-bit hash within one document.
 """
@@ -19,7 +22,8 @@ from tidemark.llm.shared import written
 
 SPAN = 8
 MIN_WORDS, MOST_REPEATED = 20, 30
-MOST_RATE = 0.5
+FACTOR, CONFIDENCE, TAIL = 1.5, 0.9, 1.2815515655446004  # the tail is the normal quantile of the confidence
+SOFT = ("symbols", "lines", "length")
 SALTS = 64
 SYMBOLS = "#*$%&|<>"
 WHITE_CHARS = " \t\n\x0b\f\r"
@@ -40,7 +44,7 @@ def repeated_words(rows: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame, host: Column) -> DataFrame:
-    """Statistics, base rule and soft rule of each document."""
+    """Statistics, base rule and soft rules of each document."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text"))
     solid = F.translate("text", WHITE_CHARS, "")
@@ -52,31 +56,40 @@ def describe(docs: DataFrame, host: Column) -> DataFrame:
     rows = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("lines"))).drop("lines")
     rows = repeated_words(rows).drop("words")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    soft = (10 * F.col("n_symbols") > F.col("word_chars")) | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")) | (F.col("word_chars") > 20 * F.col("n_words"))
-    return rows.withColumn("base_failed", base).withColumn("soft_failed", soft)
-
-
-def host_rates(rows: DataFrame, most_rate: float = MOST_RATE) -> DataFrame:
-    """host, documents, failures, shrunk rate and verdict; the prior is one row."""
-    failed = (F.col("base_failed") | F.col("soft_failed")).cast("long")
-    hosts = rows.groupBy("host").agg(F.count("*").alias("documents"), F.sum(failed).alias("failures"))
-    rate = F.col("failures") / F.col("documents")
-    p = hosts.agg(F.sum("failures").alias("f"), F.sum("documents").alias("n"), F.count("*").alias("k"), F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("documents")).alias("i")).first()
-    mean = (p["f"] or 0) / p["n"] if p["n"] else 0.5
-    within = mean * (1 - mean) * (p["i"] or 0)  # variance that counting alone would show
-    between = max((p["v"] or 0) - within, 1e-6)
-    strength = min(max(mean * (1 - mean) / between - 1, 2.0), 10_000.0)
-    shrunk = (F.col("failures") + mean * strength) / (F.col("documents") + strength)
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_bad", shrunk > most_rate)
-
-
-def judge(docs: DataFrame, host: Column | None = None, most_rate: float = MOST_RATE) -> DataFrame:
+    soft = {"symbols": 10 * F.col("n_symbols") > F.col("word_chars"), "lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), "length": F.col("word_chars") > 20 * F.col("n_words")}
+    return rows.withColumn("base_failed", base).select("*", *[fails.alias(f"failed_{name}") for name, fails in soft.items()])
+
+
+def host_rates(rows: DataFrame, factor: float = FACTOR, tail: float = TAIL) -> DataFrame:
+    """host, documents, and of each soft rule: shrunk rate, excess (standard deviations of the posterior between the rate
+    and `factor` times the corpus's) and whether the host is bad by it. The priors are one row."""
+    hosts = rows.groupBy("host").agg(F.count("*").alias("documents"), *[F.sum(F.col(f"failed_{r}").cast("long")).alias(f"failures_{r}") for r in SOFT])
+    n = F.col("documents")
+    of = lambda r: [F.sum(f"failures_{r}").alias(f"f_{r}"), F.var_pop(F.col(f"failures_{r}") / n).alias(f"v_{r}")]
+    p = hosts.agg(F.sum(n).alias("n"), F.avg(1 / n).alias("i"), *[x for r in SOFT for x in of(r)]).first()
+    for r in SOFT:
+        mean = (p[f"f_{r}"] or 0) / p["n"] if p["n"] else 0.0
+        within = mean * (1 - mean) * (p["i"] or 0)  # variance that counting alone would show
+        between = max((p[f"v_{r}"] or 0) - within, 1e-6)
+        strength = min(max(mean * (1 - mean) / between - 1, 2.0), 10_000.0)
+        a, whole = F.col(f"failures_{r}") + mean * strength, n + strength
+        rate = a / whole
+        spread = F.sqrt(rate * (1 - rate) / (whole + 1))
+        excess = F.coalesce((rate - factor * mean) / F.nullif(spread, F.lit(0.0)), F.lit(-9.0))
+        hosts = hosts.withColumn(f"rate_{r}", rate).withColumn(f"excess_{r}", excess).withColumn(f"bad_{r}", excess > tail)
+    return hosts
+
+
+def judge(docs: DataFrame, host: Column | None = None, factor: float = FACTOR, tail: float = TAIL) -> DataFrame:
     rows = written(describe(docs, F.col("source") if host is None else host), "rules")
-    hosts = host_rates(rows, most_rate).select("host", "host_rate", "host_bad")
-    kept = ~(F.col("base_failed") | (F.col("host_bad") & F.col("soft_failed")))
+    most = F.greatest(*[F.col(f"excess_{r}") for r in SOFT])
+    hosts = host_rates(rows, factor, tail).select("host", *[f"bad_{r}" for r in SOFT], F.floor(most * 1000 + 0.5).cast("long").alias("host_excess_milli"))
+    dropped = F.col("base_failed")
+    for r in SOFT:
+        dropped = dropped | (F.col(f"bad_{r}") & F.col(f"failed_{r}"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))  # a host may hold a third of all rows
-    return rows.join(hosts.select("*", salts), ["host", "salt"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.floor(F.col("host_rate") * 1e6 + 0.5).cast("long").alias("host_rate_millionths"))
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # a host may hold a third of all rows
+    return rows.join(hosts.select("*", salts), ["host", "salt"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~dropped).alias("kept"), "host_excess_milli")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
