@@ -74,6 +74,28 @@ def test_bands_hold_the_vessels_within_their_distance(spark):
     assert set().union(*near.values()) <= held <= wide and near["far"] and geo.AMBER_METRES == places.BANDS["amber"]
 
 
+def test_the_full_tick_is_the_worst_of_all_rules(spark):
+    from tidemark.functions.alerts import RANKS
+    from tidemark.operators import spatial
+    from tidemark.plans import watch
+
+    worst = {}
+    for r in watch._tick_results(spark, DIR).collect():
+        worst.setdefault(r.vessel_id, []).append((-RANKS[r.outcome], r.rule, r.hazard, r.outcome))
+    under_way = watch._under_way(spark, DIR)
+    for r in spatial.boundary(under_way.select("vessel_id", "lat", "lon"), catalogue.LINE).collect():
+        outcome = "warning" if r.metres <= 2000 else "watch" if r.metres <= 5000 else "clear"
+        worst[r.vessel_id].append((-RANKS[outcome], "geofence_proximity", "", outcome))
+    for r in spatial.drift(under_way.withColumnRenamed("vessel_id", "id"), catalogue.LINE).collect():
+        minutes = None if r.crossing_s is None else r.crossing_s / 60
+        outcome = "clear" if minutes is None else "emergency" if minutes <= 10 else "warning" if minutes <= 20 else "watch"
+        worst[r.id].append((-RANKS[outcome], "geofence_drift", "", outcome))
+    skipped = {r.vessel_id for r in watch._skips(spark, DIR).where("skip IS NOT NULL").collect()}
+    want = {v: min(x)[1:] for v, x in worst.items() if v not in skipped and min(x)[0] < 0}
+    got = {r.vessel_id: (r.rule, r.hazard, r.outcome) for r in catalogue.queries()["full_tick"](spark, DIR).collect()}
+    assert got == want and any(rule.startswith("geofence") for rule, _, _ in got.values())
+
+
 def test_plans_have_no_nested_loops_and_no_window_in_one_task(spark):
     for name in ("nearest_shelter", "pareto_frontier", "pareto_spread", "points_in_regions"):
         plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()

@@ -59,6 +59,22 @@ def tick(results: DataFrame, id_: str) -> DataFrame:
     return worst.withColumn("severity", A.severity(F.col("outcome"))).withColumn("certainty", certainty(F.col("rule")))
 
 
+def boundary_results(vessels: DataFrame, line: list[tuple[float, float]], id_: str, home_side: str | None = None, horizon_s: int = 3600) -> DataFrame:
+    """Both boundary rules of each vessel: id, hazard, rule, outcome, distance_km, minutes. vessels(id, lat, lon,
+    heading_deg, speed_ms, current_east_ms, current_north_ms); vessels without a position have no part.
+
+    Proximity goes by the warning band and, if home_side is named, by having crossed; it says where a boat is, so it has no
+    minutes. Drift goes by the minutes until the course over ground, current included, first stands on the other side.
+    """
+    at = vessels.where("lat IS NOT NULL AND lon IS NOT NULL")
+    none = F.lit(None).cast("double")
+    near = spatial.boundary(at.select(id_, "lat", "lon"), line, home_side)
+    close = near.select(id_, F.lit("").alias("hazard"), F.lit("geofence_proximity").alias("rule"), A.band_rule(F.col("band")).alias("outcome"), (F.col("metres") / 1000).alias("distance_km"), none.alias("minutes"))
+    motion = at.select(F.col(id_).alias("id"), "lat", "lon", "heading_deg", "speed_ms", "current_east_ms", "current_north_ms")
+    way = spatial.drift(motion, line, horizon_s).select(F.col("id").alias(id_), (F.col("closest_m") / 1000).alias("distance_km"), (F.col("crossing_s") / 60).alias("minutes"))
+    return close.union(way.select(id_, F.lit("").alias("hazard"), F.lit("geofence_drift").alias("rule"), A.drift_rule(F.col("minutes")).alias("outcome"), "distance_km", "minutes"))
+
+
 def audit(subscribers: DataFrame, results: DataFrame, id_: str) -> DataFrame:
     """One row a subscriber: why it was skipped, or how its rules came out. subscribers(id, skip)."""
     fired = A.rank(F.col("outcome")) >= A.RANKS["watch"]

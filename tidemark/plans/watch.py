@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import alerts as A
 from tidemark.functions import kernels
 from tidemark.operators import asof, spatial, watch
-from tidemark.plans.catalogue import _AS_OF, _INSIDE, _SKIP, SQL, ntz, query, vessel_rules
+from tidemark.plans.catalogue import _AS_OF, _INSIDE, _SKIP, LINE, SQL, ntz, query, vessel_rules
 from tidemark.sources import dimensions as dim
 from tidemark.sources.views import cte, view
 
@@ -71,6 +71,20 @@ def alert_tick(spark: SparkSession, d: str) -> DataFrame:
     return watch.tick(_tick_results(spark, d).join(evaluable, "vessel_id", "left_semi"), "vessel_id")
 
 
+def _under_way(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("vessel_id")
+    return view(spark, d, "vessels").where("NOT no_position").select("vessel_id", "lat", "lon", ((n % 8) * 45.0).alias("heading_deg"), F.lit(9.0).alias("speed_ms"), F.lit(0.5).alias("current_east_ms"), F.lit(0.0).alias("current_north_ms"))
+
+
+@query("full_tick")
+def full_tick(spark: SparkSession, d: str) -> DataFrame:
+    """The tick over all rules: cyclones, conditions, the boundary's nearness and the drift over it."""
+    boundary = watch.boundary_results(_under_way(spark, d), LINE, "vessel_id")
+    every = _tick_results(spark, d).union(boundary.select("vessel_id", "hazard", "rule", "outcome"))
+    evaluable = _skips(spark, d).where("skip IS NULL").select("vessel_id")
+    return watch.tick(every.join(evaluable, "vessel_id", "left_semi"), "vessel_id")
+
+
 @query("audit_rows", f"""{_TICK}, c AS (SELECT vessel_id, count(*) AS evaluated, count(*) FILTER ({_RANK} >= 1) AS fired, count(*) FILTER (outcome = 'unevaluated') AS unevaluated FROM res GROUP BY vessel_id)
  SELECT vessel_id, skip, CASE WHEN skip IS NULL THEN evaluated ELSE 0 END AS evaluated, CASE WHEN skip IS NULL THEN fired ELSE 0 END AS fired, CASE WHEN skip IS NULL THEN unevaluated ELSE 0 END AS unevaluated FROM sk JOIN c USING (vessel_id)""")
 def audit_rows(spark: SparkSession, d: str) -> DataFrame:
