@@ -82,3 +82,13 @@ def test_repeat_counts_solve_an_exact_case():
     x = repeat = pack.repeat_counts(combos, histogram, 2000)
     assert {tuple(c): round(v) for c, v in zip(combos.tolist(), x) if v > 0.5} == {(0, 300, 724): 5, (0, 512, 512): 4}
     assert (repeat >= 0).all()
+
+
+def test_rows_without_a_doc_id_and_repeated_ones(documents, exact):
+    rows = [(None, "some words"), (None, "other words here"), (7, "x y"), (7, "x y"), (8, None)]
+    coded = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in bpe.encode_documents(documents(rows)).collect())
+    n = lambda text: len(exact.encode(text, add_special_tokens=False).ids)
+    assert coded == sorted([(True, 0, n("some words")), (True, 0, n("other words here")), (False, 7, n("x y")), (False, 7, n("x y")), (False, 8, 0)])
+    pieces = pack.pack_documents(documents(rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.length) for r in pieces) == sorted((a, b, c + 1) for a, b, c in coded)  # all are short: a piece each
+    assert len({(r.sequence_id, r.offset) for r in pieces}) == len(rows)

@@ -80,3 +80,11 @@ def test_documents(spark, documents):
     table = matroska.packet_table(files)
     assert {r.doc_id: r.n for r in table.groupBy("doc_id").agg({"bytes": "sum"}).withColumnRenamed("sum(bytes)", "n").collect()} == {i: r.payload_bytes for i, r in rows.items()}
     assert matroska.store_documents(documents([]).limit(0)).count() == 0
+
+
+def test_stored_rows_without_a_doc_id_and_the_applications(documents):
+    rows = matroska.store_documents(documents([(None, "a"), (None, "a"), (3, "a"), (3, None)]), media_column=True).collect()
+    assert sorted((r.doc_id is None, r.n_bytes) for r in rows) == [(False, 0), (False, 1), (True, 1), (True, 1)]
+    assert len({r.media_sha256 for r in rows if r.n_bytes}) == 1
+    muxed = bytes(rows[0].media)
+    assert muxed.count(matroska.APP) == 2 and all(muxed.count(x) == 1 for x in (b"\x4d\x80", b"\x57\x41"))

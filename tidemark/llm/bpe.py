@@ -5,7 +5,8 @@ gives if and only if each token stands for itself and each adjacent pair is stab
 pair gives the pair back), so numpy looks up all adjacent pairs of a batch of new words at once; only words with an
 unstable pair are merged exactly. Pair verdicts and finished words are kept per Python worker, bounded in number.
 
-Cases: null text counts as empty; empty text has no tokens; repeated rows give equal rows; an empty table gives an
+Cases: null text counts as empty; empty text has no tokens; very long texts are encoded whole; ties can't be; rows without
+doc_id are encoded like others; repeated rows give equal rows; an empty table gives an
 empty result; the only input columns read are doc_id and text, so others may be named anything. The special token's
 string in a text becomes its id, as the tokenizers library does by default.
 """

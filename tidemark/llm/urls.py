@@ -5,8 +5,8 @@ over strict and soft terms: a hit counts only between boundaries (no ASCII lette
 hit or MIN_SOFT distinct soft hits reject.
 
 Cases: null URLs or URLs without `://` have an empty host and path, no rule, and are judged on their whole string (null:
-allowed); ties of rule length can't be (two rules of one length that both fit are one rule); repeated rows give equal
-rows; an empty table gives an empty result; only page_id and url are read.
+allowed); ties of rule length can't be (two rules of one length that both fit are one rule); very long URLs are
+read whole; repeated rows give equal rows; an empty table gives an empty result; only page_id and url are read.
 """
 
 from __future__ import annotations
