@@ -44,8 +44,8 @@ def write_index(docs: DataFrame, id_: str, text: str, path: str, buckets: int =
     places = words.select("doc", F.posexplode("t").alias("pos", "term")).groupBy("term", "doc").agg(F.sort_array(F.collect_list("pos")).alias("p"))
     entry = F.struct("doc", gaps(F.col("p")).alias("p"))
     rows = places.groupBy("term", F.floor(F.col("doc") / block).cast("long").alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    ids = F.transform("e", lambda x: x["doc"])
-    rows = rows.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "block", gaps(ids).alias("docs"), F.transform("e", lambda x: x["p"]).alias("positions"))
+    steps = F.transform("e", lambda x, i: F.when(i == 0, x["doc"]).otherwise(x["doc"] - F.get("e", i - 1)["doc"]))  # of the column itself: an expression would be computed anew for each element
+    rows = rows.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "block", steps.alias("docs"), F.transform("e", lambda x: x["p"]).alias("positions"))
     dealt = rows.repartition("bucket", F.pmod(F.col("block"), F.lit(SLICES))).sortWithinPartitions("bucket", "term", "block")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     words.select("doc", F.size("t").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
