@@ -478,3 +478,23 @@ def test_lexical_asks_for_every_word_and_phrase(spark):
     docs = spark.createDataFrame([(1, "the sea of storms"), (2, "of the sea"), (3, "sea of the storms and rain"), (4, None), (5, "the sea")], "id long, text string")
     assert values(retrieve.lexical(docs, "id", ["sea", "the", "of"], every=True), "id") == [(1,), (2,), (3,)]
     assert values(retrieve.lexical(docs, "id", ["sea", "the"], every=True, phrases=["of the"], without=["rain"]), "id") == [(2,)]
+
+
+def test_drift_looks_at_tracks_where_the_rows_are(spark):
+    """Against every step's geodesic; one row a vessel through the plan, and an unknown speed or position crosses nothing."""
+    line = [(lat, lon) for _, lat, lon in dimensions.BOUNDARY]
+    rng = np.random.default_rng(4)
+    p = pd.DataFrame({"id": range(300), "lat": rng.uniform(8, 10.5, 300), "lon": rng.uniform(78, 81, 300), "heading_deg": rng.uniform(0, 360, 300), "speed_ms": rng.uniform(0, 15, 300)})
+    rows = spark.createDataFrame(p).union(spark.createDataFrame([(300, None, 80.5, 0.0, 9.0), (301, 10.0, 81.0, 0.0, None)], "id long, lat double, lon double, heading_deg double, speed_ms double"))
+    made = spatial.drift(rows.selectExpr("*", "0.5D current_east_ms", "0.0D current_north_ms"), line)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    got = {r.id: r for r in made.collect()}
+    assert len(got) == 302 and all(got[i].crossing_s is None and got[i].closest_m is None for i in (300, 301))
+    for r in p.itertuples():
+        e, n = r.speed_ms * np.sin(np.radians(r.heading_deg)) + 0.5, r.speed_ms * np.cos(np.radians(r.heading_deg))
+        t = np.arange(0, 3601, 60)
+        y, x = geo.vincenty_direct(np.full(61, r.lat), np.full(61, r.lon), np.full(61, np.degrees(np.arctan2(e, n)) % 360), np.hypot(e, n) * t)
+        at, on, _ = geo.nearest_on(line, y, x)
+        metres = geo.vincenty_inverse(y, x, at, on)[0]
+        assert got[r.id].closest_m == pytest.approx(metres.min(), abs=1e-3) and metres[got[r.id].closest_s // 60] == pytest.approx(metres.min(), abs=1e-3)

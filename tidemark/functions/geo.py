@@ -100,7 +100,9 @@ def vincenty_direct(lat, lon, course, metres):
     first = sigma = metres / (b * big)
     for _ in range(20):
         cm, ss, cs = np.cos(2 * sigma1 + sigma), np.sin(sigma), np.cos(sigma)
-        sigma = first + small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+        before, sigma = sigma, first + small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+        if np.array_equal(before, sigma, equal_nan=True):  # later rounds would change nothing
+            break
     cm, ss, cs = np.cos(2 * sigma1 + sigma), np.sin(sigma), np.cos(sigma)
     lat2 = np.arctan2(s1 * cs + c1 * ss * np.cos(a1), (1 - _F) * np.hypot(sa, s1 * ss - c1 * cs * np.cos(a1)))
     lam = np.arctan2(ss * np.sin(a1), c1 * cs - s1 * ss * np.cos(a1))
@@ -109,6 +111,39 @@ def vincenty_direct(lat, lon, course, metres):
     return np.degrees(lat2), lon + np.degrees(length)
 
 
+def ecef(lat, lon):
+    """x, y, z in metres on the ellipsoid."""
+    lat, lon = np.radians(lat), np.radians(lon)
+    e2 = _F * (2 - _F)
+    n = _A / np.sqrt(1 - e2 * np.sin(lat) ** 2)
+    return n * np.cos(lat) * np.cos(lon), n * np.cos(lat) * np.sin(lon), n * (1 - e2) * np.sin(lat)
+
+
+def longest_arc(chord):
+    """No shortest line over the ellipsoid between points so many metres apart in space is longer (Schur: it bends no more than
+    a circle of the smallest radius of curvature)."""
+    least = _A * (1 - _F) ** 2
+    return 2 * least * np.arcsin(np.minimum(1.0, chord / (2 * least)))
+
+
+def nearest_on(line: list[tuple[float, float]], lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """nearest_segment() for arrays: lat and lon of the nearest point, and cross of its segment."""
+    least = at_lat = at_lon = side_of = None
+    for (y1, x1), (y2, x2) in zip(line, line[1:]):
+        dx, dy = x2 - x1, y2 - y1
+        t = np.clip(((lon - x1) * dx + (lat - y1) * dy) / (dx * dx + dy * dy), 0.0, 1.0)
+        py, px = y1 + t * dy, x1 + t * dx
+        d2 = (lat - py) * (lat - py) + (lon - px) * (lon - px)
+        cross = dx * (lat - y1) - dy * (lon - x1)
+        if least is None:
+            least, at_lat, at_lon, side_of = d2, py, px, cross
+        else:
+            nearer = d2 < least
+            for old, new in ((least, d2), (at_lat, py), (at_lon, px), (side_of, cross)):
+                np.copyto(old, new, where=nearer)
+    return at_lat, at_lon, side_of
+
+
 def pair(a: str, b: str) -> StructType:
     return StructType([StructField(a, DoubleType()), StructField(b, DoubleType())])
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from tidemark.functions import geo
 from tidemark.sources.store import stored
 
 CELL = 1.0  # degrees of the coarse grid that equi-joins points with ring boxes
+TRACKS = 256  # vessels whose steps are held at once
+SLACK_M = 0.001  # for rounding of chords
 
 
 def cells_of_rings(areas: DataFrame, cell: float = CELL) -> DataFrame:
@@ -84,22 +89,61 @@ def drift(points: DataFrame, line: list[tuple[float, float]], horizon_s: int = 3
     """When each vessel first stands on the other side of the boundary within the horizon, and its closest approach.
 
     points: id, lat, lon, heading_deg, speed_ms, current_east_ms, current_north_ms. A grid of steps finds the interval;
-    a grid of tolerance_s within it refines the crossing.
+    a grid of tolerance_s within it refines the crossing. A vessel's whole track is looked at where its row is, TRACKS
+    vessels at a time: no row is made for a step, and nothing is shuffled. Without a position nothing is known.
     """
     v = geo.ground_velocity(F.col("heading_deg"), F.col("speed_ms"), F.col("current_east_ms"), F.col("current_north_ms"))
-    base = points.select("id", "lat", "lon", v.alias("v")).withColumn("home", geo.side(geo.nearest_segment(line, F.col("lat"), F.col("lon"))))
-
-    def track(rows: DataFrame, times: Column) -> DataFrame:
-        at = rows.withColumn("t", F.explode(times)).withColumn("p", geo.advance("lat", "lon", "v.course", F.col("v.speed") * F.col("t")))
-        at = at.withColumn("n", geo.nearest_segment(line, F.col("p.lat"), F.col("p.lon")))
-        return at.withColumn("g", geo.geodesic("p.lat", "p.lon", "n.lat", "n.lon")).withColumn("other", geo.side(F.col("n")) != F.col("home"))
-
-    coarse = track(base, F.sequence(F.lit(0), F.lit(horizon_s), F.lit(step_s))).groupBy("id").agg(
-        F.min(F.when(F.col("other"), F.col("t"))).alias("first"), F.min(F.struct("g.metres", "t")).alias("closest"), F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.first("v").alias("v"), F.first("home").alias("home")
-    )
-    fine = track(coarse.where("first IS NOT NULL AND first > 0"), F.sequence(F.col("first") - step_s, F.col("first"), F.lit(tolerance_s)))
-    refined = fine.groupBy("id").agg(F.min(F.when(F.col("other"), F.col("t"))).alias("crossing_s"))
-    return coarse.join(refined, "id", "left").select("id", "home", F.coalesce("crossing_s", "first").alias("crossing_s"), F.col("closest.metres").alias("closest_m"), F.col("closest.t").alias("closest_s"))
+    kind = StructType([StructField("home", StringType()), StructField("crossing_s", IntegerType()), StructField("closest_m", DoubleType()), StructField("closest_s", IntegerType())])
+
+    @F.pandas_udf(kind)
+    def along(lat: pd.Series, lon: pd.Series, course: pd.Series, speed: pd.Series) -> pd.DataFrame:
+        columns = [x.to_numpy(dtype=float) for x in (lat, lon, course, speed)]
+        parts = [tracks(*(x[i : i + TRACKS] for x in columns), line, horizon_s, step_s, tolerance_s) for i in range(0, max(1, len(lat)), TRACKS)]
+        return pd.concat(parts, ignore_index=True)
+
+    wide = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file is one task's rows, and many seconds of them
+    rows = points.select("id", "lat", "lon", v.alias("v")).repartition(wide, "id")
+    return rows.withColumn("r", along("lat", "lon", "v.course", "v.speed")).select("id", "r.*")
+
+
+def tracks(lat: np.ndarray, lon: np.ndarray, course: np.ndarray, speed: np.ndarray, line: list[tuple[float, float]], horizon_s: int, step_s: int, tolerance_s: int) -> pd.DataFrame:
+    """drift() of some vessels: home, crossing_s, closest_m, closest_s.
+
+    The closest step is the one of the least geodesic. A geodesic is no shorter than its chord and no longer than longest_arc(),
+    so only steps whose chord is within the arc of the least chord are measured, which is one or two of them.
+    """
+
+    def step(some: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one = lambda x: x[some][:, None]
+        return geo.vincenty_direct(one(lat), one(lon), one(course), one(speed) * t)
+
+    times = np.arange(0, horizon_s + 1, step_s)
+    every = np.arange(len(lat))
+    home = geo.nearest_on(line, lat, lon)[2] > 0
+    y, x = step(every, times[None, :])
+    n_lat, n_lon, cross = geo.nearest_on(line, y, x)
+    other = ((cross > 0) != home[:, None]) & np.isfinite(cross)
+    first = np.where(other.any(axis=1), times[other.argmax(axis=1)], -1)
+
+    chord = np.sqrt(sum((p - q) ** 2 for p, q in zip(geo.ecef(y, x), geo.ecef(n_lat, n_lon))))
+    measurable = np.isfinite(chord)
+    bound = geo.longest_arc(np.where(measurable, chord, np.inf).min(axis=1, initial=np.inf))
+    who, when = np.nonzero(measurable & (chord <= bound[:, None] + SLACK_M))
+    metres = geo.vincenty_inverse(y[who, when], x[who, when], n_lat[who, when], n_lon[who, when])[0]
+    order = np.lexsort((when, metres, who))
+    found, at = np.unique(who[order], return_index=True)
+    closest, closest_t = np.full(len(lat), np.nan), np.zeros(len(lat), dtype=np.int64)
+    closest[found], closest_t[found] = metres[order][at], times[when[order][at]]
+
+    crossing = first.copy()
+    late = np.flatnonzero(first > 0)
+    if len(late):
+        back = np.arange(-step_s, 1, tolerance_s)
+        t = first[late][:, None] + back[None, :]
+        over = (geo.nearest_on(line, *step(late, t))[2] > 0) != home[late][:, None]
+        crossing[late] = np.where(over.any(axis=1), t[np.arange(len(late)), over.argmax(axis=1)], first[late])
+    side = np.where(home, "sri_lanka", "india").astype(object)
+    return pd.DataFrame({"home": side, "crossing_s": pd.Series(crossing, dtype="Int32").where(crossing >= 0), "closest_m": closest, "closest_s": closest_t.astype("int32")})
 
 
 def first_in_group(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
