@@ -91,3 +91,11 @@ def test_the_gate_admits_documents_of_no_region_everywhere(spark):
     gate = regions.admissible(docs, points, areas, "region", "geom", "place", "point")
     got = {(r.point, r.doc) for r in gate.withColumnRenamed("place", "_p").join(docs, F.col("place").eqNullSafe(F.col("_p"))).collect()}
     assert got == {(1, 10), (1, 11), (2, 11), (3, 11)}
+
+
+def test_points_are_never_sent_to_the_regions(spark):
+    """The points' file may look small: still the regions go to them, and no join deals points by region."""
+    from tidemark.plans import places
+
+    plan = places.vessels_in_bands(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

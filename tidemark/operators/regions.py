@@ -77,14 +77,17 @@ def within(polygons: Column, lat: Column, lon: Column) -> Column:
 
 
 def containing(points: DataFrame, regions: DataFrame, id_: str, geom: str, levels: int = LEVELS) -> DataFrame:
-    """Points (lat, lon, ...) with the id of each region that holds them. regions are few: their shapes are joined by id
-    only to points in cells with an edge."""
+    """Points (lat, lon, ...) with the id of each region that holds them. regions are few: their cells and shapes go to the
+    points, never the points to them, however small the points' file looks. Points in cells with an edge are dealt out evenly
+    before they are held against the shapes, not by region."""
     at = points.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
     row = lambda c: F.floor(F.col(c) * F.pow(F.lit(2.0), "level") / ROOT).cast("int")
-    met = at.withColumn("a", row("lat")).withColumn("b", row("lon")).join(cover(regions, id_, geom, levels), ["level", "a", "b"]).drop("level", "a", "b")
+    met = at.withColumn("a", row("lat")).withColumn("b", row("lon")).join(F.broadcast(cover(regions, id_, geom, levels)), ["level", "a", "b"]).drop("level", "a", "b")
     sure = met.where("whole").drop("whole")
     shapes = regions.select(F.col(id_).alias("_id"), F.col(geom).alias("_g"))
-    edge = met.where("NOT whole").drop("whole").join(shapes, F.col(id_) == F.col("_id")).where(within(F.col("_g"), F.col("lat"), F.col("lon"))).drop("_id", "_g")
+    wide = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = met.where("NOT whole").drop("whole").repartition(wide)
+    edge = near.join(F.broadcast(shapes), F.col(id_) == F.col("_id")).where(within(F.col("_g"), F.col("lat"), F.col("lon"))).drop("_id", "_g")
     return sure.union(edge.select(*sure.columns))
 
 
