@@ -60,3 +60,27 @@ def test_headline(spark):
 @pytest.mark.parametrize(("text", "language", "want"), [("அலை 2.5 m.", "ta", "அலை 2.5 மீட்டர்."), ("12kn-15kn", "en", "12 knots-15 knots"), ("m m/s x%", "en", "metres metres per second x%"), ("2024-01-05", "en", "2024 to 01 to 05"), ("45 ° 30 °C", "en", "45 degrees 30 degrees Celsius")])
 def test_spoken_tokens(spark, text, language, want):
     assert spark.createDataFrame([(text,)], "t string").select(speech.spoken(F.col("t"), language).alias("s")).first().s.text == want
+
+
+def test_texts_are_read_out_as_their_tokens_say(spark):
+    """The fast way over texts against the tokens' rendering, with every kind of neighbour."""
+    import random
+
+    from tidemark.functions import speech
+
+    rng = random.Random(7)
+    bits = [*speech.UNITS["en"], *speech.SIGNS, *speech.DASHES, *speech.CLOSING, "1", "1.0", "01", "12", "3.5", ".", " ", " ", "  ", "\t\n", "x", "लहर", "மீ", "C", "(", "-1", "1.1.1", " "]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))), rng.choice(["en", "hi", "ta"])) for i in range(3000)]
+    given = spark.createDataFrame([*rows, (3000, None, "en"), (3001, "5 m", "bn")], "id int, text string, said_in string")
+    want = {}
+    for language in speech.UNITS:
+        for r in given.where(F.col("said_in") == language).select("id", "text", speech.spoken(F.col("text"), language).alias("s")).collect():
+            want[r.id] = (None, False) if r.text is None else (r.s.text, r.s.drifted)
+    got = {r.id: (r.spoken, r.drifted) for r in messages.for_speech(given).collect()}
+    assert got.pop(3001) == (None, False) and got == want
+
+
+def test_a_small_file_of_vessels_makes_many_tasks(spark):
+    from tidemark.plans import messages as plans
+
+    assert plans.fired(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8

@@ -7,12 +7,15 @@ range, a known unit is its name, the rest stays. There is no rewriting of the te
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from tidemark.functions.text import numbers
+from tidemark.functions.text import SIGNED, numbers
 
 # fixed values: spoken singular and plural of each unit symbol
 UNITS = {
@@ -84,3 +87,40 @@ def _said(text: Column, made: Column, language: str, point_as_word: bool) -> Col
     heard = F.regexp_replace(out, rf"([0-9]) {POINT[language]} ([0-9])", "$1.$2") if point_as_word else out
     units = F.filter(F.transform(made, lambda y: y["unit"]), lambda u: u.isNotNull())
     return F.struct(out.alias("text"), numbers(text).alias("numbers"), units.alias("units"), (~numbers(text).eqNullSafe(numbers(heard))).alias("drifted"))
+
+
+# where a text changes: a dash between two numbers, and a symbol that stands alone (after a gap or a number, or a degree sign,
+# and before an end). Digits stand in numbers only, and symbols are whole runs there, so neighbours tell as tokens would.
+_STOP = "[ " + re.escape(CLOSING + DASHES) + "]"
+_SYMBOLS = "|".join(re.escape(x) for x in sorted(UNITS["en"], key=len, reverse=True))
+_CHANGES = re.compile(rf"(?<=[0-9]) ?[{re.escape(DASHES)}] ?(?=[0-9])|(?P<gap> |^|(?<=[0-9]))(?P<unit>{_SYMBOLS})(?={_STOP}|\Z)|(?P<room> ?)(?P<sign>{'|'.join(SIGNS)})(?={_STOP}|\Z)")
+_SPACE, _NUMBER, _SIGNED = re.compile(r"\s+", re.ASCII), re.compile(NUMBER), re.compile(SIGNED)
+
+
+def said(text: str, language: str) -> tuple[str, bool]:
+    """text and drifted of spoken(), without looking at tokens that stay as they are."""
+    tidy = _SPACE.sub(" ", text).strip(" ")
+    names, stretch = UNITS[language], f" {RANGE[language]} "
+
+    def put(m: re.Match) -> str:
+        symbol = m["unit"] or SIGNS.get(m["sign"])
+        if symbol is None:
+            return stretch
+        one, more = names[symbol]
+        if one != more:
+            first = m.start()
+            while first and tidy[first - 1] in "0123456789.":
+                first -= 1
+            if first < m.start() and tidy[m.start() - 1] != "." and float(_NUMBER.findall(tidy, first, m.start())[-1]) == 1:
+                more = one
+        return f" {more}" if m.start() else more
+
+    out = _CHANGES.sub(put, tidy)
+    return out, _SIGNED.findall(text) != _SIGNED.findall(out)
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("drifted", BooleanType())]))
+def read_out(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
+    """spoken() in each text's own language, for many long texts; null without a text or in a language without names."""
+    made = [said(t, x) if t is not None and x in UNITS else (None, None) for t, x in zip(texts, languages)]
+    return pd.DataFrame(made, columns=["text", "drifted"])

@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, FloatType, StringType
 SCRIPTS = {"TAMIL": "ta", "DEVANAGARI": "hi", "BENGALI": "bn", "TELUGU": "te", "KANNADA": "kn", "MALAYALAM": "ml", "GUJARATI": "gu"}
 DOMINANT, MIXED, FEW_LETTERS = 0.5, 0.2, 8
 MAX_CHUNK, MIN_CHUNK, DIMENSIONS = 1200, 80, 1024
+SIGNED = r"(?<![0-9.])-?[0-9]+(?:\.[0-9]+)?"
 
 
 def tokens(text: Column) -> Column:
@@ -41,7 +42,7 @@ def script_shares(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """Numbers with their sign; a hyphen after a digit or full stop is no sign."""
-    return F.regexp_extract_all(text, F.lit(r"(?<![0-9.])-?[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(SIGNED), F.lit(0))
 
 
 def allowance(length: Column) -> Column:

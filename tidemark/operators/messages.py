@@ -110,10 +110,7 @@ def rendered(rows: DataFrame, forms: DataFrame, fallback: str = FALLBACK) -> Dat
 
 def for_speech(messages: DataFrame) -> DataFrame:
     """Add spoken (null where there is no text) and drifted: rows that drift must not be read out."""
-    made = F.lit(None).cast("struct<text:string,numbers:array<string>,units:array<string>,drifted:boolean>")
-    for language in speech.UNITS:
-        made = F.when(F.col("said_in") == language, speech.spoken(F.col("text"), language)).otherwise(made)
-    rows = messages.withColumn("_s", F.when(F.col("text").isNotNull(), made))
+    rows = messages.withColumn("_s", speech.read_out(F.col("text"), F.col("said_in")))
     return rows.withColumn("spoken", F.col("_s.text")).withColumn("drifted", F.coalesce("_s.drifted", F.lit(False))).drop("_s")
 
 

@@ -21,7 +21,8 @@ def fired(spark: SparkSession, d: str) -> DataFrame:
     seen = F.map_from_arrays(F.array(*map(F.lit, ("wave_height_m", "wind_speed_ms", "distance_km", "minutes"))), F.array(F.col("wave_height_m") + 0.03, F.col("wind_speed_ms"), F.when(n % 4 != 0, (n % 90) / 7.0), F.when(n % 6 != 0, (n % 45).cast("double"))))
     told = {"location": F.when(n % 13 != 0, F.concat(F.lit("cell "), n.cast("string"))), "harbour": F.when(n % 17 != 0, F.lit("Rameswaram")), "distance": F.when(n % 19 != 0, F.concat((n % 40).cast("string"), F.lit(" km"))), "valid_until": F.lit("18:00"), "issued": F.lit("06:00"), "system": F.lit("Alpha")}
     context = F.map_from_arrays(F.array(*map(F.lit, told)), F.array(*told.values()))
-    return view(spark, d, "vessels").select("vessel_id", rules, seen.alias("observed"), context.alias("context")).select("*", tongues)
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a vessel makes 32 texts, and a small file would be one task
+    return view(spark, d, "vessels").repartition(wide, "vessel_id").select("vessel_id", rules, seen.alias("observed"), context.alias("context")).select("*", tongues)
 
 
 def _sql() -> str:
