@@ -102,10 +102,11 @@ def rendered(rows: DataFrame, forms: DataFrame, fallback: str = FALLBACK) -> Dat
     met = met.withColumn("missing", F.array_sort(F.array_distinct(F.filter("_f.names", lambda n: value(n).isNull()))))
     names, segments = F.col("_f.names"), F.col("_f.segments")
     parts = F.flatten(F.transform(segments, lambda s, i: F.array(s, F.coalesce(value(F.get(names, i)), F.lit("")))))
-    text = F.array_join(parts, "")
-    drifted = ~numbers(text).eqNullSafe(numbers(F.array_join(parts, " ")))
+    # parts and their text are used twice each: columns of their own, they are made once
+    met = met.withColumn("_parts", parts).withColumn("_text", F.array_join("_parts", ""))
+    drifted = ~numbers(F.col("_text")).eqNullSafe(numbers(F.array_join("_parts", " ")))
     note = F.when(F.col("_f").isNull(), "no such template").when(F.size("missing") > 0, F.concat(F.lit("no value for "), F.array_join("missing", ", "))).when(drifted, "the text's numbers are not its slots'")
-    return met.withColumn("note", note).withColumn("text", F.when(note.isNull(), text)).drop("_t", "_l", "_u", "_own", "_spare", "_f")
+    return met.withColumn("note", note).withColumn("text", F.when(F.col("note").isNull(), F.col("_text"))).drop("_t", "_l", "_u", "_own", "_spare", "_f", "_parts", "_text")
 
 
 def for_speech(messages: DataFrame) -> DataFrame:

@@ -14,15 +14,21 @@ _N = "vessel_id"
 
 
 def fired(spark: SparkSession, d: str) -> DataFrame:
-    """Every rule of every vessel in every language, with what was observed and the context that is known."""
+    """Every rule of every vessel, with what was observed and the context that is known."""
     n = F.col("vessel_id")
     rules = F.explode(F.array(*map(F.lit, sorted(messages.TEMPLATE_OF)))).alias("rule")
-    tongues = F.explode(F.array(*[F.lit(x) for x in ("en", "hi", "ta", "bn")])).alias("language")
     seen = F.map_from_arrays(F.array(*map(F.lit, ("wave_height_m", "wind_speed_ms", "distance_km", "minutes"))), F.array(F.col("wave_height_m") + 0.03, F.col("wind_speed_ms"), F.when(n % 4 != 0, (n % 90) / 7.0), F.when(n % 6 != 0, (n % 45).cast("double"))))
     told = {"location": F.when(n % 13 != 0, F.concat(F.lit("cell "), n.cast("string"))), "harbour": F.when(n % 17 != 0, F.lit("Rameswaram")), "distance": F.when(n % 19 != 0, F.concat((n % 40).cast("string"), F.lit(" km"))), "valid_until": F.lit("18:00"), "issued": F.lit("06:00"), "system": F.lit("Alpha")}
     context = F.map_from_arrays(F.array(*map(F.lit, told)), F.array(*told.values()))
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a vessel makes 32 texts, and a small file would be one task
-    return view(spark, d, "vessels").repartition(wide, "vessel_id").select("vessel_id", rules, seen.alias("observed"), context.alias("context")).select("*", tongues)
+    return view(spark, d, "vessels").repartition(wide, "vessel_id").select("vessel_id", rules, seen.alias("observed"), context.alias("context"))
+
+
+def told(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of every rule of every vessel in every language; slots are the same in all languages and made once."""
+    tongues = F.explode(F.array(*[F.lit(x) for x in ("en", "hi", "ta", "bn")])).alias("language")
+    rows = messages.with_slots(fired(spark, d)).select("vessel_id", "rule", "template", "slots", tongues)
+    return messages.rendered(rows, messages.templates(spark))
 
 
 def _sql() -> str:
@@ -48,12 +54,12 @@ def _sql() -> str:
 @query("alert_messages", _sql())
 def alert_messages(spark: SparkSession, d: str) -> DataFrame:
     """The text of every rule for every vessel in every language; without a slot's value there is none."""
-    rows = messages.rendered(messages.with_slots(fired(spark, d)), messages.templates(spark))
+    rows = told(spark, d)
     return rows.select("vessel_id", "rule", "language", "said_in", F.array_join("missing", ",").alias("missing"), "text")
 
 
 @query("spoken_messages", f"WITH a AS ({_sql()}) SELECT language, count(text) AS read_out, count(*) FILTER (text IS NULL) AS withheld FROM a GROUP BY language")
 def spoken_messages(spark: SparkSession, d: str) -> DataFrame:
     """How many of them can be read out: none may say other numbers than its text."""
-    rows = messages.for_speech(messages.rendered(messages.with_slots(fired(spark, d)), messages.templates(spark)))
+    rows = messages.for_speech(told(spark, d))
     return rows.groupBy("language").agg(F.count(F.when(~F.col("drifted"), F.col("spoken"))).alias("read_out"), F.count_if(F.col("spoken").isNull()).alias("withheld"))
