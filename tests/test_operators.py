@@ -498,3 +498,13 @@ def test_drift_looks_at_tracks_where_the_rows_are(spark):
         at, on, _ = geo.nearest_on(line, y, x)
         metres = geo.vincenty_inverse(y, x, at, on)[0]
         assert got[r.id].closest_m == pytest.approx(metres.min(), abs=1e-3) and metres[got[r.id].closest_s // 60] == pytest.approx(metres.min(), abs=1e-3)
+
+
+def test_a_text_is_looked_at_once_for_its_language(spark):
+    from tidemark.plans import catalogue
+
+    plan = catalogue.queries()["language_detect"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(text") == 1 and plan.count("regexp_replace(text") == 2
+    rows = [(1, "of अब कख que"), (2, "தமிழ் தமிழ் der"), (3, "der la of"), (4, ""), (5, None), (6, "ab 1")]
+    got = {r.id: (r.language, r.method, r.code_mixed) for r in retrieve.detect_language(spark.createDataFrame(rows, "id int, text string"), "text", catalogue.MARKERS).collect()}
+    assert got == {1: ("ta", "romanized_lexicon", True), 2: ("ta", "script", True), 3: ("hi", "romanized_lexicon", True), 4: ("en", "default", False), 5: ("ta", "romanized_lexicon", False), 6: ("en", "default", False)}

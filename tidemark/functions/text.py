@@ -26,7 +26,12 @@ def tokens(text: Column) -> Column:
 def letters_of(text: Column, script: str | None = None) -> Column:
     """Letters of a script, or all letters."""
     kind = r"\p{L}" if script is None else rf"\p{{L}}&&[\p{{Is{script.title()}}}]"
-    return F.length(F.regexp_replace(text, rf"[^{kind}]" if script is None else rf"[^[{kind}]]", "")).cast("long")
+    return F.length(F.regexp_replace(text, rf"[^{kind}]+" if script is None else rf"[^[{kind}]]+", "")).cast("long")
+
+
+def indic(text: Column) -> Column:
+    """Only the characters of the scripts of SCRIPTS."""
+    return F.regexp_replace(text, "[^" + "".join(rf"\p{{Is{s.title()}}}" for s in SCRIPTS) + "]+", "")
 
 
 def script_shares(text: Column) -> Column:

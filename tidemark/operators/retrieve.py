@@ -132,19 +132,19 @@ def shortened(name: Column, edits: Column) -> Column:
 def detect_language(rows: DataFrame, text: str, markers: dict[str, Sequence[str]], preference: Column | None = None) -> DataFrame:
     """Add language, method and code_mixed: a dominant Indic script, else the romanised lexicon, else preference or English."""
     preference = F.lit(None).cast("string") if preference is None else preference
-    n = T.letters_of(F.col(text))
-    counts = F.array(*[F.struct(T.letters_of(F.col(text), s).alias("n"), F.lit(code).alias("code")) for s, code in T.SCRIPTS.items()])
-    top = F.array_max(counts)
-    t = F.array_distinct(T.tokens(F.col(text)))
-    hits = F.array_max(F.array(*[F.struct(F.size(F.array_intersect(t, F.array(*map(F.lit, words)))).alias("n"), F.lit(code).alias("code")) for code, words in sorted(markers.items())]))
-    tied = F.size(F.filter(F.array(*[F.size(F.array_intersect(t, F.array(*map(F.lit, words)))) for words in markers.values()]), lambda x: x == hits["n"])) > 1
-    out = rows.withColumn("_n", n).withColumn("_top", top).withColumn("_hits", hits).withColumn("_tied", tied)
+    # each pass over a text is a column of its own and made once; the scripts are told apart in what is left of the text
+    met = [F.size(F.array_intersect("_t", F.array(*map(F.lit, words)))) for _, words in sorted(markers.items())]
+    counts = F.array(*[F.struct(T.letters_of(F.col("_indic"), s).alias("n"), F.lit(code).alias("code")) for s, code in T.SCRIPTS.items()])
+    hits = F.array(*[F.struct(F.get("_met", i).alias("n"), F.lit(code).alias("code")) for i, code in enumerate(sorted(markers))])
+    out = rows.withColumn("_n", T.letters_of(F.col(text))).withColumn("_indic", T.indic(F.col(text))).withColumn("_t", F.array_distinct(T.tokens(F.col(text))))
+    out = out.withColumn("_counts", counts).withColumn("_met", F.array(*met)).drop("_indic", "_t")
+    out = out.withColumn("_top", F.array_max("_counts")).withColumn("_hits", F.array_max(hits)).withColumn("_tied", F.size(F.filter("_met", lambda x: x == F.array_max("_met"))) > 1)
     script = (F.col("_n") > 0) & (F.col("_top.n") >= T.DOMINANT * F.col("_n"))
     nothing = (F.col("_n") == 0) | ((F.col("_hits.n") == 0) & (F.col("_n") < T.FEW_LETTERS))
     fallback = F.coalesce(preference, F.lit("en"))
     named = F.when(preference.isNotNull(), "preference").otherwise("default")
     language = F.when(script, F.col("_top.code")).when(nothing, fallback).when(F.col("_hits.n") == 0, "en").when(F.col("_tied"), fallback).otherwise(F.col("_hits.code"))
     method = F.when(script, "script").when(nothing, named).when(F.col("_hits.n") == 0, "romanized_lexicon").when(F.col("_tied"), named).otherwise("romanized_lexicon")
-    latin = F.col("_n") - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    latin = F.col("_n") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     mixed = F.when(script, latin >= T.MIXED * F.col("_n")).otherwise(~nothing & (F.col("_hits.n") > 0))
-    return out.withColumn("language", language).withColumn("method", method).withColumn("code_mixed", F.coalesce(mixed, F.lit(False))).drop("_n", "_top", "_hits", "_tied")
+    return out.withColumn("language", language).withColumn("method", method).withColumn("code_mixed", F.coalesce(mixed, F.lit(False))).drop("_n", "_counts", "_met", "_top", "_hits", "_tied")
