@@ -111,3 +111,24 @@ def test_fewer_vectors_than_asked_for(spark, tmp_path):
     vecindex.write_index(rows, "vec_id", "embedding", str(tmp_path / "v"))
     got = sorted((r.query, r.rank, r.id) for r in vecindex.search(spark, str(tmp_path / "v"), rows, "vec_id", "embedding", 10).collect())
     assert got == [(q, k + 1, i) for q in range(5) for k, i in enumerate(range(5) if q == 0 else (4, 3, 2, 1, 0))]
+
+
+def test_blocks_meet_queries_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """Blocks are large: they are not batched by the session's rows, which stay as they were, and are met once."""
+    from tidemark.operators import vecindex
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, before = [], spark.conf.get(key)
+    keep = vecindex.stored
+
+    def stored(df, name):
+        seen.append((name, int(spark.conf.get(key))))
+        return keep(df, name)
+
+    monkeypatch.setattr(vecindex, "stored", stored)
+    rows = spark.createDataFrame([(i, [float((i * k) % 7) for k in range(1, 5)]) for i in range(200)], "id long, v array<double>")
+    vecindex.write_index(rows, "id", "v", str(tmp_path / "x"))
+    found = vecindex.search(spark, str(tmp_path / "x"), rows.where("id % 50 = 0"), "id", "v", 3)
+    assert found.count() == 12 and spark.conf.get(key) == before
+    assert [n for name, n in seen if name == "chunks"] == [int(before)] * 2
+    assert [n for name, n in seen if name == "met"] == [vecindex.PAIRS] * 2 and vecindex.PAIRS * vecindex.BLOCK <= 20_000
