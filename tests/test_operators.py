@@ -199,6 +199,16 @@ def test_long_walls_are_followed_to_the_end(spark):
         route.relax(spark, cells, (0, 0), rounds=2)
 
 
+def test_tiles_grow_with_the_grid_and_a_round_settles_only_its_own(spark, monkeypatch):
+    for name, value in (("TILE", 4), ("MOST_TILE", 32), ("TILES_A_SIDE", 2)):
+        monkeypatch.setattr(route, name, value, raising=False)
+    n, wall = 60, {(r, c) for r in range(60) for c in range(60) if (r * 7 + c * 11) % 13 == 4}
+    cells = route.navigable(grid(spark, n, wall), 2.0).selectExpr("row - 20 AS row", "col - 31 AS col", "wave_height_m", "wind_speed_ms")  # rows and columns below 0 too
+    expected = heap_costs({(r - 20, c - 31): (float((r * 3 + c) % 4), 5.0) for r in range(n) for c in range(n) if (r, c) not in wall}, (-20, -31))
+    got = {(r.row, r.col): r.cost for r in route.relax(spark, cells, (-20, -31), rounds=9).collect()}  # tiles of 4 would take 15 at least
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
 def test_path_baseline_and_currents(spark):
     wall = {(2, c) for c in range(5)}
     cells = route.navigable(grid(spark, 6, wall), 2.0)

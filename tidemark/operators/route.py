@@ -4,33 +4,42 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.kernels import step_cost
-from tidemark.sources.store import shared_dir
+from tidemark.sources.store import dropped, new_path, remove, shared_dir, stored
 
 STEPS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 DIAGONAL = math.sqrt(2.0)
-TILE = 64  # cells a side of what one heap search settles
+TILE, MOST_TILE, TILES_A_SIDE = 64, 512, 12  # cells a side of what one heap search settles: at least, at most; tiles aimed at
+TILES = 1 << 20  # tiles along a row are fewer
 
 
 def navigable(cells: DataFrame, min_depth: float) -> DataFrame:
     return cells.where(~F.col("blocked") & (F.col("depth_m").isNull() | (F.col("depth_m") >= min_depth)))
 
 
+def entry_cost(columns: list[str], north: Column, east: Column) -> Column:
+    """Cost of entering a cell by a step; a following current lowers it, with a floor."""
+    length = F.when((north != 0) & (east != 0), DIAGONAL).otherwise(1.0)
+    flows = {"current_east_ms", "current_north_ms"} <= set(columns)
+    current = (F.col("current_east_ms") * east + F.col("current_north_ms") * north) / length if flows else F.lit(0.0)
+    return step_cost(F.col("wave_height_m"), F.col("wind_speed_ms"), current) * length
+
+
 def neighbours(cells: DataFrame) -> DataFrame:
-    """Directed edges with costs; a following current lowers the cost, with a floor."""
+    """Directed edges with costs."""
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in STEPS])
     steps = cells.select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(table).alias("s"))
     steps = steps.select("r0", "c0", (F.col("r0") + F.col("s.a")).alias("row"), (F.col("c0") + F.col("s.b")).alias("col"), F.col("s.a").alias("north"), F.col("s.b").alias("east"))
-    length = F.when((F.col("north") != 0) & (F.col("east") != 0), DIAGONAL).otherwise(1.0)
-    has = set(cells.columns)
-    current = (F.col("current_east_ms") * F.col("east") + F.col("current_north_ms") * F.col("north")) / length if {"current_east_ms", "current_north_ms"} <= has else F.lit(0.0)
-    return steps.join(cells, ["row", "col"]).select("r0", "c0", "row", "col", (step_cost(F.col("wave_height_m"), F.col("wind_speed_ms"), current) * length).alias("cost"))
+    return steps.join(cells, ["row", "col"]).select("r0", "c0", "row", "col", entry_cost(cells.columns, F.col("north"), F.col("east")).alias("cost"))
 
 
 def grid_of(events: DataFrame) -> DataFrame:
@@ -50,61 +59,113 @@ def grid_of(events: DataFrame) -> DataFrame:
     return rows.groupBy("row", "col").agg(F.avg("wave").alias("wave_height_m"), F.avg("wind").alias("wind_speed_ms"), F.max("shut").alias("blocked"), F.min("depth").alias("depth_m"))
 
 
-def settle(edges: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-    """Heap search inside one tile from its fresh offers: cells that improve (cost), and offers to cells of other tiles."""
-    out: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-    for r0, c0, r, c, w in zip(edges["r0"].tolist(), edges["c0"].tolist(), edges["row"].tolist(), edges["col"].tolist(), edges["cost"].tolist()):
-        out.setdefault((r0, c0), []).append((r, c, w))
-    tile = (int(cells["ti"].iloc[0]), int(cells["tj"].iloc[0]))
-    best: dict[tuple[int, int], float] = {}
-    heap, better, offers = [], set(), {}
-    for r, c, cost, offer in zip(cells["row"].tolist(), cells["col"].tolist(), cells["cost"].tolist(), cells["offer"].tolist()):
-        best[r, c] = math.inf if math.isnan(cost) else cost
-        if offer < best[r, c]:
-            best[r, c] = offer
-            better.add((r, c))
-            heap.append((offer, (r, c)))
+def tile_of(row: Any, col: Any, side: int) -> Any:
+    """The number of a cell's tile; of columns and of arrays."""
+    down, along = (F.floor(row / side).cast("long"), F.floor(col / side).cast("long")) if isinstance(row, Column) else (row // side, col // side)
+    return down * TILES + along + TILES // 2
+
+
+def settle(cells: pd.DataFrame, known: pd.DataFrame, side: int) -> pd.DataFrame:
+    """Heap search inside one tile from its fresh offers, over a dense array of the tile and one cell around it.
+
+    cells: the tile's and those around it, w0 to w7 their costs by the step that enters them; known: cost or offer of own
+    cells. Gives all costs of the tile, apart those along its border, and offers to cells of other tiles.
+    """
+    wide = side + 2
+    tile = int(known["tile"].iloc[0])
+    top, left = tile // TILES * side - 1, (tile % TILES - TILES // 2) * side - 1
+    place = lambda frame: ((frame["row"] - top) * wide + frame["col"] - left).to_numpy("int64")
+    at, entries = place(cells), []
+    for i in range(len(STEPS)):
+        w = np.full(wide * wide, np.inf)
+        w[at] = cells[f"w{i}"].to_numpy("float64")
+        entries.append(w.tolist())
+    moves = list(zip([a * wide + b for a, b in STEPS], entries))
+    known = known.assign(at=place(known))
+    had, came = known[known["offer"].isna()], known[known["offer"].notna()]
+    costs = np.full(wide * wide, np.inf)
+    costs[had["at"].to_numpy()] = had["cost"].to_numpy("float64")
+    best, heap = costs.tolist(), []
+    for k, offer in zip(came["at"].tolist(), came["offer"].tolist()):
+        if offer < best[k]:
+            best[k] = offer
+            heap.append((offer, k))
     heapq.heapify(heap)
+    own = np.zeros((wide, wide), bool)
+    own[1:-1, 1:-1] = True
+    inside = own.ravel().tolist()
     while heap:
-        cost, at = heapq.heappop(heap)
-        if cost > best[at]:
+        cost, k = heapq.heappop(heap)
+        if cost > best[k]:
             continue
-        for r, c, w in out.get(at, ()):
-            to, new = (r, c), cost + w
-            if (r // TILE, c // TILE) != tile:
-                offers[to] = min(new, offers.get(to, math.inf))
-            elif new < best.get(to, math.inf):
+        for move, w in moves:
+            to = k + move
+            new = cost + w[to]
+            if new < best[to]:
                 best[to] = new
-                better.add(to)
-                heapq.heappush(heap, (new, to))
-    rows = [(r, c, best[r, c], None) for r, c in better] + [(r, c, None, x) for (r, c), x in offers.items()]
-    return pd.DataFrame(rows, columns=["row", "col", "cost", "offer"])
+                if inside[to]:
+                    heapq.heappush(heap, (new, to))
+    costs = np.array(best)
+    own[2:-2, 2:-2] = False  # the border is left
+    where = np.flatnonzero(costs < np.inf)
+    row, col = where // wide + top, where % wide + left
+    kind = np.where(~np.array(inside)[where], "offer", np.where(own.ravel()[where], "edge", "inner"))
+    return pd.DataFrame({"kind": kind, "tile": tile_of(row, col, side), "row": row, "col": col, "value": costs[where]})
 
 
-def relax(spark: SparkSession, cells: DataFrame, start: tuple[int, int], rounds: int | None = None, table: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def relax(spark: SparkSession, cells: DataFrame, start: tuple[int, int], rounds: int | None = None) -> DataFrame:
     """row, col, cost of every cell that start reaches, until nothing improves; a bound on rounds that is hit is an error.
 
-    The grid is dealt in tiles of TILE x TILE cells. A round settles the tiles that got a better offer from outside, each
-    by a heap search, and passes offers over their borders, so rounds follow the tiles on a path, not its cells.
+    The grid is dealt in square tiles, each stored with the cells around it in a folder of its own. A round reads and
+    settles only the tiles that got a better offer from outside, each by a heap search, and passes offers over their
+    borders. Tiles grow with the grid (up to MOST_TILE cells a side), so rounds follow the tiles on a path, not its cells.
     """
-    keep = table or checkpointed
-    types = dict(cells.dtypes)
-    tile = [F.floor(F.col("row") / TILE).cast("int").alias("ti"), F.floor(F.col("col") / TILE).cast("int").alias("tj")]
-    of_source = [F.floor(F.col("r0") / TILE).cast("int").alias("ti"), F.floor(F.col("c0") / TILE).cast("int").alias("tj")]
-    edges = keep(neighbours(cells).select(*of_source, "r0", "c0", "row", "col", "cost"), "edges")
-    none = F.lit(None).cast("double").alias
-    best = keep(cells.where((F.col("row") == start[0]) & (F.col("col") == start[1])).select("row", "col", none("cost"), F.lit(0.0).alias("offer")), "best")
-    done = 0
-    while not (fresh := best.where("offer < coalesce(cost, double('infinity'))")).isEmpty():
-        if done == rounds:
+    types, columns = dict(cells.dtypes), cells.columns
+    at = f"row {types['row']}, col {types['col']}"
+    cells = stored(cells, "cells")
+    top, low, left, right = cells.agg(*[f(c) for c in ("row", "col") for f in (F.min, F.max)]).first()
+    begun = cells.where((F.col("row") == start[0]) & (F.col("col") == start[1]))
+    if begun.isEmpty():
+        return begun.select("row", "col", F.lit(0.0).alias("cost"))
+    side = min(MOST_TILE, max(TILE, max(low - top, right - left) // TILES_A_SIDE))
+    around = F.array_distinct(F.array(*[tile_of(F.col("row") + a, F.col("col") + b, side) for a, b in [(0, 0), *STEPS]]))
+    entries = [entry_cost(columns, F.lit(a), F.lit(b)).alias(f"w{i}") for i, (a, b) in enumerate(STEPS)]
+    dealt, work = new_path(spark, "tiles"), new_path(spark, "costs")
+    cells.select(F.explode(around).alias("tile"), "row", "col", *entries).repartition("tile").write.partitionBy("tile").parquet(dealt)
+    tiles = spark.read.schema(f"{at}, {', '.join(f'w{i} double' for i in range(len(STEPS)))}, tile long").parquet(dealt)
+    made, held = [], {}  # each round's table; the round that has a tile's costs
+
+    def costs(of: Iterable[int], *kinds: str) -> list[DataFrame]:
+        by: dict[int, list[int]] = {}
+        for t in of:
+            if t in held:
+                by.setdefault(held[t], []).append(t)
+        return [made[k].where(F.col("tile").isin(ts) & F.col("kind").isin(*kinds)).select("tile", "row", "col", F.col("value").alias("cost")) for k, ts in sorted(by.items())]
+
+    none = lambda name: F.lit(None).cast("double").alias(name)
+    fresh = stored(begun.select(tile_of(F.col("row"), F.col("col"), side).alias("tile"), "row", "col", F.lit(0.0).alias("offer")), "offers")
+    while active := [t for (t,) in fresh.select("tile").distinct().collect()]:
+        if len(made) == rounds:
             raise RuntimeError(f"costs still change after {rounds} rounds")
-        active = fresh.select(*tile).distinct()
-        own = best.select(*tile, "row", "col", "cost", "offer").join(active, ["ti", "tj"], "left_semi")
-        local = edges.join(active, ["ti", "tj"], "left_semi")
-        step = local.groupBy("ti", "tj").cogroup(own.groupBy("ti", "tj")).applyInPandas(settle, f"row {types['row']}, col {types['col']}, cost double, offer double")
-        best = keep(best.select("row", "col", "cost", none("offer")).union(step).groupBy("row", "col").agg(F.min("cost").alias("cost"), F.min("offer").alias("offer")), "best")
-        done += 1
-    return best.select("row", "col", "cost")
+        known = fresh.select("tile", "row", "col", none("cost"), "offer")
+        for had in costs(active, "edge", "inner"):
+            known = known.union(had.select("tile", "row", "col", "cost", none("offer")))
+        step = tiles.where(F.col("tile").isin(active)).groupBy("tile").cogroup(known.groupBy("tile")).applyInPandas(lambda x, y: settle(x, y, side), f"kind string, tile long, {at}, value double")
+        step.write.partitionBy("tile", "kind").parquet(f"{work}/{len(made)}")
+        made.append(spark.read.schema(f"{at}, value double, tile long, kind string").parquet(f"{work}/{len(made)}"))
+        for t in active:
+            if t in held:
+                remove(spark, f"{work}/{held[t]}/tile={t}")
+            held[t] = len(made) - 1
+        dropped(fresh)
+        offers = made[-1].where("kind = 'offer'").groupBy("tile", "row", "col").agg(F.min("value").alias("offer"))
+        met = [t for (t,) in offers.select("tile").distinct().collect()]
+        for had in costs(met, "edge"):
+            offers = offers.join(had, ["tile", "row", "col"], "left").where("cost IS NULL OR offer < cost").drop("cost")
+        fresh = stored(offers, "offers")
+    remove(spark, dealt)
+    dropped(cells, fresh)
+    return reduce(DataFrame.union, costs(held, "edge", "inner")).select("row", "col", "cost")
 
 
 def checkpointed(df: DataFrame, _name: str) -> DataFrame:
