@@ -42,6 +42,19 @@ def test_order_of_attributes_and_separators_in_them(spark):
     assert got["1"] == got["2"] and got["5"] == got["6"] and len(set(got.values())) == 4
 
 
+def test_large_runs_by_levels_equal_small_ones_and_small_ones_meet_once(spark, monkeypatch):
+    graphs = [graph(f"r{i}", leaf="az"[i % 2]) for i in range(4)] + [graph("big", extra=[("big", f"x{i}", "output", "x", {}) for i in range(40)])]
+    graphs[0][1].append(("r0", "o2", "nowhere", "derives"))  # leads to no node: nothing derives from it
+    whole = {tuple(r) for r in hashed(spark, *graphs).collect()}
+    monkeypatch.setattr(P, "by_levels", None)
+    assert {tuple(r) for r in hashed(spark, *graphs).collect()} == whole  # not by levels
+    monkeypatch.undo()
+    for most in (20, 0):
+        monkeypatch.setattr(P, "SMALL", most)
+        assert {tuple(r) for r in hashed(spark, *graphs).collect()} == whole
+    assert len(whole) == 5 * 7 + 40
+
+
 def test_cycles_are_errors(spark):
     nodes, edges = graph("r")
     with pytest.raises(ValueError, match="cycle"):

@@ -3,15 +3,18 @@
 A graph is nodes (run_id, node_id, kind, label, attributes map<string,string>) and edges (run_id, source_id, target_id,
 relation) that never lead to an earlier kind. A node's Merkle hash covers its kind, label and attributes and the hashes of
 what it derives from, not its id or time: equal subgraphs of different runs share one hash, and a change shows in exactly
-the nodes that derive from it. Levels are worked through in turn, each one join on (run, node); predecessors are hashed in
+the nodes that derive from it. Small runs are hashed as one row each. Of large ones, and in replay, levels are worked through in turn, each one join on (run, node); predecessors are hashed in
 groups first, so a node of very many inputs is many small rows. Replay recomputes values in the same way from archived
 bytes that still have their recorded hash, and names the first node whose value isn't the recorded one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from tidemark.sources.store import dropped, stored
 
 # fixed values: kinds in the order of the chain, what a kind's attributes must have, and the formula behind alerts
 KINDS = ("dataset", "raw_payload", "agent", "formula", "output")
+SMALL, TASK_ROWS = 5_000, 1_000_000  # nodes and edges of a run that is hashed as one row; of all runs of a task
 REQUIRED = {"raw_payload": ("sha256",), "formula": ("formula_id", "formula_version")}
 ALERT_FORMULA, ALERT_VERSION = "tidemark.alerts.trigger_evaluation", "1.0.0"
 NODE = "struct<node_id:string,kind:string,label:string,attributes:map<string,string>>"
@@ -113,7 +117,10 @@ def by_levels(nodes: DataFrame, edges: DataFrame, first: Column, step: Callable[
 
 
 def merkle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """run_id, node_id, kind, level, hash."""
+    """run_id, node_id, kind, level, hash.
+
+    A run is brought together once and hashed as a whole; runs of more than SMALL nodes and edges are worked by levels.
+    """
     own = F.sha2(F.concat_ws("|", "kind", F.length("label").cast("string"), "label", content(F.col("attributes"))), 256)
     rows = nodes.select("run_id", "node_id", "kind", own.alias("own"))
 
@@ -122,7 +129,78 @@ def merkle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         groups = met.groupBy("run_id", "node_id", "own", F.substring("_v", 1, 2).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ","), 256).alias("h"))
         return groups.groupBy("run_id", "node_id", "own").agg(F.array_sort(F.collect_list(F.concat("g", "h"))).alias("l")).select("run_id", "node_id", F.sha2(F.concat("own", F.lit("<"), F.array_join("l", ",")), 256).alias("hash"))
 
-    return by_levels(rows, edges, F.col("own"), step, "hash").select("run_id", "node_id", "kind", "level", "hash")
+    sizes = nodes.select("run_id").union(edges.select("run_id")).groupBy("run_id").agg(F.count("*").alias("n"))
+    most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    small, links, large = rows, edges, None
+    if (most or 0) > SMALL:
+        big = stored(sizes.where(F.col("n") > SMALL).select("run_id"), "large")
+        small, links = (x.join(big, "run_id", "left_anti") for x in (rows, edges))
+        large = by_levels(*(x.join(big, "run_id", "left_semi") for x in (rows, edges)), F.col("own"), step, "hash")
+    found = stored(_hashed(small, links, total or 0), "hashes")
+    if not found.where("level < 0").isEmpty():
+        raise ValueError("the graph has a cycle, or an edge from a node that isn't there")
+    return found if large is None else found.union(large.select(found.columns))
+
+
+def _hashed(rows: DataFrame, edges: DataFrame, total: int) -> DataFrame:
+    """merkle() of runs that fit in a row; level -1 where a node's value can't be had. total: rows of both."""
+    node, edge = "struct<node_id:string,kind:string,own:string>", "struct<source_id:string,target_id:string,relation:string>"
+    tagged = rows.select("run_id", F.struct("node_id", "kind", "own").cast(node).alias("n"), F.lit(None).cast(edge).alias("e"))
+    tagged = tagged.union(edges.select("run_id", F.lit(None).cast(node), F.struct("source_id", "target_id", "relation").cast(edge)))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
+    packed = tagged.repartition(parts, "run_id").groupBy("run_id").agg(F.collect_list("n").alias("n"), F.collect_list("e").alias("e"))
+    lists = packed.select("run_id", "n.node_id", "n.kind", "n.own", "e.source_id", "e.target_id", "e.relation")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, owns, *links = (batch.column(i).flatten().to_pylist() for i in (1, 3, 4, 5, 6))
+            ends, last = (np.concatenate([[0], np.cumsum(batch.column(i).value_lengths().to_numpy(zero_copy_only=False))]).tolist() for i in (1, 4))
+            levels, hashes = [], []
+            for k in range(batch.num_rows):
+                made = run_hashes(ids[ends[k] : ends[k + 1]], owns[ends[k] : ends[k + 1]], *(x[last[k] : last[k + 1]] for x in links))
+                levels += made[0]
+                hashes += made[1]
+            whose = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), batch.column(1).flatten(), batch.column(2).flatten(), pa.array(levels, pa.int32()), pa.array(hashes, pa.string())], ["run_id", "node_id", "kind", "level", "hash"])
+
+    return lists.mapInArrow(run, f"run_id {dict(rows.dtypes)['run_id']}, node_id string, kind string, level int, hash string")
+
+
+def run_hashes(ids: list, owns: list, sources: list, targets: list, relations: list) -> tuple[list[int], list[str | None]]:
+    """Level and Merkle hash of each node of a run; -1 and none on a cycle and behind one or a missing node."""
+    at: dict[str, list[int]] = {}
+    for i, name in enumerate(ids):
+        if name is not None:
+            at.setdefault(name, []).append(i)
+    before: list[list[tuple[int, str]]] = [[] for _ in ids]
+    after: list[list[int]] = [[] for _ in ids]
+    lack = [0] * len(ids)
+    for source, target, relation in zip(sources, targets, relations):
+        for t in at.get(target, ()):
+            lack[t] += 1
+            found = at.get(source, ())
+            if len(found) == 1:
+                before[t].append((found[0], relation or ""))
+                after[found[0]].append(t)
+    levels, hashes = [-1] * len(ids), [None] * len(ids)
+    ready = [i for i, n in enumerate(lack) if n == 0]
+    level = 0
+    while ready:
+        following = []
+        for i in ready:
+            levels[i], hashes[i] = level, owns[i]
+            if before[i]:
+                groups: dict[str, list[str]] = {}
+                for j, relation in before[i]:
+                    groups.setdefault(hashes[j][:2], []).append(f"{hashes[j]}:{relation}")
+                met = sorted(g + hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for g, x in groups.items())
+                hashes[i] = hashlib.sha256(f"{owns[i]}<{','.join(met)}".encode()).hexdigest()
+            for t in after[i]:
+                lack[t] -= 1
+                if lack[t] == 0:
+                    following.append(t)
+        ready, level = following, level + 1
+    return levels, hashes
 
 
 def fingerprints(hashes: DataFrame) -> DataFrame:
