@@ -212,7 +212,8 @@ def fingerprints(hashes: DataFrame) -> DataFrame:
 
 def shared_subgraphs(hashes: DataFrame) -> DataFrame:
     """hash, kind, runs: subgraphs that several runs have in common."""
-    return hashes.groupBy("hash", "kind").agg(F.countDistinct("run_id").alias("runs")).where("runs > 1")
+    rows = hashes.groupBy(F.unhex("hash").alias("h"), "kind").agg(F.countDistinct("run_id").alias("runs")).where("runs > 1")  # half the bytes in the shuffle
+    return rows.select(F.lower(F.hex("h")).alias("hash"), "kind", "runs")
 
 
 # --- replay --------------------------------------------------------------------------------------------------------
