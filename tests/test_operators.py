@@ -484,6 +484,17 @@ def test_places_in_like_brute_force(spark):
     assert set(values(got, "id", "ordinal", "phrase", "kind", "place_id")) == want
 
 
+def test_phrases_are_not_shuffled_to_a_small_gazetteer(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "port blair and dock " * (i % 4)) for i in range(40)], "id long, text string")
+    aliases = spark.createDataFrame([("portblair", 1), ("port", 2), ("dock", 3), ("dock", 4)], "alias string, place_id long")
+    made = lambda: retrieve.places_in(texts, "id", "text", aliases)
+    plan = made()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    few = sorted(values(made(), "id", "ordinal", "phrase", "kind"))
+    monkeypatch.setattr(retrieve, "MOST_SENT", 2)
+    assert "SortMergeJoin" in made()._jdf.queryExecution().executedPlan().toString() and sorted(values(made(), "id", "ordinal", "phrase", "kind")) == few and len(few) == 60
+
+
 def test_lexical_asks_for_every_word_and_phrase(spark):
     docs = spark.createDataFrame([(1, "the sea of storms"), (2, "of the sea"), (3, "sea of the storms and rain"), (4, None), (5, "the sea")], "id long, text string")
     assert values(retrieve.lexical(docs, "id", ["sea", "the", "of"], every=True), "id") == [(1,), (2,), (3,)]

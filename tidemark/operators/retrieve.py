@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 
 RRF_K, CANDIDATES, LIMIT = 60, 50, 8
+MOST_SENT = 100_000  # names that are broadcast, some 10 MB
 
 
 @dataclass(frozen=True)
@@ -96,10 +97,12 @@ def resolve_places(queries: DataFrame, places: DataFrame) -> DataFrame:
 def places_in(texts: DataFrame, id_: str, text: str, aliases: DataFrame, normal: Callable[[Column], Column] = T.normal_name, longest: int = 3) -> DataFrame:
     """Places named in texts: id, ordinal, phrase, kind (exact or ambiguous), place_id (null if ambiguous).
 
-    aliases(alias, place_id) are normalised names. Phrases of up to `longest` words meet them in an equi-join; from left
-    to right the longest phrase at a word wins and its words are used up. A place, or an ambiguous phrase, is named once.
+    aliases(alias, place_id) are normalised names. Phrases of up to `longest` words meet them in an equi-join, to which up
+    to MOST_SENT names are broadcast; from left to right the longest phrase at a word wins and its words are used up. A place, or an ambiguous phrase, is named once.
     """
     names = aliases.groupBy("alias").agg(F.count_distinct("place_id").alias("_n"), F.min("place_id").alias("_p"))
+    if names.limit(MOST_SENT + 1).count() <= MOST_SENT:  # then phrases stay where they are made; Spark's size check doesn't know
+        names = F.broadcast(names)
     words = F.filter(F.split(F.regexp_replace(F.col(text), "[,.]", " "), r"\s+"), lambda w: w != "")
     n = F.size("_w")
     starts = F.when(n > 0, F.sequence(F.lit(1), n))
