@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,16 @@ def test_search_equals_scan_and_definition(spark, corpus, index, terms, phrases)
     assert len(found) == len(want) and [d for d, _ in found] == [d for d, _ in want] and all(abs(a[1] - b[1]) <= 1 for a, b in zip(found, want))
 
 
+def test_words_are_grouped_where_the_text_is(spark):
+    """Against a fold over the words; one row a term and block leaves the batch."""
+    rows = [(5, ["a", "b", "a"]), (4, ["a"]), (4100, ["b", "b"]), (7, ["c"]), (-3, ["a", "c"])]
+    batch = pa.RecordBatch.from_pydict({"doc": [r[0] for r in rows], "t": [r[1] for r in rows]}, pa.schema([("doc", pa.int64()), ("t", pa.list_(pa.string()))]))
+    (made,) = textindex.partial([batch], 4096)
+    got = {(r["term"], r["block"]): [(e["doc"], e["p"]) for e in r["e"]] for r in made.to_pylist()}
+    assert got == {("a", -1): [(-3, [0])], ("a", 0): [(4, [0]), (5, [0, 2])], ("b", 0): [(5, [1])], ("b", 1): [(4100, [0, 1])], ("c", -1): [(-3, [1])], ("c", 0): [(7, [0])]}
+    assert made.num_rows == len(got)
+
+
 def test_a_search_reads_only_its_terms_buckets(spark, index):
     rows = textindex.postings(spark, index, ["tide", "net"], 16)
     plan = rows._jdf.queryExecution().executedPlan().toString()

@@ -11,8 +11,10 @@ none of the terms).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,18 +41,46 @@ def from_gaps(steps: Column, kind: str) -> Column:
 
 
 def write_index(docs: DataFrame, id_: str, text: str, path: str, buckets: int = BUCKETS, block: int = BLOCK) -> None:
-    """Index the texts of docs (whole ids) below path: `postings` by bucket, and `lengths`."""
+    """Index the texts of docs (whole ids) below path: `postings` by bucket, and `lengths`.
+
+    A text's words are grouped where it is read, and the documents of a term and block there too; what is left is shuffled
+    once, to the bucket's files.
+    """
     words = docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("doc"), T.tokens(F.col(text)).alias("t"))
-    places = words.select("doc", F.posexplode("t").alias("pos", "term")).groupBy("term", "doc").agg(F.sort_array(F.collect_list("pos")).alias("p"))
-    entry = F.struct("doc", gaps(F.col("p")).alias("p"))
-    rows = places.groupBy("term", F.floor(F.col("doc") / block).cast("long").alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    entry = "struct<doc:bigint,p:array<int>>"
+    parts = words.where(F.size("t") > 0).mapInArrow(lambda batches: partial(batches, block), f"term string, block bigint, e array<{entry}>")
+    parts = parts.select(bucket_of(F.col("term"), buckets).alias("bucket"), F.pmod(F.col("block"), F.lit(SLICES)).alias("slice"), "term", "block", "e").repartition("bucket", "slice")
+    rows = parts.groupBy("bucket", "slice", "term", "block").agg(F.sort_array(F.flatten(F.collect_list("e"))).alias("e"))
     steps = F.transform("e", lambda x, i: F.when(i == 0, x["doc"]).otherwise(x["doc"] - F.get("e", i - 1)["doc"]))  # of the column itself: an expression would be computed anew for each element
-    rows = rows.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "block", steps.alias("docs"), F.transform("e", lambda x: x["p"]).alias("positions"))
-    dealt = rows.repartition("bucket", F.pmod(F.col("block"), F.lit(SLICES))).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows = rows.select("bucket", "term", "block", steps.alias("docs"), F.transform("e", lambda x: x["p"]).alias("positions"))
+    rows.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     words.select("doc", F.size("t").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
+def partial(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """term, block and e (doc, gaps of its positions; by doc) of the documents of a batch (doc, t)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column("t").flatten().dictionary_encode()
+        sizes = batch.column("t").value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+        ids = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), sizes)
+        term = coded.indices.to_numpy(zero_copy_only=False)
+        pos = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.lexsort((pos, ids, term))
+        term, ids, pos = term[order], ids[order], pos[order]
+        held = ids // block
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (ids[1:] != ids[:-1])])  # of a term in a document
+        steps = np.diff(pos, prepend=0)
+        steps[first] = pos[first]
+        t, h = term[first], held[first]
+        head = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])])  # of a term in a block
+        each = pa.ListArray.from_arrays(pa.array(np.r_[first, len(ids)], pa.int32()), pa.array(steps, pa.int32()))
+        entries = pa.StructArray.from_arrays([pa.array(ids[first], pa.int64()), each], ["doc", "p"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(first)], pa.int32()), entries)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(t[head])), pa.array(h[head], pa.int64()), lists], ["term", "block", "e"])
+
+
 def postings(spark: SparkSession, path: str, terms: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """term, doc, positions of the named terms; only their buckets are read."""
     wanted = sorted(set(terms))
