@@ -96,3 +96,38 @@ def test_replay_names_the_first_node_that_differs(spark):
     got = {r.run_id: r for r in P.replay(nodes, edges, spark.createDataFrame(archive, "sha256 string, content binary"), weight, {"peak": F.max("_v")}, {"peak": "1"}).collect()}
     assert {k: (r.outcome, r.node) for k, r in got.items()} == {"same": ("identical", None), "peak": ("output_differs", "f"), "out": ("output_differs", "o"), "gone": ("evidence_unavailable", None), "bad": ("evidence_tampered", None), "old": ("formula_changed", None)}
     assert (got["peak"].was, got["peak"].now) == (6.0, 5.0) and got["same"].verified == 2 and got["gone"].verified == 0
+
+
+def replayed(spark, runs, archive, formulas, versions):
+    nodes, edges = (spark.createDataFrame([x for r in runs for x in r[i]], schema) for i, schema in ((0, NODES), (1, EDGES)))
+    weight = F.get_json_object(F.decode("content", "UTF-8"), "$.w")
+    return P.replay(nodes, edges, spark.createDataFrame(archive, "sha256 string, content binary"), weight, formulas, versions)
+
+
+def deep(run, weights, wrong=None):
+    """run_of() with three more levels of formulas; the last takes a formula's value and payloads' at once."""
+    nodes, edges, archive = run_of(run, weights)
+    values = {"x1": 2.0 * max(weights), "x2": 2.0 * max(weights) + sum(weights), "x3": 4.0 * max(weights) + sum(weights)}
+    nodes += [(run, k, "output", k, {"formula_id": "twice" if k == "x1" else "", "value": str(v + (k == wrong))}) for k, v in values.items()]
+    edges += [(run, a, b, "derives") for a, b in (("f", "x1"), ("x1", "x2"), ("x1", "x3"), ("x2", "x3"), *((f"p{i}", "x2") for i in range(len(weights))))]
+    return nodes, edges, archive
+
+
+def test_replay_brings_a_run_together_once_and_large_runs_replay_alike(spark, monkeypatch):
+    runs = [deep("a", [3, 5]), deep("b", [2, 2, 7], "x1"), deep("c", [4], "x3"), deep("d", [1, 9], "x2"), run_of("old", [4], version="0"), run_of("gone", [6]), run_of("bad", [8]), ([("alone", "n", "dataset", "n", {"value": "1.0"})], [], [])]
+    runs[0][1].append(("a", "p0", "nowhere", "derives"))  # leads to no node
+    archive = [x for r in runs[:5] for x in r[2]] + [(runs[6][2][0][0], b"other"), runs[0][2][0], (runs[0][2][0][0], b"!")]
+    formulas = {"peak": F.max("_v"), "twice": 2 * F.sum("_v")}
+    monkeypatch.setattr(P, "by_levels", None)
+    whole = {tuple(r) for r in replayed(spark, runs, archive, formulas, {"peak": "1"}).drop("was", "now").collect()}
+    monkeypatch.undo()
+    assert whole == {
+        ("a", "identical", 2, None), ("b", "output_differs", 3, "x1"), ("c", "output_differs", 1, "x3"), ("d", "output_differs", 2, "x2"), ("old", "formula_changed", 1, None),
+        ("gone", "evidence_unavailable", 0, None), ("bad", "evidence_tampered", 0, None), ("alone", "output_differs", 0, "n"),
+    }
+    for most in (13, 0):
+        monkeypatch.setattr(P, "SMALL", most)
+        assert {tuple(r) for r in replayed(spark, runs, archive, formulas, {"peak": "1"}).drop("was", "now").collect()} == whole
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="cycle"):
+        replayed(spark, [(runs[0][0], [*runs[0][1], ("a", "x3", "x1", "derives")])], archive, formulas, {"peak": "1"})

@@ -58,10 +58,11 @@ def shared_provenance(spark: SparkSession, d: str) -> DataFrame:
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and archive. Payloads say what a line weighs; formulas take their sum and their maximum, the output is
     the one less the other. Of some orders payloads are gone or altered, formulas old, or recorded values wrong."""
-    k = F.col("l_orderkey")
-    lines = view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    body = F.format_string('{"order":%d,"line":%d,"weight":%d}', "l_orderkey", "l_linenumber", (F.col("l_partkey") % 97 + 1).cast("long"))
-    lines = lines.select(k.alias("run_id"), body.alias("body"), (F.col("l_partkey") % 97 + 1).cast("double").alias("w")).withColumn("sha", F.sha2("body", 256)).distinct()
+    lines = view(spark, d, "lineitem")
+    parts = provenance.parts_of(spark, 5 * lines.count())  # about five nodes and edges a line
+    lines = lines.select(F.col("l_orderkey").alias("run_id"), "l_linenumber", (F.col("l_partkey") % 97 + 1).cast("long").alias("w")).repartition(parts, "run_id").distinct()
+    body = F.format_string('{"order":%d,"line":%d,"weight":%d}', "run_id", "l_linenumber", "w")
+    lines = lines.select("run_id", body.alias("body"), F.col("w").cast("double").alias("w")).withColumn("sha", F.sha2("body", 256))
     total = lines.groupBy("run_id").agg(F.sum("w").alias("s"), F.max("w").alias("m"))
     r = F.col("run_id")
     attributes = lambda **kv: F.map_from_arrays(F.array(*map(F.lit, kv)), F.array(*[v.cast("string") for v in kv.values()])).alias("attributes")
