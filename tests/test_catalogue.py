@@ -107,3 +107,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_no_task_has_all_vessels_of_a_system(spark):
+    plan = catalogue.queries()["cyclone_rules"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(hazard" not in plan
+    assert plan.count("BuildRight") >= 2 and "BuildLeft" not in plan  # rings and cones go to the vessels, not vessels to them

@@ -24,10 +24,12 @@ def cells_of_rings(areas: DataFrame, cell: float = CELL) -> DataFrame:
     return areas.withColumn("cell_lat", F.explode(span(lat))).withColumn("cell_lon", F.explode(span(lon)))
 
 
-def containing(points: DataFrame, areas: DataFrame, cell: float = CELL) -> DataFrame:
-    """Pairs of points with the areas that hold them: an equi-join on grid cells, then ray casting."""
+def containing(points: DataFrame, areas: DataFrame, cell: float = CELL, few: bool = False) -> DataFrame:
+    """Pairs of points with the areas that hold them: an equi-join on grid cells, then ray casting. few: areas are so few
+    that they go to the points; else Spark may send the points to the areas' tasks, which then hold all that is found."""
     at = points.withColumn("cell_lat", F.floor(F.col("lat") / cell).cast("int")).withColumn("cell_lon", F.floor(F.col("lon") / cell).cast("int"))
-    joined = at.join(cells_of_rings(areas, cell), ["cell_lat", "cell_lon"])
+    cells = cells_of_rings(areas, cell)
+    joined = at.join(F.broadcast(cells) if few else cells, ["cell_lat", "cell_lon"])
     return joined.where(geo.contains(F.col("ring"), F.col("lat"), F.col("lon"))).drop("cell_lat", "cell_lon", "ring")
 
 

@@ -26,19 +26,21 @@ def evaluate_cyclones(points: DataFrame, cyclones: DataFrame, rings: DataFrame,
     """Both cyclone rules for each point and active system: id, hazard, rule, outcome, knots.
 
     cyclones(system, issued_time), rings(system, knots, ring), cones(system, ring). The result has a row for each point and
-    system, so the systems' names (at most MOST_SYSTEMS) are dealt out as an array; rings and cones meet points by grid cells.
+    system, so the systems' names (at most MOST_SYSTEMS) are dealt out as an array, and which of them have a cone is a list;
+    rings and cones of these systems go to the points and meet them by grid cells, so no task has all points of a system.
     """
     names = [r.system for r in active_cyclones(cyclones, now).select("system").distinct().orderBy("system").limit(MOST_SYSTEMS + 1).collect()]
     if len(names) > MOST_SYSTEMS:
         raise ValueError("more active systems than MOST_SYSTEMS")
     listed = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
     every = points.select(id_, F.explode(listed).alias("hazard"))
-    with_cone = cones.where(F.col("system").isin(names)).select(F.col("system").alias("hazard"), F.lit(True).alias("has_cone")).distinct()
+    rings, cones = (x.where(F.col("system").isin(names)) for x in (rings, cones))
+    with_cone = [r.system for r in cones.select("system").distinct().collect()]
     at = points.select(id_, "lat", "lon")
-    wind = spatial.containing(at, rings).groupBy(id_, F.col("system").alias("hazard")).agg(F.max("knots").alias("knots"))
-    cone = spatial.containing(at, cones).select(id_, F.col("system").alias("hazard"), F.lit(True).alias("inside")).distinct()
-    rows = every.join(wind, [id_, "hazard"], "left").join(cone, [id_, "hazard"], "left").join(with_cone, "hazard", "left")
-    inside, has_cone = F.coalesce("inside", F.lit(False)), F.coalesce("has_cone", F.lit(False))
+    wind = spatial.containing(at, rings, few=True).groupBy(id_, F.col("system").alias("hazard")).agg(F.max("knots").alias("knots"))
+    cone = spatial.containing(at, cones, few=True).select(id_, F.col("system").alias("hazard"), F.lit(True).alias("inside")).distinct()
+    rows = every.join(wind, [id_, "hazard"], "left").join(cone, [id_, "hazard"], "left")
+    inside, has_cone = F.coalesce("inside", F.lit(False)), F.col("hazard").isin(with_cone)
     rules = F.array(F.struct(F.lit("cyclone_wind").alias("rule"), A.cyclone_rule(F.col("knots")).alias("outcome")), F.struct(F.lit("cyclone_cone").alias("rule"), A.cone_rule(has_cone, inside).alias("outcome")))
     return rows.select(id_, "hazard", "knots", F.explode(rules).alias("r")).select(id_, "hazard", "r.rule", "r.outcome", "knots")
 
