@@ -132,3 +132,43 @@ def test_a_stream_that_restarts_in_the_middle_gives_the_batchs_rows_once(spark,
     assert run() >= 0
     assert key(lifecycle.decisions_of(spark, out).collect()) == batch
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != own.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_a_users_keys_are_loaded_and_saved_at_once():
+    from datetime import timezone
+
+    from pyspark.sql import Row
+
+    calls, held, timers = [], {}, set()
+
+    class Store:
+        def get(self):
+            calls.append("get")
+            return held.get("value")
+
+        def update(self, value):
+            calls.append("update")
+            held["value"] = value
+
+        def clear(self):
+            held.clear()
+
+    class Handle:
+        getValueState = staticmethod(lambda *_: Store())
+        registerTimer = staticmethod(lambda at: (calls.append("timer"), timers.add(at)))
+        deleteTimer = staticmethod(timers.remove)
+
+    made, user = [], events(users=1)
+    rows = [Row(*[c.split()[0] for c in lifecycle.IN.split(", ")])(*r[:3], r[3].replace(tzinfo=timezone.utc), *r[4:]) for r in user]
+    halves = rows[:401], rows[401:]  # something is pending where they meet
+    for half in halves:
+        calls.clear()
+        own = lifecycle.AlertLife()
+        own.init(Handle)
+        made += own.handleInputRows((0,), iter(half[::-1]), None)
+        assert len(calls) <= 3 and len(timers) == 1  # for two keys and 400 rows
+    lives, want = {}, []
+    for row in [x for half in halves for x in sorted(half, key=lambda r: (r.at, r.kind == "report", r.seq))]:
+        one = (row.user_id, row.rule, row.hazard)
+        want.append(lives.setdefault(one, Life()).step(one, row))
+    assert [tuple(r) for r in made] == want

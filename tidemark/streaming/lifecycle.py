@@ -7,7 +7,7 @@ is sent again instead of being suppressed. A delivered cancellation retires the
 An alert that couldn't be built (its context lacks a slot) is recorded and never pending.
 
 One Life serves both forms: a keyed fold over rows in order of time (batch), and transformWithState, where it is kept as a
-ValueState (what was told) and a MapState (pending by identifier) and event-time timers drop what can't matter any more.
+ValueState and an event-time timer drops what can't matter any more.
 Decisions go out through a sink that writes each micro-batch under its id, so a batch that runs again after a restart
 replaces its own rows.
 """
@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
+from datetime import datetime
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,6 +42,11 @@ def identifier(user: object, rule: str, hazard: str, at: int) -> str:
     return "tm-" + hashlib.sha256(f"{user}|{rule}|{hazard}|{at}".encode()).hexdigest()[:16]
 
 
+def micros(at: datetime) -> int:
+    """Microseconds since 1970 of a moment in a frame or a row."""
+    return at.value // 1000 if isinstance(at, pd.Timestamp) else math.floor(at.timestamp()) * 1_000_000 + at.microsecond
+
+
 class Life:
     """What a key's subscriber was told, and what is on its way."""
 
@@ -83,7 +90,7 @@ class Life:
 
     def step(self, key: tuple, row: Any) -> tuple:
         """One output row of an event."""
-        at = pd.Timestamp(row.at).value // 1000
+        at = micros(row.at)
         if row.kind == "report":
             made = self.report(at, row.identifier, bool(row.delivered))
         else:
@@ -94,9 +101,7 @@ class Life:
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
-def in_order(frame: pd.DataFrame) -> pd.DataFrame:
-    """By time; results before reports, then by number."""
-    return frame.assign(_k=(frame["kind"] == "report")).sort_values(["at", "_k", "seq"], kind="stable")
+OUT_ROW = Row(*COLUMNS)
 
 
 def live_batch(events: DataFrame) -> DataFrame:
@@ -121,50 +126,53 @@ def typed(events: DataFrame) -> DataFrame:
 
 
 class AlertLife(StatefulProcessor):
-    """Life with its state in the store: told as a value, pending as a map, and a timer for the oldest of both."""
+    """A user's lives, one a rule and hazard, with their state in the store as one value, and a timer for the oldest of what
+    was told and what is pending.
+
+    Keys have few rows in a batch, and calls of the store cost more than all that is decided: so rows come one by one, not
+    as a frame a key, and a user's keys are loaded and saved at once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.told = handle.getValueState("told", "at long, outcome string, severity string, minutes double, sends long, identifier string")
-        self.pending = handle.getMapState("pending", "identifier string", "record string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        life = self.loaded()
-        frame = in_order(pd.concat(list(rows)))
-        out = [life.step(key, row) for row in frame.itertuples(index=False)]
-        self.save(life)
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        life = self.loaded()
-        life.expire(timerValues.getCurrentWatermarkInMs() * 1000)
-        self.save(life)
+        self.lives = handle.getValueState("lives", "lives string, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        lives, timer = self.loaded()
+        out = []
+        for row in sorted(rows, key=lambda row: (row.at, row.kind == "report", row.seq)):  # results before reports
+            one = (row.user_id, row.rule, row.hazard)
+            out.append(OUT_ROW(*lives.setdefault(one[1:], Life()).step(one, row)))
+        self.save(lives, timer)
+        return iter(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        lives, _ = self.loaded()
+        for life in lives.values():
+            life.expire(timerValues.getCurrentWatermarkInMs() * 1000)
+        self.save(lives, None)  # the timer that has expired is gone
         return iter(())
 
-    def loaded(self) -> Life:
-        told = tuple(self.told.get()) if self.told.exists() else None
-        if told is not None:
-            told = (int(told[0]), told[1], told[2], None if told[3] is None or pd.isna(told[3]) else float(told[3]), int(told[4]), told[5])
-        waiting = {}
-        if self.pending.exists():
-            for (name,), (text,) in self.pending.iterator():
-                record, decision = json.loads(text)
-                waiting[name] = tuple(record), decision
-        return Life(told, waiting)
-
-    def save(self, life: Life) -> None:
-        if life.told is None:
-            self.told.clear()
-        else:
-            self.told.update(life.told)
-        self.pending.clear()
-        for name, (record, decision) in life.pending.items():
-            self.pending.updateValue((name,), (json.dumps([list(record), decision]),))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        times = [r[0] for r in (life.told, *(record for record, _ in life.pending.values())) if r is not None]
-        if times:
-            self.handle.registerTimer(min(times) // 1000 + PRUNE_HOURS * HOUR_MS + 1)
+    def loaded(self) -> tuple[dict[tuple, Life], int | None]:
+        held = self.lives.get()
+        if held is None:
+            return {}, None
+        kept = json.loads(held[0])
+        return {(rule, hazard): Life(tuple(told) if told else None, {k: (tuple(v), x) for k, (v, x) in pending.items()}) for rule, hazard, told, pending in kept}, held[1]
+
+    def save(self, lives: dict[tuple, Life], timer: int | None) -> None:
+        """timer: the one that is set."""
+        kept = [(*k, life.told, life.pending) for k, life in lives.items() if life.told is not None or life.pending]
+        times = [r[0] for _, _, told, pending in kept for r in (told, *(record for record, _ in pending.values())) if r is not None]
+        due = min(times) // 1000 + PRUNE_HOURS * HOUR_MS + 1 if times else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.lives.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.lives.update((json.dumps(kept), due))
 
     def close(self) -> None:
         pass
@@ -172,7 +180,7 @@ class AlertLife(StatefulProcessor):
 
 def live_stream(events: DataFrame) -> DataFrame:
     """The stream's decisions. events have a watermark on `at`; the session keeps state in RocksDB (lifecycle_session)."""
-    return events.groupBy(*KEY).transformWithStateInPandas(AlertLife(), OUT, "append", "EventTime")
+    return events.groupBy("user_id").transformWithState(AlertLife(), OUT, "append", "EventTime")
 
 
 def lifecycle_session(spark: SparkSession) -> SparkSession:
