@@ -55,6 +55,21 @@ def test_stream_reads_a_file_or_a_folder(spark, tmp_path, files):
     assert batch == stream and len(batch) == 60
 
 
+def test_the_stream_has_one_state_a_user(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import alerts as machine
+
+    rows = catalogue._results(spark, DIR).where("user_id < 3")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withWatermark("at", "12 hours")
+    q = machine.decide_stream(stream).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    users, keys = rows.agg(F.countDistinct("user_id"), F.countDistinct("user_id", "rule")).first()
+    updated = q.recentProgress[0]["stateOperators"][0]["numRowsUpdated"]
+    assert 0 < updated <= users < keys
+
+
 def test_the_life_of_alerts_is_the_same_in_both_forms(spark):
     batch, stream = (sorted((tuple(r) for r in catalogue.queries()[f"alert_life_{kind}"](spark, DIR).collect()), key=str) for kind in ("batch", "stream"))
     assert batch == stream and len(batch) == 2 * spark.read.parquet(f"{DIR}/events.parquet").count()

@@ -7,6 +7,7 @@ that arrive in order.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +23,7 @@ SHORTENED, PRUNE_HOURS = 0.5, 12
 KEY = ["user_id", "rule", "hazard"]
 IN = "user_id long, rule string, hazard string, at timestamp, outcome string, severity string, minutes double"
 OUT = "user_id long, rule string, hazard string, at timestamp, outcome string, decision string, send_count long"
-STATE = "sent_at long, outcome string, severity string, minutes double, send_count long"
+STATE = "sent string"  # of a user: JSON of (rule, hazard, State)
 
 State = tuple[int, str, str, float | None, int]  # microseconds, outcome, severity, minutes, sends
 
@@ -47,16 +48,6 @@ def decide(state: State | None, at: int, rule: str, outcome: str, severity: str,
     return "send_update", sent
 
 
-def fold(rows: pd.DataFrame, state: State | None) -> tuple[pd.DataFrame, State | None]:
-    rows = rows.sort_values(["at", "outcome"], kind="stable")
-    decisions, counts = [], []
-    for at, rule, outcome, severity, minutes in zip(rows["at"], rows["rule"], rows["outcome"], rows["severity"], rows["minutes"]):
-        decision, state = decide(state, pd.Timestamp(at).value // 1000, rule, outcome, severity, None if pd.isna(minutes) else float(minutes))
-        decisions.append(decision)
-        counts.append(state[4] if state else 0)
-    return rows[[*KEY, "at", "outcome"]].assign(decision=decisions, send_count=counts), state
-
-
 def decide_batch(results: DataFrame) -> DataFrame:
     """All results at once: sorted by key and time within partitions, folded in one pass that carries the open key's state."""
 
@@ -77,25 +68,39 @@ def decide_batch(results: DataFrame) -> DataFrame:
 
 
 def decide_stream(results: DataFrame) -> DataFrame:
-    """results: a stream with a watermark on `at`. State that can't matter any more is dropped by event time."""
+    """results: a stream with a watermark on `at`. State that can't matter any more is dropped by event time.
+
+    A group is a user with what was sent by rule and hazard: a frame a key would cost more than the decisions on its few rows.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {(rule, hazard): tuple(sent) for rule, hazard, sent in json.loads(state.get[0])} if state.exists else {}
+        watermark = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            state.remove()
-            return
-        held = tuple(state.get) if state.exists else None
-        if held is not None:
-            held = (int(held[0]), held[1], held[2], None if pd.isna(held[3]) else float(held[3]), int(held[4]))
-        out, held = fold(pd.concat(list(frames)), held)
-        if held is None:
-            if state.exists:
-                state.remove()
+            held = {k: sent for k, sent in held.items() if _due(sent) > watermark}
         else:
-            state.update(held)
-            state.setTimeoutTimestamp(max(held[0] // 1000 + PRUNE_HOURS * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        yield out
+            rows = pd.concat(list(frames)).sort_values(["at", "outcome"], kind="stable")
+            decisions, counts = [], []
+            micros = rows["at"].to_numpy("datetime64[us]").astype("int64").tolist()
+            for rule, hazard, at, outcome, severity, minutes in zip(rows["rule"], rows["hazard"], micros, rows["outcome"], rows["severity"], rows["minutes"]):
+                decision, sent = decide(held.pop((rule, hazard), None), at, rule, outcome, severity, None if pd.isna(minutes) else float(minutes))
+                if sent is not None:
+                    held[rule, hazard] = sent
+                decisions.append(decision)
+                counts.append(sent[4] if sent else 0)
+            yield rows[[*KEY, "at", "outcome"]].assign(decision=decisions, send_count=counts)
+        if held:
+            state.update((json.dumps([(*k, sent) for k, sent in held.items()]),))
+            state.setTimeoutTimestamp(max(min(map(_due, held.values())), watermark + 1))
+        elif state.exists:
+            state.remove()
+
+    return results.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    return results.groupBy(*KEY).applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def _due(sent: State) -> int:
+    """Milliseconds from which on what was sent can't matter any more."""
+    return sent[0] // 1000 + PRUNE_HOURS * 3_600_000
 
 
 def tick_summary(decisions: DataFrame) -> DataFrame:
