@@ -143,3 +143,53 @@ def test_blocks_meet_queries_a_few_at_a_time(spark, tmp_path, monkeypatch):
     assert found.count() == 12 and spark.conf.get(key) == before
     assert [n for name, n in seen if name == "chunks"] == [int(before)] * 2
     assert [n for name, n in seen if name == "met"] == [vecindex.PAIRS] * 2 and vecindex.PAIRS * vecindex.BLOCK <= 20_000
+
+
+def test_queries_are_sent_once_to_a_tile(spark, tmp_path, monkeypatch):
+    """Vectors without clusters: each query looks into nearly all cells, but isn't copied for each of them."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 12))
+    x[300:320] = x[40]  # ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    asked = rows.where("id % 20 = 0")
+    sent, keep = [], vecindex.stored
+
+    def stored(df, name):
+        table = keep(df, name)
+        if name == "chunks":
+            sent.append(table.agg(F.sum(F.size("queries")), F.max(F.size("queries"))).first())
+        return table
+
+    monkeypatch.setattr(vecindex, "stored", stored)
+    monkeypatch.setattr(vecindex, "CHUNK", 8)
+    vecindex.write_index(rows, "id", "v", str(tmp_path / "x"), cells=24)
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    found = vecindex.search(spark, str(tmp_path / "x"), asked, "id", "v", 7).orderBy("query", "rank").collect()
+    assert spark.conf.get(key) == before
+    assert len(sent) == 2 and all(copies <= 30 and most <= 8 for copies, most in sent)  # one tile holds all cells
+    want = []
+    for q in range(0, 600, 20):
+        scores = vecindex.products(np.broadcast_to(x[q], x.shape), x)
+        want += [(q, int(i)) for i in np.lexsort((np.arange(600), -scores))[:7]]
+    assert [(r.query, r.id) for r in found] == want
+
+
+def test_nearest_takes_few_products_at_a_time(monkeypatch):
+    """A slice of rows at a time against all products; equal scores go by id, `least` itself is reached."""
+    rng = np.random.default_rng(9)
+    x, q, ids = rng.normal(size=(90, 5)), rng.normal(size=(40, 5)) * 1e3, rng.permutation(90)
+    x[10:30] = x[5]
+    scores = np.array([vecindex.products(np.broadcast_to(a, x.shape), x) for a in q])
+    least = np.where(np.arange(40) % 3 == 0, -np.inf, np.sort(scores, axis=1)[:, 70])
+    monkeypatch.setattr(vecindex, "STEP", 200)
+    assert [(s.start, s.stop) for s in vecindex.slices(5, 90)] == [(0, 2), (2, 4), (4, 6)]
+    row, found, score = vecindex.nearest(q, least, ids, x, 12)
+    want = [(r, ids[c], scores[r, c]) for r in range(40) for c in np.lexsort((ids, -scores[r]))[:12] if scores[r, c] >= least[r]]
+    assert list(zip(row, found, score)) == want
+
+
+def test_tiles_hold_small_cells_and_parts_of_large_ones():
+    size, parts = np.array([1000, 900, 500, 300_000, 10, 2000]), np.array([1, 1, 1, 3, 1, 1])
+    assert vecindex.tiles_of(size[:3], parts[:3]).tolist() == [0, 0, 1]
+    assert vecindex.tiles_of(size, parts).tolist() == [0, 0, 0, 1, 4, 4]
